@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions._util import as_col
+from tessera.functions._util import as_col, int_div
 
 # Unit names and their sizes, base 1000.
 SIZE_UNITS = [("KB", 10**3), ("MB", 10**6), ("GB", 10**9), ("TB", 10**12), ("PB", 10**15)]
@@ -13,8 +13,8 @@ SIZE_UNITS = [("KB", 10**3), ("MB", 10**6), ("GB", 10**9), ("TB", 10**12), ("PB"
 
 def _one_decimal(n: Column, unit: int, name: str) -> Column:
     # tenths of the unit, rounded half up on the exact integer; no carry into the next unit
-    tenths = (n + F.lit(unit // 20)).cast("long") // F.lit(unit // 10)
-    return F.concat((tenths // 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(name))
+    tenths = int_div(n + F.lit(unit // 20), unit // 10)
+    return F.concat(int_div(tenths, 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(name))
 
 
 def human_size(col) -> Column:

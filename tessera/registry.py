@@ -9,7 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import positional as j3
 from tessera.plans import scrub as j1
+from tessera.plans import stale as j7
+from tessera.plans import usage as j5
+from tessera.functions.sizes import SIZE_UNITS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +28,68 @@ def q_scrub_documents(spark, sf_dir):
     return j1.scrub(j1.documents_input(table(spark, sf_dir, "documents")))
 
 
+def q_stale_orders(spark, sf_dir):
+    items = j7.orders_input(table(spark, sf_dir, "orders"))
+    active = j7.open_line_orders(table(spark, sf_dir, "lineitem"))
+    return j7.stale_items(items, active, days=100, as_of="2001-08-01")
+
+
+def q_usage_report(spark, sf_dir):
+    return j5.usage_report(j5.events_table(table(spark, sf_dir, "events")), "user_id")
+
+
+def q_usage_totals(spark, sf_dir):
+    return j5.usage_totals(j5.events_table(table(spark, sf_dir, "events")))
+
+
+def q_positional_merge(spark, sf_dir):
+    return j3.positional_merge(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"),
+                               "c_custkey", "s_suppkey")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scrub_customer": q_scrub_customer,
     "scrub_documents": q_scrub_documents,
+    "stale_orders": q_stale_orders,
+    "usage_report": q_usage_report,
+    "usage_totals": q_usage_totals,
+    "positional_merge": q_positional_merge,
 }
 
+
+def human_size_sql(n: str) -> str:
+    """The C12 integer rule written for DuckDB."""
+    parts = [f"CASE WHEN {n} < 1000 THEN CAST({n} AS VARCHAR) || 'B'"]
+    for i, (name, unit) in enumerate(SIZE_UNITS):
+        t = f"(({n} + {unit // 20}) // {unit // 10})"
+        text = f"CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '{name}'"
+        if i + 1 < len(SIZE_UNITS):
+            parts.append(f"WHEN {n} < {SIZE_UNITS[i + 1][1]} THEN {text}")
+        else:
+            parts.append(f"ELSE {text} END")
+    return " ".join(parts)
+
+
+_USAGE_WIDE = """
+WITH day AS (
+  SELECT user_id,
+         CASE event_type WHEN 'view' THEN 'ST' WHEN 'click' THEN 'IA' WHEN 'error' THEN 'RR' END AS cls,
+         CAST(round(value * 100) AS BIGINT) * 10000 AS bytes
+  FROM events
+  WHERE ts >= TIMESTAMP '2024-01-02 00:00:00' AND ts < TIMESTAMP '2024-01-03 00:00:00'
+    AND event_type IN ('view', 'click', 'error')),
+avgs AS (SELECT user_id, cls, CAST(sum(bytes) // count(*) AS BIGINT) AS a FROM day GROUP BY user_id, cls),
+ents AS (SELECT DISTINCT user_id FROM events),
+wide AS (
+  SELECT e.user_id,
+         coalesce(max(CASE WHEN cls = 'ST' THEN a END), 0) AS st,
+         coalesce(max(CASE WHEN cls = 'IA' THEN a END), 0) AS ia,
+         coalesce(max(CASE WHEN cls = 'RR' THEN a END), 0) AS rr
+  FROM ents e LEFT JOIN avgs v ON e.user_id = v.user_id
+  GROUP BY e.user_id),
+tot AS (SELECT *, st + ia + rr AS total FROM wide)
+"""
+
 _EMAIL_SQL = r"'\A[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+\n?\z'"
 
 
@@ -54,4 +115,26 @@ FROM s""",
 SELECT 1 AS col0, lang AS col1, doc_id AS col2, {_hash_email_sql('source')} AS col3,
        replace(text, chr(10), ' ') AS col4, n_chars AS col5
 FROM documents""",
+    "stale_orders": """
+SELECT o_orderkey AS name, CAST(o_orderdate AS DATE) AS created
+FROM orders
+WHERE CAST(o_orderdate AS DATE) < DATE '2001-08-01' - 100
+  AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')""",
+    "usage_report": _USAGE_WIDE + f"""
+SELECT row_number() OVER (ORDER BY total DESC, user_id ASC) AS "Row", user_id AS Bucket,
+       {human_size_sql('st')} AS StandardSize, {human_size_sql('ia')} AS IASize,
+       {human_size_sql('rr')} AS RRSize, {human_size_sql('total')} AS Total
+FROM tot""",
+    "usage_totals": _USAGE_WIDE + f"""
+, sums AS (SELECT CAST(sum(st) AS BIGINT) AS st, CAST(sum(ia) AS BIGINT) AS ia, CAST(sum(rr) AS BIGINT) AS rr,
+                  CAST(sum(total) AS BIGINT) AS total FROM tot)
+SELECT {human_size_sql('st')} AS StandardTotal, {human_size_sql('ia')} AS IATotal,
+       {human_size_sql('rr')} AS RRTotal, {human_size_sql('total')} AS GrandTotal
+FROM sums""",
+    "positional_merge": """
+WITH c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer),
+     s AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier)
+SELECT c.c_custkey, c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment,
+       s.s_suppkey, s.s_name, s.s_nationkey, s.s_acctbal
+FROM c JOIN s ON c.rn = s.rn""",
 }
