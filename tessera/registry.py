@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import dependency as j6
 from tessera.plans import positional as j3
 from tessera.plans import scrub as j1
 from tessera.plans import stale as j7
@@ -47,6 +48,35 @@ def q_positional_merge(spark, sf_dir):
                                "c_custkey", "s_suppkey")
 
 
+def _supplier_report(spark, sf_dir):
+    groups = j6.supplier_groups(table(spark, sf_dir, "supplier"))
+    li = table(spark, sf_dir, "lineitem")
+    edges = j6.group_edges([j6.edges_from(li, "l_partkey", "PART", "l_suppkey")])
+    return j6.dependency_report(groups, edges)
+
+
+def _nation_report(spark, sf_dir):
+    t = {n: table(spark, sf_dir, n) for n in ("nation", "customer", "supplier", "orders", "lineitem")}
+    groups = j6.nation_groups(t["nation"])
+    rules = j6.trade_rules(t["lineitem"], t["orders"], t["customer"], t["supplier"])
+    edges = j6.group_edges([j6.edges_from(t["customer"], "c_custkey", "CUSTOMER", "c_nationkey"),
+                            j6.edges_from(t["supplier"], "s_suppkey", "SUPPLIER", "s_nationkey")],
+                           groups=groups, rules=rules)
+    return j6.dependency_report(groups, edges)
+
+
+def q_supplier_dependency(spark, sf_dir):
+    return j6.report_lines(_supplier_report(spark, sf_dir))
+
+
+def q_nation_dependency(spark, sf_dir):
+    return j6.report_lines(_nation_report(spark, sf_dir))
+
+
+def q_nation_dependency_json(spark, sf_dir):
+    return j6.report_json(_nation_report(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scrub_customer": q_scrub_customer,
     "scrub_documents": q_scrub_documents,
@@ -54,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_report": q_usage_report,
     "usage_totals": q_usage_totals,
     "positional_merge": q_positional_merge,
+    "supplier_dependency": q_supplier_dependency,
+    "nation_dependency": q_nation_dependency,
+    "nation_dependency_json": q_nation_dependency_json,
 }
 
 
@@ -70,6 +103,38 @@ def human_size_sql(n: str) -> str:
     return " ".join(parts)
 
 
+def _dependency_sql(edges: str, groups: str) -> str:
+    """Report text per group in SQL: distinct edges, sorted ids per kind, kinds in order."""
+    return f"""
+WITH e AS (SELECT DISTINCT * FROM ({edges})),
+k AS (SELECT g, kind, list_sort(list(item)) AS ids FROM e GROUP BY g, kind),
+r AS (SELECT g, string_agg('- ' || kind || ' : ' || array_to_string(ids, ', ') || chr(10), '' ORDER BY kind) AS txt,
+             '{{' || string_agg(to_json(kind) || ':' || to_json(ids), ',' ORDER BY kind) AS js
+      FROM k GROUP BY g),
+grp AS ({groups})
+SELECT gid AS "Group ID", gname AS "Group Name", vpc AS VPC,
+       CASE WHEN coalesce(txt, '') <> '' THEN 'YES' ELSE 'NO' END AS Used, '' AS Comments,
+       coalesce(txt, '') AS "Used Resources",
+       '{{' || to_json(gid) || ':' || CASE WHEN js IS NULL THEN '{{' ELSE js || ',' END
+         || '"Metadata":' || to_json({{'Name': gname, 'VPC': vpc}}) || '}}}}' AS json
+FROM grp LEFT JOIN r ON r.g = grp.gid"""
+
+
+_NATION_EDGES = """
+  SELECT CAST(c_nationkey AS VARCHAR) AS g, 'CUSTOMER' AS kind, CAST(c_custkey AS VARCHAR) AS item FROM customer
+  UNION ALL SELECT CAST(s_nationkey AS VARCHAR), 'SUPPLIER', CAST(s_suppkey AS VARCHAR) FROM supplier
+  UNION ALL SELECT CAST(s.s_nationkey AS VARCHAR), 'SG', CAST(c.c_nationkey AS VARCHAR)
+    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+    JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey"""
+_NATION_GROUPS = ("SELECT CAST(n_nationkey AS VARCHAR) AS gid, n_name AS gname, CAST(n_regionkey AS VARCHAR) AS vpc "
+                  "FROM nation")
+_SUPPLIER_EDGES = ("SELECT CAST(l_suppkey AS VARCHAR) AS g, 'PART' AS kind, CAST(l_partkey AS VARCHAR) AS item "
+                   "FROM lineitem")
+_SUPPLIER_GROUPS = ("SELECT CAST(s_suppkey AS VARCHAR) AS gid, s_name AS gname, CAST(s_nationkey AS VARCHAR) AS vpc "
+                    "FROM supplier")
+_REPORT_COLS = '"Group ID", "Group Name", VPC, Used, Comments, "Used Resources"'
+
+
 _USAGE_WIDE = """
 WITH day AS (
   SELECT user_id,
@@ -137,4 +202,7 @@ WITH c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer)
 SELECT c.c_custkey, c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment,
        s.s_suppkey, s.s_name, s.s_nationkey, s.s_acctbal
 FROM c JOIN s ON c.rn = s.rn""",
+    "supplier_dependency": f"SELECT {_REPORT_COLS} FROM ({_dependency_sql(_SUPPLIER_EDGES, _SUPPLIER_GROUPS)})",
+    "nation_dependency": f"SELECT {_REPORT_COLS} FROM ({_dependency_sql(_NATION_EDGES, _NATION_GROUPS)})",
+    "nation_dependency_json": f'SELECT "Group ID", json FROM ({_dependency_sql(_NATION_EDGES, _NATION_GROUPS)})',
 }
