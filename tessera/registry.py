@@ -9,7 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import audit as j4
 from tessera.plans import bulk_load as j9
+from tessera.plans import row_report as j10
+from tessera.operators.inspect import profile
+from pyspark.sql import functions as F
 from tessera.plans import catalog as j8
 from tessera.session import scratch_path
 from tessera.plans import dependency as j6
@@ -108,6 +112,29 @@ def q_bulk_load_orders(spark, sf_dir):
     return results[("tpch", "orders")]
 
 
+def q_row_report_customer(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    return j10.row_lines(customer, ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+                         keep=["c_custkey"])
+
+
+def q_audit_events(spark, sf_dir):
+    path = scratch_path(spark, "audit")
+    j4.events_folder(table(spark, sf_dir, "events"), path)
+    a = j4.audit(spark, path, key="id", by="folder")
+    return a.select(F.regexp_extract("folder", "event_type=([^/]*)$", 1).alias("event_type"),
+                    "total_rows", "null_rows", "valid_rows", "is_total")
+
+
+def q_csv_roundtrip_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return j3.csv_round_trip(docs, scratch_path(spark, "roundtrip"), null_marker="NA")
+
+
+def q_profile_orders(spark, sf_dir):
+    return profile(table(spark, sf_dir, "orders"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scrub_customer": q_scrub_customer,
     "scrub_documents": q_scrub_documents,
@@ -121,6 +148,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "schema_catalog": q_schema_catalog,
     "schema_document": q_schema_document,
     "bulk_load_orders": q_bulk_load_orders,
+    "row_report_customer": q_row_report_customer,
+    "audit_events": q_audit_events,
+    "csv_roundtrip_documents": q_csv_roundtrip_documents,
+    "profile_orders": q_profile_orders,
 }
 
 
@@ -189,6 +220,13 @@ FROM information_schema.columns
 WHERE table_name IN ({", ".join("'" + t + "'" for t in TABLES)})"""
 
 
+_ROW_FIELDS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+_text_fields = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _ROW_FIELDS)
+_html_fields = ", ".join(
+    f"replace(replace(replace(coalesce(CAST({c} AS VARCHAR), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    for c in _ROW_FIELDS)
+
+
 _USAGE_WIDE = """
 WITH day AS (
   SELECT user_id,
@@ -260,6 +298,26 @@ FROM c JOIN s ON c.rn = s.rn""",
     "nation_dependency": f"SELECT {_REPORT_COLS} FROM ({_dependency_sql(_NATION_EDGES, _NATION_GROUPS)})",
     "nation_dependency_json": f'SELECT "Group ID", json FROM ({_dependency_sql(_NATION_EDGES, _NATION_GROUPS)})',
     "schema_catalog": _CATALOG_SQL,
+    "row_report_customer": f"""
+SELECT c_custkey,
+       concat_ws(',', {_text_fields}) AS text_line,
+       '<tr><td>' || concat_ws('</td><td>', {_html_fields}) || '</td></tr>' AS html_line
+FROM customer""",
+    "audit_events": """
+SELECT event_type, count(*) AS total_rows, count(*) FILTER (WHERE value < 1) AS null_rows,
+       count(*) FILTER (WHERE value >= 1) AS valid_rows, grouping(event_type) = 1 AS is_total
+FROM events GROUP BY ROLLUP (event_type)""",
+    "csv_roundtrip_documents": """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents""",
+    "profile_orders": """
+WITH n AS (SELECT count(*) AS rows, count(o_orderkey) AS c1, count(o_custkey) AS c2, count(o_orderstatus) AS c3,
+                  count(o_totalprice) AS c4, count(o_orderdate) AS c5, count(o_orderpriority) AS c6 FROM orders)
+SELECT 1 AS position, 'o_orderkey' AS "column", 'bigint' AS type, c1 AS non_null, rows - c1 AS nulls, rows FROM n
+UNION ALL SELECT 2, 'o_custkey', 'bigint', c2, rows - c2, rows FROM n
+UNION ALL SELECT 3, 'o_orderstatus', 'string', c3, rows - c3, rows FROM n
+UNION ALL SELECT 4, 'o_totalprice', 'double', c4, rows - c4, rows FROM n
+UNION ALL SELECT 5, 'o_orderdate', 'timestamp_ntz', c5, rows - c5, rows FROM n
+UNION ALL SELECT 6, 'o_orderpriority', 'string', c6, rows - c6, rows FROM n""",
     "bulk_load_orders": """
 WITH inc AS (
   SELECT o_orderkey, o_custkey, 'P' AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, 1 AS seq

@@ -13,7 +13,7 @@ from tessera.sources.files import CSV_OPTIONS
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True,
               null_marker: str | None = None, single_file: bool = False, quote_all: bool = False,
-              timestamp_format: str = "yyyy-MM-dd HH:mm:ss", **options) -> None:
+              timestamp_format: str = "yyyy-MM-dd HH:mm:ss", partition_by=None, **options) -> None:
     """CSV with the readers' dialect (``escape='"'`` on both sides).
 
     ``null_marker`` writes null as that text (the reader must be given the same marker).
@@ -23,11 +23,15 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool =
     out = drop_null_fields(df)  # the CSV writer rejects void columns
     if single_file:
         out = out.coalesce(1)
+    # the writer trims surrounding blanks unless told not to: keep values exactly
     w = out.write.mode(mode).options(**CSV_OPTIONS).option("header", str(header).lower()) \
         .option("quoteAll", str(quote_all).lower()) \
+        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false") \
         .option("timestampFormat", timestamp_format).option("timestampNTZFormat", timestamp_format)
     if null_marker is not None:
         w = w.option("nullValue", null_marker)
+    if partition_by:
+        w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     w.options(**{k: str(v) for k, v in options.items()}).csv(path)
 
 
