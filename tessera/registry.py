@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans import audit as j4
+from tessera.plans import load_op as j2
+from tessera.sinks.files import write_csv
 from tessera.plans import bulk_load as j9
 from tessera.plans import row_report as j10
 from tessera.operators.inspect import profile
@@ -135,6 +137,18 @@ def q_profile_orders(spark, sf_dir):
     return profile(table(spark, sf_dir, "orders"))
 
 
+def q_load_op_orders(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    landing, out = scratch_path(spark, "landing"), scratch_path(spark, "load-out")
+    write_csv(orders, f"{landing}/tpch/orders/LOAD00000001.csv")
+    # a change file next to it: same folder, not a load file, must be left alone
+    changes = orders.filter(F.col("o_orderstatus") == "F").select(F.lit("U").alias("Op"), *orders.columns)
+    write_csv(changes, f"{landing}/tpch/orders/20240102-changes.csv")
+    j2.add_load_op(spark, landing, out, orders.columns, checkpoint=scratch_path(spark, "load-ckpt"),
+                   archive_dir=scratch_path(spark, "load-archive"))
+    return j2.read_output(spark, out).select("Op", *orders.columns, "database", "table")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scrub_customer": q_scrub_customer,
     "scrub_documents": q_scrub_documents,
@@ -152,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_events": q_audit_events,
     "csv_roundtrip_documents": q_csv_roundtrip_documents,
     "profile_orders": q_profile_orders,
+    "load_op_orders": q_load_op_orders,
 }
 
 
@@ -298,6 +313,12 @@ FROM c JOIN s ON c.rn = s.rn""",
     "nation_dependency": f"SELECT {_REPORT_COLS} FROM ({_dependency_sql(_NATION_EDGES, _NATION_GROUPS)})",
     "nation_dependency_json": f'SELECT "Group ID", json FROM ({_dependency_sql(_NATION_EDGES, _NATION_GROUPS)})',
     "schema_catalog": _CATALOG_SQL,
+    "load_op_orders": """
+SELECT 'I' AS Op, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
+       o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice,
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority,
+       'tpch' AS database, 'orders' AS "table"
+FROM orders""",
     "row_report_customer": f"""
 SELECT c_custkey,
        concat_ws(',', {_text_fields}) AS text_line,

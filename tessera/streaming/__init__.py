@@ -1 +1,5 @@
 """Structured Streaming jobs (A8 file ingestion, J2 load-file alignment)."""
+
+from tessera.streaming.ingest import ingest_new_files, run_available_now
+
+__all__ = ["ingest_new_files", "run_available_now"]
