@@ -11,22 +11,21 @@ from tessera.functions._util import as_col, int_div
 SIZE_UNITS = [("KB", 10**3), ("MB", 10**6), ("GB", 10**9), ("TB", 10**12), ("PB", 10**15)]
 
 
-def _one_decimal(n: Column, unit: int, name: str) -> Column:
-    # tenths of the unit, rounded half up on the exact integer; no carry into the next unit
-    tenths = int_div(n + F.lit(unit // 20), unit // 10)
-    return F.concat(int_div(tenths, 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(name))
-
-
 def human_size(col) -> Column:
     """Bytes below 1000 as ``<n>B``; otherwise one decimal of the largest unit not above the value.
 
     The input is cast to BIGINT first (callers should pass integer byte counts). 999,999 gives
-    ``1000.0KB`` (no carry), 10**15 and above use PB.
+    ``1000.0KB`` (no carry), 10**15 and above use PB. Written as a unit lookup rather than one
+    branch per unit, which keeps the generated code small.
     """
     n = as_col(col).cast("long")
-    expr = F.when(n < 1000, F.concat(n.cast("string"), F.lit("B")))
-    for i, (name, unit) in enumerate(SIZE_UNITS):
-        upper = SIZE_UNITS[i + 1][1] if i + 1 < len(SIZE_UNITS) else None
-        cond = n < upper if upper is not None else F.lit(True)
-        expr = expr.when(cond, _one_decimal(n, unit, name))
-    return expr
+    k = F.lit(0)
+    for _, unit in SIZE_UNITS:
+        k = k + (n >= F.lit(unit)).cast("int")
+    pick = k + F.lit(1)
+    half = F.element_at(F.array(F.lit(0), *[F.lit(u // 20) for _, u in SIZE_UNITS]), pick)
+    tenth = F.element_at(F.array(F.lit(1), *[F.lit(u // 10) for _, u in SIZE_UNITS]), pick)
+    name = F.element_at(F.array(*[F.lit(x) for x in ["B"] + [nm for nm, _ in SIZE_UNITS]]), pick)
+    tenths = int_div(n + half, tenth)
+    one_decimal = F.concat(int_div(tenths, 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), name)
+    return F.when(k == 0, F.concat(n.cast("string"), F.lit("B"))).otherwise(one_decimal)
