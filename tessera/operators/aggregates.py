@@ -76,6 +76,8 @@ def group_ids(edges: DataFrame, group: str, kind: str, item: str, keep_duplicate
     result itself.
     """
     e = edges if keep_duplicates else edges.dropDuplicates([group, kind, item])
+    # ids become text only after de-duplication (cheaper keys for the shuffle)
+    e = e.select(F.col(group).cast("string").alias(group), F.col(kind), F.col(item).cast("string").alias(item))
     per_kind = e.groupBy(group, kind).agg(F.array_sort(F.collect_list(item)).alias("ids"))
     return per_kind.groupBy(group).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(kind), F.col("ids"))))).alias(out))

@@ -12,11 +12,13 @@ from tessera.operators.projection import add_constant
 
 
 def edges_from(df: DataFrame, item, kind: str, groups, group: str = "group_id", item_name: str = "item_id",
-               kind_name: str = "kind") -> DataFrame:
+               kind_name: str = "kind", as_string: bool = True) -> DataFrame:
     """One edge ``(group, kind, item)`` per group id named by a resource row.
 
     ``groups`` is a column (or name) holding either one group id or an array of group ids;
     arrays are exploded (a null array contributes nothing), scalar nulls are dropped.
+    ``as_string=False`` keeps the ids' own types (cheaper to de-duplicate; ``group_ids``
+    turns them into text after de-duplication) when all sources share them.
     """
     g = F.col(groups) if isinstance(groups, str) else groups
     it = F.col(item) if isinstance(item, str) else item
@@ -25,8 +27,10 @@ def edges_from(df: DataFrame, item, kind: str, groups, group: str = "group_id",
         out = df.select(F.explode(g).alias(group), F.lit(kind).alias(kind_name), it.alias(item_name))
     else:
         out = df.select(g.alias(group), F.lit(kind).alias(kind_name), it.alias(item_name))
-    return out.filter(F.col(group).isNotNull() & F.col(item_name).isNotNull()) \
-              .select(F.col(group).cast("string").alias(group), kind_name,
+    out = out.filter(F.col(group).isNotNull() & F.col(item_name).isNotNull())
+    if not as_string:
+        return out
+    return out.select(F.col(group).cast("string").alias(group), kind_name,
                       F.col(item_name).cast("string").alias(item_name))
 
 

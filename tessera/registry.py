@@ -67,7 +67,7 @@ def q_positional_merge(spark, sf_dir):
 def _supplier_report(spark, sf_dir):
     groups = j6.supplier_groups(table(spark, sf_dir, "supplier"))
     li = table(spark, sf_dir, "lineitem")
-    edges = j6.group_edges([j6.edges_from(li, "l_partkey", "PART", "l_suppkey")])
+    edges = j6.group_edges([j6.edges_from(li, "l_partkey", "PART", "l_suppkey", as_string=False)])
     return j6.dependency_report(groups, edges)
 
 
