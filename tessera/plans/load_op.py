@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.paths import key_parts, relative_to
+from tessera.functions.paths import dirname, key_parts, relative_to
 from tessera.operators.sets import align_union
 from tessera.sources.files import select_files
 from tessera.streaming.ingest import ingest_new_files, run_available_now
@@ -28,18 +28,46 @@ def load_rows(spark: SparkSession, landing: str, columns, archive_dir: str | Non
     s = select_files(s, "file", name_regex=LOAD_FILE_PATTERN, root=landing)
     parts = key_parts(relative_to(F.col("file"), landing))
     s = s.select(*[F.col(f"`{c}`") for c in columns], F.element_at(parts, 1).alias("database"),
-                 F.element_at(parts, 2).alias("table"))
+                 F.element_at(parts, 2).alias("table"), dirname(F.col("file")).alias("source_folder"))
     return align_union(s, op_col="Op", op_value="I")
 
 
 def add_load_op(spark: SparkSession, landing: str, out: str, columns, checkpoint: str,
                 archive_dir: str | None = None) -> None:
     """Run once over everything new: output CSV under ``out/database=<db>/table=<t>/`` (header on)."""
-    rows = load_rows(spark, landing, columns, archive_dir)
+    rows = load_rows(spark, landing, columns, archive_dir).drop("source_folder")
     run_available_now(rows, out, checkpoint, fmt="csv", partition_by=["database", "table"],
                       options={"header": "true"})
 
 
+def add_load_op_in_place(spark: SparkSession, landing: str, columns, checkpoint: str,
+                         archive_dir: str | None = None, max_files: int = 1000) -> None:
+    """B6 variant: each load file's rows go back into the load file's own folder, as
+    ``<folder>/op-<batch>/part-*.csv`` (names the load-file rule does not match, so they are not
+    consumed again).
+
+    Each micro-batch overwrites its own ``op-<batch>`` folders, so a replayed batch after a
+    failure rewrites the same files instead of adding duplicates. The folder list of a batch is
+    bounded by ``max_files`` (files per trigger).
+    """
+    from tessera.sinks.files import write_csv
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            # one row per source folder of this batch (at most max_files of them)
+            for row in batch.select("source_folder").distinct().collect():
+                part = batch.filter(F.col("source_folder") == row.source_folder)
+                write_csv(part.drop("source_folder", "database", "table"), f"{row.source_folder}/op-{batch_id}")
+        finally:
+            batch.unpersist()
+
+    rows = load_rows(spark, landing, columns, archive_dir)
+    q = (rows.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def read_output(spark: SparkSession, out: str) -> DataFrame:
     """The output as written so far (only committed files, via the sink's log)."""
     return spark.read.options(header="true", quote='"', escape='"').csv(out)

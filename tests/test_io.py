@@ -85,3 +85,13 @@ def test_with_file_path(spark, tmp_dir):
     write_csv(spark.createDataFrame([("1",)], "id string"), p)
     df = with_file_path(read_csv(spark, p), "file")
     assert df.first()["file"].endswith(".csv")
+
+
+def test_load_op_in_place(spark, tmp_dir):
+    landing = os.path.join(tmp_dir, "landing")
+    write_csv(spark.createDataFrame([("1", "x"), ("2", None)], "a string, b string"), f"{landing}/db/t/LOAD00000001.csv")
+    j2.add_load_op_in_place(spark, landing, ["a", "b"], os.path.join(tmp_dir, "ckpt"))
+    # the output sits in the load file's folder, under a name the load rule does not take
+    out = read_csv(spark, f"{landing}/db/t/LOAD00000001.csv/op-*")
+    assert out.columns == ["Op", "a", "b"]
+    assert sorted(tuple(r) for r in out.collect()) == [("I", "1", "x"), ("I", "2", None)]
