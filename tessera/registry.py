@@ -149,6 +149,13 @@ def q_load_op_orders(spark, sf_dir):
     return j2.read_output(spark, out).select("Op", *orders.columns, "database", "table")
 
 
+def q_daily_average_events(spark, sf_dir):
+    from tessera.operators.aggregates import daily_average
+
+    d = daily_average(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "value")
+    return d.withColumn("average", F.round("average", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scrub_customer": q_scrub_customer,
     "scrub_documents": q_scrub_documents,
@@ -167,6 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_roundtrip_documents": q_csv_roundtrip_documents,
     "profile_orders": q_profile_orders,
     "load_op_orders": q_load_op_orders,
+    "daily_average_events": q_daily_average_events,
 }
 
 
@@ -313,6 +321,9 @@ FROM c JOIN s ON c.rn = s.rn""",
     "nation_dependency": f"SELECT {_REPORT_COLS} FROM ({_dependency_sql(_NATION_EDGES, _NATION_GROUPS)})",
     "nation_dependency_json": f'SELECT "Group ID", json FROM ({_dependency_sql(_NATION_EDGES, _NATION_GROUPS)})',
     "schema_catalog": _CATALOG_SQL,
+    "daily_average_events": """
+SELECT user_id, event_type, date_trunc('day', ts) AS window_start, round(avg(value), 6) AS average
+FROM events GROUP BY user_id, event_type, date_trunc('day', ts)""",
     "load_op_orders": """
 SELECT 'I' AS Op, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
        o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice,
