@@ -32,21 +32,22 @@ def group_edges(edge_parts: Iterable[DataFrame], groups: DataFrame | None = None
     return union_edges(parts)
 
 
-def dependency_map(edges: DataFrame, keep_duplicates: bool = False) -> DataFrame:
+def dependency_map(edges: DataFrame, keep_duplicates: bool = False, chunk_size: int | None = 1_000_000) -> DataFrame:
     """F8: ``(group_id, resources map<kind, array<id>>)``."""
-    return group_ids(edges, "group_id", "kind", "item_id", keep_duplicates=keep_duplicates)
+    return group_ids(edges, "group_id", "kind", "item_id", keep_duplicates=keep_duplicates, chunk_size=chunk_size)
 
 
 def dependency_report(groups: DataFrame, edges: DataFrame, scope=None, legacy_used: bool = False,
-                      keep_duplicates: bool = False) -> DataFrame:
+                      keep_duplicates: bool = False, chunk_size: int | None = 1_000_000) -> DataFrame:
     """One row per requested group (``groups``: GroupId, GroupName, VPC; ``scope`` picks one VPC).
 
     Groups without any user are kept with an empty map; ``Used`` is ``NO`` for them unless
-    ``legacy_used`` (then always ``YES``, as the source report printed).
+    ``legacy_used`` (then always ``YES``, as the source report printed). A group using more than
+    ``chunk_size`` ids of one kind spans several rows (same ``Group ID``), each with a share.
     """
     seeds = in_scope(groups, "VPC", scope).select(F.col("GroupId").cast("string").alias("group_id"),
                                                   "GroupName", "VPC")
-    facts = dependency_map(edges, keep_duplicates)
+    facts = dependency_map(edges, keep_duplicates, chunk_size)
     empty = F.create_map().cast("map<string,array<string>>")
     rep = seeds.join(facts, on="group_id", how="left").withColumn("resources", F.coalesce("resources", empty))
     text = resources_text("resources")

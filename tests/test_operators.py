@@ -179,3 +179,18 @@ def test_restrict_to_keeps_unknown(spark):
     facts = spark.createDataFrame([("a", 1)], "k string, n int")
     out = {r.k: r.n for r in restrict_to(ids, facts, "k", empty={"n": F.lit(0)}).collect()}
     assert out == {"a": 1, "q": 0}
+
+
+def test_group_ids_splits_a_hot_group_into_bounded_parts(spark):
+    hot = spark.range(0, 5000).select(F.lit("g-hot").alias("g"), F.lit("EC2").alias("t"), F.col("id").cast("string").alias("i"))
+    cold = spark.createDataFrame([("g-cold", "EC2", "x"), ("g-cold", "ELB", "y"), ("g-cold", "EC2", "x")], "g string, t string, i string")
+    out = group_ids(hot.unionByName(cold).unionByName(hot), "g", "t", "i", chunk_size=500, salts=64)
+    rows = out.collect()
+    cold_rows = [r for r in rows if r.g == "g-cold"]
+    assert len(cold_rows) == 1 and cold_rows[0].resources == {"EC2": ["x"], "ELB": ["y"]} and cold_rows[0].part == 0
+    hot_rows = [r for r in rows if r.g == "g-hot"]
+    assert len(hot_rows) == 10
+    ids = [x for r in hot_rows for x in r.resources["EC2"]]
+    assert sorted(ids) == sorted(str(i) for i in range(5000))  # every id once, none dropped
+    assert all(r.resources["EC2"] == sorted(r.resources["EC2"]) for r in hot_rows)
+    assert max(len(r.resources["EC2"]) for r in hot_rows) < 2 * 500
