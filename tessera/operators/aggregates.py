@@ -68,34 +68,35 @@ def class_totals(df: DataFrame, classes: Sequence[str], total_name: str = "Total
 
 
 def group_ids(edges: DataFrame, group: str, kind: str, item: str, keep_duplicates: bool = False,
-              out: str = "resources", chunk_size: int | None = 1_000_000, salts: int = 4096) -> DataFrame:
+              out: str = "resources", chunk_size: int | None = 1_000_000) -> DataFrame:
     """F8: per group, a map ``kind -> sorted ids`` in column ``out``, plus a ``part`` number.
 
     Distinct edges first (keyed on all three columns, so a hot group is spread by id and
-    de-duplicated map-side). Ids are then gathered in ``salts`` hash slices per (group, kind),
-    which keeps every task's share of a hot group small. Slices are merged into parts of about
-    ``chunk_size`` ids: an ordinary group gives one row (``part = 0``) with all its ids sorted; a
-    group with more ids gives several rows, each holding a disjoint, sorted share of them (no id
-    is dropped, and no single row or task has to hold a list of unbounded length).
-    ``chunk_size=None`` always gives one row per group.
+    de-duplicated map-side). An ordinary group gives one row (``part = 0``) with all its ids
+    sorted. A (group, kind) with more than ``chunk_size`` ids is split by a hash of the id into
+    ``ceil(n / chunk_size)`` parts, one row each, holding disjoint sorted shares: no id is
+    dropped and no row or task gathers an unbounded list. Only the keys of such large groups
+    (at most edges / ``chunk_size`` rows) meet the edges, so the planner can broadcast them when
+    their measured size allows, or split a skewed join otherwise. ``chunk_size=None`` always
+    gives one row per group.
     """
     e = edges if keep_duplicates else edges.dropDuplicates([group, kind, item])
     # ids become text only after de-duplication (cheaper keys for the shuffle)
     e = e.select(F.col(group).cast("string").alias(group), F.col(kind), F.col(item).cast("string").alias(item))
+
+    def collect(df: DataFrame, keys) -> DataFrame:
+        return df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("ids"))
+
     if chunk_size is None:
-        per_kind = e.groupBy(group, kind).agg(F.array_sort(F.collect_list(item)).alias("ids")) \
-                    .withColumn("part", F.lit(0))
+        per_kind = collect(e, [group, kind]).withColumn("part", F.lit(0))
     else:
-        keys = [group, kind, "__salt"]
-        sliced = e.groupBy(group, kind, F.pmod(F.xxhash64(item), F.lit(salts)).alias("__salt")) \
-                  .agg(F.collect_list(item).alias("__ids"))
-        # slice sizes per (group, kind): at most `salts` small rows per group, so this join has no hot key
-        sizes = sliced.groupBy(group, kind).agg(F.sum(F.size("__ids")).alias("__n"))
-        parts = F.greatest(F.ceil(F.col("__n") / F.lit(chunk_size)), F.lit(1)).cast("int")
-        assign = sliced.select(*keys).join(sizes, [group, kind]) \
-                       .select(*keys, F.pmod(F.col("__salt"), parts).alias("part"))
-        per_kind = sliced.join(assign, keys).groupBy(group, kind, "part") \
-                         .agg(F.array_sort(F.flatten(F.collect_list("__ids"))).alias("ids"))
+        large = e.groupBy(group, kind).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > chunk_size)
+        small = collect(e.join(large.select(group, kind), [group, kind], "left_anti"), [group, kind]) \
+            .withColumn("part", F.lit(0))
+        parts = F.ceil(F.col("__n") / F.lit(chunk_size)).cast("long")
+        split = e.join(large, [group, kind]) \
+                 .withColumn("part", F.pmod(F.xxhash64(F.col(item)), parts).cast("int"))
+        per_kind = small.unionByName(collect(split, [group, kind, "part"]))
     return per_kind.groupBy(group, "part").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(kind), F.col("ids"))))).alias(out))
 

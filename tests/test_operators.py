@@ -184,7 +184,7 @@ def test_restrict_to_keeps_unknown(spark):
 def test_group_ids_splits_a_hot_group_into_bounded_parts(spark):
     hot = spark.range(0, 5000).select(F.lit("g-hot").alias("g"), F.lit("EC2").alias("t"), F.col("id").cast("string").alias("i"))
     cold = spark.createDataFrame([("g-cold", "EC2", "x"), ("g-cold", "ELB", "y"), ("g-cold", "EC2", "x")], "g string, t string, i string")
-    out = group_ids(hot.unionByName(cold).unionByName(hot), "g", "t", "i", chunk_size=500, salts=64)
+    out = group_ids(hot.unionByName(cold).unionByName(hot), "g", "t", "i", chunk_size=500)
     rows = out.collect()
     cold_rows = [r for r in rows if r.g == "g-cold"]
     assert len(cold_rows) == 1 and cold_rows[0].resources == {"EC2": ["x"], "ELB": ["y"]} and cold_rows[0].part == 0
