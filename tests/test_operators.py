@@ -33,11 +33,39 @@ def test_row_index_file_order(spark):
     assert sorted(r.idx for r in rows) == list(range(c.count()))
 
 
+def _indent(line):
+    return len(line) - len(line.lstrip(" :|+-"))
+
+
+def single_partition_outside_broadcast(plan: str) -> list:
+    """Lines of ``Exchange SinglePartition`` that do not sit below a ``BroadcastExchange``."""
+    lines = plan.splitlines()
+    bad = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" not in line:
+            continue
+        level, inside = _indent(line), False
+        for up in reversed(lines[:i]):
+            if _indent(up) < level:
+                level = _indent(up)
+                if "BroadcastExchange" in up:
+                    inside = True
+                    break
+        if not inside:
+            bad.append(line)
+    return bad
+
+
 def test_row_index_plan_has_no_single_partition_row_path(spark):
-    c = spark.read.parquet(f"{DATA}/customer.parquet")
-    plan = add_row_index(c, "idx", checkpoint=False)._jdf.queryExecution().executedPlan().toString()
-    # the only single-partition step is the offsets window over one row per partition (broadcast side)
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+    li = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    for df in (add_row_index(li, "idx", checkpoint=False), add_row_index(li, "idx", order_by=["l_orderkey"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" in plan  # the offsets window over one row per partition ...
+        assert single_partition_outside_broadcast(plan) == []  # ... only on the broadcast side
+    # the checker does see an unpartitioned row_number (the plan this operator avoids)
+    from pyspark.sql import Window
+    naive = li.withColumn("rn", F.row_number().over(Window.orderBy("l_orderkey")))
+    assert single_partition_outside_broadcast(naive._jdf.queryExecution().executedPlan().toString())
 
 
 def test_positional_join_cuts_longer_side(spark):
