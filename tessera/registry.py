@@ -128,6 +128,12 @@ def q_audit_events(spark, sf_dir):
                     "total_rows", "null_rows", "valid_rows", "is_total")
 
 
+def q_audit_null_rows(spark, sf_dir):
+    path = scratch_path(spark, "audit")
+    j4.events_folder(table(spark, sf_dir, "events"), path)
+    return j4.null_rows(spark, path, key="id").select("id", "ts", "user_id", "value", "props", "event_type")
+
+
 def q_csv_roundtrip_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     return j3.csv_round_trip(docs, scratch_path(spark, "roundtrip"), null_marker="NA")
@@ -171,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bulk_load_orders": q_bulk_load_orders,
     "row_report_customer": q_row_report_customer,
     "audit_events": q_audit_events,
+    "audit_null_rows": q_audit_null_rows,
     "csv_roundtrip_documents": q_csv_roundtrip_documents,
     "profile_orders": q_profile_orders,
     "load_op_orders": q_load_op_orders,
@@ -339,6 +346,10 @@ FROM customer""",
 SELECT event_type, count(*) AS total_rows, count(*) FILTER (WHERE value < 1) AS null_rows,
        count(*) FILTER (WHERE value >= 1) AS valid_rows, grouping(event_type) = 1 AS is_total
 FROM events GROUP BY ROLLUP (event_type)""",
+    "audit_null_rows": """
+SELECT CAST(NULL AS VARCHAR) AS id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, CAST(user_id AS VARCHAR) AS user_id,
+       CAST(value AS VARCHAR) AS value, props, event_type
+FROM events WHERE value < 1""",
     "csv_roundtrip_documents": """
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents""",
     "profile_orders": """
