@@ -56,3 +56,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root for written intermediate tables."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root.rstrip("/"), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def scale_settings(input_bytes: int, executors_cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for an input volume: scan splits and shuffle partitions of about
+    ``partition_bytes`` (so a task's share fits executor memory and spills rarely), AQE to merge
+    small partitions and split skewed ones at run time.
+
+    Example: 100 TB over 1,000 executors x 8 cores -> ~400k shuffle partitions of 256 MB.
+    """
+    shuffle = max(executors_cores * 2, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes * 2),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
+def apply_settings(spark: SparkSession, settings: dict[str, str]) -> None:
+    for k, v in settings.items():
+        spark.conf.set(k, v)

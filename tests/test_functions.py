@@ -87,3 +87,11 @@ def test_sql_functions_match_columns(spark):
     assert dict(spark.sql("select v, map_sql_type(v) from ty").collect()) == TYPE_CASES
     plan = spark.sql("select human_size(length(v)) from fx")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_scale_settings():
+    from tessera.session import scale_settings
+
+    s = scale_settings(100 * 10**12, 8000)
+    assert int(s["spark.sql.shuffle.partitions"]) == -(-100 * 10**12 // (256 << 20))
+    assert s["spark.sql.adaptive.skewJoin.enabled"] == "true"
