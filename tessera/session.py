@@ -39,8 +39,11 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a private one only when none is configured."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session: the server side owns the setting
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         # Unset: only the case in local tests. On a cluster the setting names a shared folder.
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
