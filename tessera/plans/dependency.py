@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.render import resources_text
 from tessera.operators.aggregates import group_ids
 from tessera.operators.filters import in_scope
-from tessera.operators.joins import referencing_groups
+from tessera.operators.joins import referencing_groups, restrict_to
 from tessera.operators.sets import edges_from, union_edges
 
 REPORT_COLUMNS = ["Group ID", "Group Name", "VPC", "Used", "Comments", "Used Resources"]
@@ -49,7 +49,7 @@ def dependency_report(groups: DataFrame, edges: DataFrame, scope=None, legacy_us
                                                   "GroupName", "VPC")
     facts = dependency_map(edges, keep_duplicates, chunk_size)
     empty = F.create_map().cast("map<string,array<string>>")
-    rep = seeds.join(facts, on="group_id", how="left").withColumn("resources", F.coalesce("resources", empty))
+    rep = restrict_to(seeds, facts, "group_id", empty={"resources": empty})
     text = resources_text("resources")
     used = F.lit("YES") if legacy_used else F.when(text != "", F.lit("YES")).otherwise(F.lit("NO"))
     return rep.select(F.col("group_id").alias("Group ID"), F.col("GroupName").alias("Group Name"),

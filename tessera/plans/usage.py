@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions._util import int_div
 from tessera.functions.sizes import human_size
-from tessera.operators.aggregates import pivot_classes, row_total
+from tessera.operators.aggregates import class_totals, pivot_classes, row_total
 from tessera.operators.filters import day_bounds, time_range
 from tessera.operators.ranking import ranked
 
@@ -53,7 +53,7 @@ def usage_report(table: DataFrame, entity: str) -> DataFrame:
 
 def usage_totals(table: DataFrame) -> DataFrame:
     """per-class totals and the grand total, as text."""
-    t = table.agg(*[F.sum(c).alias(c) for c in SHORT_CLASSES], F.sum("Total").alias("Total"))
+    t = class_totals(table, SHORT_CLASSES, "Total")
     return t.select(human_size("ST").alias("StandardTotal"), human_size("IA").alias("IATotal"),
                     human_size("RR").alias("RRTotal"), human_size("Total").alias("GrandTotal"))
 
