@@ -1,6 +1,5 @@
 import hashlib
 
-from pyspark.sql import functions as F
 
 from tessera.functions import (hash_email, hash_value, human_size, map_sql_type, newlines_to_space, render_html,
                                render_text, resources_text, valid_format)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import (add_constant, add_row_index, apply_mapping, audit_files, drop_null_fields,
-                               edges_from, group_ids, ids_of, make_struct, nested_ids, older_than,
+                               edges_from, group_ids, ids_of, make_struct, nested_ids,
                                positional_join, profile, referencing_groups, rename_all, restrict_to,
                                rules_from_nested, union_edges, unreferenced, upsert)
 from tessera.plans import dependency as j6
