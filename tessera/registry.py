@@ -45,6 +45,16 @@ def q_scrub_documents(spark, sf_dir):
     return j1.scrub(j1.documents_input(table(spark, sf_dir, "documents")))
 
 
+def q_scrub_customer_sql(spark, sf_dir):
+    """J1 through the SQL surface: the column functions registered as SQL functions."""
+    from tessera.functions import sql as fsql
+
+    fsql.register(spark)
+    j1.customer_input(table(spark, sf_dir, "customer")).createOrReplaceTempView("tessera_scrub_input")
+    return spark.sql("SELECT 1 AS col0, col1, col2, hash_email(col3) AS col3, newlines_to_space(col4) AS col4, col5 "
+                     "FROM tessera_scrub_input")
+
+
 def q_stale_orders(spark, sf_dir):
     items = j7.orders_input(table(spark, sf_dir, "orders"))
     active = j7.open_line_orders(table(spark, sf_dir, "lineitem"))
@@ -165,6 +175,7 @@ def q_daily_average_events(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scrub_customer": q_scrub_customer,
     "scrub_documents": q_scrub_documents,
+    "scrub_customer_sql": q_scrub_customer_sql,
     "stale_orders": q_stale_orders,
     "usage_report": q_usage_report,
     "usage_totals": q_usage_totals,
@@ -383,3 +394,5 @@ FROM ({_CATALOG_SQL})
 GROUP BY database, "table"
 """,
 }
+
+ORACLE["scrub_customer_sql"] = ORACLE["scrub_customer"]
