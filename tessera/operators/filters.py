@@ -48,9 +48,12 @@ def day_bounds(as_of, days_back: int = 1) -> tuple[_dt.datetime, _dt.datetime]:
 
 def time_range(df: DataFrame, column: str, start: _dt.datetime, end: _dt.datetime) -> DataFrame:
     """``start <= ts < end``. Literals typed like the column (NTZ vs LTZ) so the filter pushes down."""
-    kind = "timestamp_ntz" if df.schema[column].dataType.simpleString() == "timestamp_ntz" else "timestamp"
-    lo = F.expr(f"{kind}'{start.isoformat(' ')}'")
-    hi = F.expr(f"{kind}'{end.isoformat(' ')}'")
+    if df.schema[column].dataType.simpleString() == "timestamp_ntz":
+        lo = F.expr(f"timestamp_ntz'{start.isoformat(' ')}'")
+        hi = F.expr(f"timestamp_ntz'{end.isoformat(' ')}'")
+    else:  # instants: the bounds are UTC day boundaries whatever the session time zone
+        lo = F.expr(f"timestamp'{start.isoformat(' ')}Z'")
+        hi = F.expr(f"timestamp'{end.isoformat(' ')}Z'")
     return df.filter((F.col(column) >= lo) & (F.col(column) < hi))
 
 

@@ -24,13 +24,16 @@ def add_constant(df: DataFrame, name: str, value, first: bool = True) -> DataFra
 
 
 def apply_mapping(df: DataFrame, mappings: Sequence[tuple[str, str, str, str]]) -> DataFrame:
-    """Keep, rename and cast the listed columns only; a failed cast gives null (``try_cast``)."""
+    """Keep, rename and cast the listed columns only; a failed cast gives null (``try_cast``),
+    and a listed column that the input lacks gives a column of nulls."""
     out = []
     schema = {f.name: f.dataType for f in df.schema.fields}
     for src, _src_type, dst, dst_type in mappings:
         c = F.col(f"`{src}`")
         target = sql_type(dst_type)
-        if schema.get(src) is not None and schema[src].simpleString() == target:
+        if src not in schema:  # a field absent from the input comes out as nulls of the target type
+            out.append(F.lit(None).cast(target).alias(dst))
+        elif schema[src].simpleString() == target:
             out.append(c.alias(dst))
         else:
             out.append(c.try_cast(target).alias(dst))

@@ -222,3 +222,10 @@ def test_group_ids_splits_a_hot_group_into_bounded_parts(spark):
     assert sorted(ids) == sorted(str(i) for i in range(5000))  # every id once, none dropped
     assert all(r.resources["EC2"] == sorted(r.resources["EC2"]) for r in hot_rows)
     assert max(len(r.resources["EC2"]) for r in hot_rows) < 2 * 500
+
+
+def test_apply_mapping_missing_source_is_null(spark):
+    df = spark.createDataFrame([("1",)], "a string")
+    out = apply_mapping(df, [("a", "string", "a", "long"), ("zz", "string", "b", "string")])
+    assert out.columns == ["a", "b"] and tuple(out.first()) == (1, None)
+    assert out.schema["b"].dataType.simpleString() == "string"
