@@ -11,7 +11,8 @@ from tessera.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[*]", 8, app="tessera-tests")
+    warehouse = tempfile.mkdtemp(prefix="tessera-warehouse-")
+    s = build_session("local[*]", 8, app="tessera-tests", extra={"spark.sql.warehouse.dir": warehouse})
     yield s
     s.stop()
 

@@ -95,3 +95,19 @@ def test_load_op_in_place(spark, tmp_dir):
     out = read_csv(spark, f"{landing}/db/t/LOAD00000001.csv/op-*")
     assert out.columns == ["Op", "a", "b"]
     assert sorted(tuple(r) for r in out.collect()) == [("I", "1", "x"), ("I", "2", None)]
+
+
+def test_catalog_table_and_columns(spark):
+    from tessera.plans.catalog import schema_catalog, schema_document
+    from tessera.sources import columns_of_catalog, read_table, tables_of
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS tdb")
+    spark.createDataFrame([(1, "a", 2.5)], "id bigint, name string, amount double") \
+        .write.mode("overwrite").saveAsTable("tdb.t1")
+    assert read_table(spark, "tdb", "t1").count() == 1
+    cols = columns_of_catalog(spark, "tdb")
+    assert [r.table for r in tables_of(cols, "tdb").collect()] == ["t1"]
+    got = [(r.position, r.column, r.mapped_type) for r in schema_catalog(cols, "tdb").orderBy("position").collect()]
+    assert got == [(1, "id", "long"), (2, "name", "string"), (3, "amount", "float")]
+    doc = schema_document(schema_catalog(cols, "tdb")).first()
+    assert doc.columns == "id,name,amount" and doc.schema == '{"id":"long","name":"string","amount":"float"}'
