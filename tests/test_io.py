@@ -111,3 +111,19 @@ def test_catalog_table_and_columns(spark):
     assert got == [(1, "id", "long"), (2, "name", "string"), (3, "amount", "float")]
     doc = schema_document(schema_catalog(cols, "tdb")).first()
     assert doc.columns == "id,name,amount" and doc.schema == '{"id":"long","name":"string","amount":"float"}'
+
+
+def test_publish_and_download_plans(spark, tmp_dir):
+    from tessera.plans.file_copies import download_plan, publish_plan
+
+    df = spark.createDataFrame([(1, "a")], "x int, y string")
+    write_dual(df, tmp_dir, "db1", "table1")
+    with open(os.path.join(tmp_dir, "db1_csv", "x_$folder$"), "w") as fh:
+        fh.write("")
+    plan = publish_plan(spark, tmp_dir, "db1", "s3://target").collect()
+    assert plan and all("/db1_csv/table1/" in r.source for r in plan)
+    assert all(r.target.startswith("s3://target/db1/table1/") and r.target.endswith(".csv") for r in plan)
+    assert not any("$folder$" in r.source for r in plan)
+    dl = download_plan(spark, tmp_dir, "db1_parquet/", "/data").collect()
+    assert dl and all(r.out_dir == "/data/db1_parquet/table1" for r in dl)
+    assert all(r.output_file == "/data/" + r.key for r in dl)
