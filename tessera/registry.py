@@ -61,6 +61,14 @@ def q_stale_orders(spark, sf_dir):
     return j7.stale_items(items, active, days=100, as_of="2001-08-01")
 
 
+def q_orders_without_lines(spark, sf_dir):
+    """E3 alone: orders that no line item refers to."""
+    from tessera.operators.joins import unreferenced
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return unreferenced(orders, table(spark, sf_dir, "lineitem"), "o_orderkey", active_key="l_orderkey")
+
+
 def q_usage_report(spark, sf_dir):
     return j5.usage_report(j5.events_table(table(spark, sf_dir, "events")), "user_id")
 
@@ -177,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scrub_documents": q_scrub_documents,
     "scrub_customer_sql": q_scrub_customer_sql,
     "stale_orders": q_stale_orders,
+    "orders_without_lines": q_orders_without_lines,
     "usage_report": q_usage_report,
     "usage_totals": q_usage_totals,
     "positional_merge": q_positional_merge,
@@ -396,3 +405,6 @@ GROUP BY database, "table"
 }
 
 ORACLE["scrub_customer_sql"] = ORACLE["scrub_customer"]
+ORACLE["orders_without_lines"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus FROM orders
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"""
