@@ -43,6 +43,13 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     w.parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, keys, buckets: int, mode: str = "overwrite") -> None:
+    """A table stored bucketed (and sorted) by its key: later joins on the key against it
+    (e.g. the upsert's anti-join) shuffle only the other side."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+
+
 def dual_paths(base: str, database: str, table: str) -> tuple[str, str]:
     """``{base}/{db}_csv/{table}`` and ``{base}/{db}_parquet/{table}``."""
     base = base.rstrip("/")

@@ -39,3 +39,32 @@ def test_usage_day_filter_pushed(spark):
 def test_stale_orders_pushes_line_status(spark):
     plan = plan_of(se.queries()["stale_orders"](spark, SF))
     assert "EqualTo(l_linestatus,O)" in plan
+
+
+def test_upsert_against_bucketed_base_shuffles_only_the_batch(spark):
+    from tessera.operators import upsert
+    from tessera.sinks import write_bucketed
+
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    spark.sql("CREATE DATABASE IF NOT EXISTS tplan")
+    write_bucketed(orders, "tplan.orders_b", "o_orderkey", 8)
+    base = spark.table("tplan.orders_b")
+    batch = orders.filter("o_orderstatus = 'O'").withColumn("seq", orders.o_orderkey * 0)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                                "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in old:
+            spark.conf.set(k, "-1")
+        out = upsert(base, batch, ["o_orderkey"], order_by=["seq"])
+        plan = plan_of(out).splitlines()
+        scan = [i for i, line in enumerate(plan) if "Bucketed: true" in line]
+        assert scan, "base should be read as a bucketed scan"
+        # the base is fed to the join straight from its bucketed files (no exchange above the scan)
+        assert "Exchange" not in plan[scan[0] - 1] and "SortMergeJoin" in plan[scan[0] - 2]
+        assert out.count() == orders.count()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
