@@ -41,14 +41,15 @@ def add_load_op(spark: SparkSession, landing: str, out: str, columns, checkpoint
 
 
 def add_load_op_in_place(spark: SparkSession, landing: str, columns, checkpoint: str,
-                         archive_dir: str | None = None, max_files: int = 1000) -> None:
+                         archive_dir: str | None = None, max_files: int = 1000, single_file: bool = False) -> None:
     """B6 variant: each load file's rows go back into the load file's own folder, as
     ``<folder>/op-<batch>/part-*.csv`` (names the load-file rule does not match, so they are not
     consumed again).
 
     Each micro-batch overwrites its own ``op-<batch>`` folders, so a replayed batch after a
     failure rewrites the same files instead of adding duplicates. The folder list of a batch is
-    bounded by ``max_files`` (files per trigger).
+    bounded by ``max_files`` (files per trigger). ``single_file`` writes one file per folder and
+    batch (B5: one task per folder, i.e. about one source file's rows).
     """
     from tessera.sinks.files import write_csv
 
@@ -58,7 +59,8 @@ def add_load_op_in_place(spark: SparkSession, landing: str, columns, checkpoint:
             # one row per source folder of this batch (at most max_files of them)
             for row in batch.select("source_folder").distinct().collect():
                 part = batch.filter(F.col("source_folder") == row.source_folder)
-                write_csv(part.drop("source_folder", "database", "table"), f"{row.source_folder}/op-{batch_id}")
+                write_csv(part.drop("source_folder", "database", "table"), f"{row.source_folder}/op-{batch_id}",
+                          single_file=single_file)
         finally:
             batch.unpersist()
 
