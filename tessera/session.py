@@ -48,7 +48,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Unset: only the case in local tests. On a cluster the setting names a shared folder.
+        # Unset: only acceptable in local tests. On a cluster the setting must name a shared
+        # folder; a machine-local temporary folder would not survive the loss of this machine.
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not str(master).startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (cluster session without one)")
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is None:
