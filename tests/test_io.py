@@ -78,6 +78,18 @@ def test_file_stream_consumes_each_file_once(spark, tmp_dir):
     j2.add_load_op(spark, landing, out, cols, ckpt, archive)
     got = sorted(tuple(r) for r in j2.read_output(spark, out).select("Op", "a", "b").collect())
     assert got == [("I", "1", "x"), ("I", "2", "y")]
+    # consumed files are moved out of the landing folder, one run later and in the background
+    import time
+
+    def archived():
+        return [f for d, _, fs in os.walk(archive) for f in fs if "LOAD00000001" in d and f.endswith(".csv")]
+    deadline = time.time() + 30
+    while not archived() and time.time() < deadline:
+        time.sleep(0.5)
+    assert archived()
+    assert not [f for d, _, fs in os.walk(landing) for f in fs if "LOAD00000001" in d and f.endswith(".csv")]
+    # the change file was never consumed
+    assert [f for d, _, fs in os.walk(landing) for f in fs if "cdc.csv" in d and f.endswith(".csv")]
 
 
 def test_with_file_path(spark, tmp_dir):
