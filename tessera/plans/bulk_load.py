@@ -44,22 +44,32 @@ def typed_rows(raw: DataFrame, base_schema: T.StructType) -> DataFrame:
 
 
 def load_table(spark: SparkSession, root: str, database: str, table: str, base: DataFrame,
-               keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """B9 for one table: returns (new table, per-file rows/bad-value counts)."""
+               keys: Sequence[str], ignore_errors: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """B9 for one table: returns (new table, per-file rows/bad-value counts).
+
+    A file holding a value that does not convert to the table's type is not applied at all
+    (like a failed load of that file), unless ``"bad values"`` is in ``ignore_errors``; then its
+    rows load with nulls in place of the bad values. Other files load either way.
+    """
     raw = read_table_files(spark, root, database, table, base.columns)
     typed = typed_rows(raw, base.schema)
-    result = upsert(base, typed, keys, order_by=_ORDER)
     per_file = typed.groupBy(F.col("__file").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"),
                                                                 F.sum("__bad").alias("n_bad_values"))
-    return result, per_file
+    batch = typed
+    if "bad values" not in ignore_errors:
+        # one row per failed file: small next to the rows, the planner broadcasts it when it can
+        failed = per_file.filter(F.col("n_bad_values") > 0).select(F.col("file").alias("__file"))
+        batch = typed.join(failed, "__file", "left_anti")
+    return upsert(base, batch, keys, order_by=_ORDER), per_file
 
 
 def load_status(spark: SparkSession, root: str, per_file: DataFrame | None,
-                targets: Sequence[tuple[str, str]]) -> DataFrame:
+                targets: Sequence[tuple[str, str]], ignore_errors: Sequence[str] = ()) -> DataFrame:
     """``(file, database, table, status, reason, n_rows)`` for every file under ``root``.
 
-    A file at another depth than ``<database>/<table>/<file>`` or for a table that is not a
-    target fails alone; the other files still load.
+    A file at another depth than ``<database>/<table>/<file>``, for a table that is not a
+    target, or with values that do not convert fails alone; the other files still load. Reasons
+    listed in ``ignore_errors`` count as success.
     """
     files = path_columns(list_files(spark, root), root)
     target_rows = spark.createDataFrame([(d, t) for d, t in targets], "database string, table string") \
@@ -70,23 +80,27 @@ def load_status(spark: SparkSession, root: str, per_file: DataFrame | None,
     else:
         st = st.withColumn("n_rows", F.lit(None).cast("long")).withColumn("n_bad_values", F.lit(None).cast("long"))
     reason = (F.when(F.col("bad_path"), F.lit("bad path"))
-               .when(F.col("__known").isNull(), F.lit("unknown table")))
+               .when(F.col("__known").isNull(), F.lit("unknown table"))
+               .when(F.coalesce(F.col("n_bad_values"), F.lit(0)) > 0, F.lit("bad values")))
+    if ignore_errors:
+        reason = F.when(reason.isin(list(ignore_errors)), F.lit(None).cast("string")).otherwise(reason)
     return st.select("file", "database", "table",
                      F.when(reason.isNull(), F.lit("Success")).otherwise(F.lit("Failed")).alias("status"),
                      reason.alias("reason"), "n_rows", "n_bad_values")
 
 
-def bulk_load(spark: SparkSession, root: str, targets: Mapping[tuple[str, str], tuple[DataFrame, Sequence[str]]]):
+def bulk_load(spark: SparkSession, root: str, targets: Mapping[tuple[str, str], tuple[DataFrame, Sequence[str]]],
+              ignore_errors: Sequence[str] = ()):
     """Whole job: ``targets`` maps (database, table) -> (current table, key columns).
 
     Returns ``({(db, table): new table}, status)``.
     """
     results, per_files = {}, None
     for (db, t), (base, keys) in targets.items():
-        res, pf = load_table(spark, root, db, t, base, keys)
+        res, pf = load_table(spark, root, db, t, base, keys, ignore_errors)
         results[(db, t)] = res
         per_files = pf if per_files is None else per_files.unionByName(pf)
-    return results, load_status(spark, root, per_files, list(targets))
+    return results, load_status(spark, root, per_files, list(targets), ignore_errors)
 
 
 # Test-data shape: a change batch for ``orders``. Open orders get two versions (the later one

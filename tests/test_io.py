@@ -141,3 +141,17 @@ def test_publish_and_download_plans(spark, tmp_dir):
     dl = download_plan(spark, tmp_dir, "db1_parquet/", "/data").collect()
     assert dl and all(r.out_dir == "/data/db1_parquet/table1" for r in dl)
     assert all(r.output_file == "/data/" + r.key for r in dl)
+
+
+def test_bulk_load_bad_values_fail_their_file_only(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "landing")
+    base = spark.createDataFrame([(1, 1.5)], "k long, x double")
+    write_csv(spark.createDataFrame([("2", "2.5")], "k string, x string").coalesce(1), f"{root}/db/t")
+    write_csv(spark.createDataFrame([("3", "oops")], "k string, x string").coalesce(1), f"{root}/db/t", mode="append")
+    results, status = j9.bulk_load(spark, root, {("db", "t"): (base, ["k"])})
+    assert sorted(tuple(r) for r in results[("db", "t")].collect()) == [(1, 1.5), (2, 2.5)]
+    st = sorted((r.status, r.reason, r.n_bad_values) for r in status.filter(F.col("file").endswith(".csv")).collect())
+    assert st == [("Failed", "bad values", 1), ("Success", None, 0)]
+    results, status = j9.bulk_load(spark, root, {("db", "t"): (base, ["k"])}, ignore_errors=["bad values"])
+    assert sorted(tuple(r) for r in results[("db", "t")].collect()) == [(1, 1.5), (2, 2.5), (3, None)]
+    assert {r.status for r in status.filter(F.col("file").endswith(".csv")).collect()} == {"Success"}
