@@ -32,3 +32,11 @@ def header_lines(columns: Sequence[str]) -> tuple[str, str]:
 def write_body(lines: DataFrame, path: str, kind: str = "html_line") -> None:
     """The lines as a text folder (one line per row); the header is added by the sender."""
     lines.select(kind).write.mode("overwrite").text(path)
+
+
+def report_from_csv(spark, path: str, multi_line: bool = False) -> tuple[tuple[str, str], DataFrame]:
+    """The whole job for a header CSV: (header as text and HTML, one text/HTML line per row)."""
+    from tessera.sources.files import read_csv
+
+    df = read_csv(spark, path, multi_line=multi_line)
+    return header_lines(df.columns), row_lines(df)

@@ -58,3 +58,14 @@ def test_row_report_header_and_recipient():
     assert text == "a,b<c" and html == "<tr><th>a</th><th>b&lt;c</th></tr>"
     assert j10.valid_recipient("x.y+z@mail.example.com")
     assert not j10.valid_recipient("x@y")
+
+
+def test_row_report_from_csv(spark, tmp_dir):
+    from tessera.sinks import write_csv
+
+    p = os.path.join(tmp_dir, "in")
+    write_csv(spark.createDataFrame([("a&b", "1"), (None, "2")], "name string, n string").coalesce(1), p)
+    (text, html), lines = j10.report_from_csv(spark, p)
+    assert text == "name,n" and html == "<tr><th>name</th><th>n</th></tr>"
+    got = sorted(tuple(r) for r in lines.collect())
+    assert got == [(",2", "<tr><td></td><td>2</td></tr>"), ("a&b,1", "<tr><td>a&amp;b</td><td>1</td></tr>")]
