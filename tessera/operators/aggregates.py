@@ -67,18 +67,26 @@ def class_totals(df: DataFrame, classes: Sequence[str], total_name: str = "Total
     return df.agg(*[F.sum(c).alias(c) for c in classes], F.sum(row_total(classes)).alias(total_name))
 
 
+# Largest number of (group, kind) keys above ``chunk_size`` that is broadcast (about 10 MB).
+MAX_BROADCAST_LARGE_GROUPS = 200_000
+
+
 def group_ids(edges: DataFrame, group: str, kind: str, item: str, keep_duplicates: bool = False,
-              out: str = "resources", chunk_size: int | None = 1_000_000) -> DataFrame:
+              out: str = "resources", chunk_size: int | None = 1_000_000, salts: int = 4096) -> DataFrame:
     """F8: per group, a map ``kind -> sorted ids`` in column ``out``, plus a ``part`` number.
 
     Distinct edges first (keyed on all three columns, so a hot group is spread by id and
     de-duplicated map-side). An ordinary group gives one row (``part = 0``) with all its ids
     sorted. A (group, kind) with more than ``chunk_size`` ids is split by a hash of the id into
     ``ceil(n / chunk_size)`` parts, one row each, holding disjoint sorted shares: no id is
-    dropped and no row or task gathers an unbounded list. Only the keys of such large groups
-    (at most edges / ``chunk_size`` rows) meet the edges, so the planner can broadcast them when
-    their measured size allows, or split a skewed join otherwise. ``chunk_size=None`` always
-    gives one row per group.
+    dropped and no row or task gathers an unbounded list. ``chunk_size=None`` always gives one
+    row per group.
+
+    How large groups are found is decided by their number (one counting job, checked before
+    anything is broadcast): none -> no join at all; up to ``MAX_BROADCAST_LARGE_GROUPS`` -> their
+    keys are broadcast, so the edges are never shuffled by group; more -> ids are first gathered
+    in ``salts`` hash slices per (group, kind) and only slice keys (at most ``salts`` per group)
+    meet the group sizes.
     """
     e = edges if keep_duplicates else edges.dropDuplicates([group, kind, item])
     # ids become text only after de-duplication (cheaper keys for the shuffle)
@@ -87,16 +95,32 @@ def group_ids(edges: DataFrame, group: str, kind: str, item: str, keep_duplicate
     def collect(df: DataFrame, keys) -> DataFrame:
         return df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("ids"))
 
+    def parts_of(n):
+        return F.ceil(n / F.lit(chunk_size)).cast("long")
+
     if chunk_size is None:
         per_kind = collect(e, [group, kind]).withColumn("part", F.lit(0))
     else:
         large = e.groupBy(group, kind).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > chunk_size)
-        small = collect(e.join(large.select(group, kind), [group, kind], "left_anti"), [group, kind]) \
-            .withColumn("part", F.lit(0))
-        parts = F.ceil(F.col("__n") / F.lit(chunk_size)).cast("long")
-        split = e.join(large, [group, kind]) \
-                 .withColumn("part", F.pmod(F.xxhash64(F.col(item)), parts).cast("int"))
-        per_kind = small.unionByName(collect(split, [group, kind, "part"]))
+        n_large = large.count()
+        if n_large == 0:
+            per_kind = collect(e, [group, kind]).withColumn("part", F.lit(0))
+        elif n_large <= MAX_BROADCAST_LARGE_GROUPS:
+            big = F.broadcast(large)
+            small = collect(e.join(big.select(group, kind), [group, kind], "left_anti"), [group, kind]) \
+                .withColumn("part", F.lit(0))
+            split = e.join(big, [group, kind]).withColumn(
+                "part", F.pmod(F.xxhash64(F.col(item)), parts_of(F.col("__n"))).cast("int"))
+            per_kind = small.unionByName(collect(split, [group, kind, "part"]))
+        else:
+            keys = [group, kind, "__salt"]
+            sliced = e.groupBy(group, kind, F.pmod(F.xxhash64(F.col(item)), F.lit(salts)).alias("__salt")) \
+                      .agg(F.collect_list(item).alias("__ids"))
+            sizes = sliced.groupBy(group, kind).agg(F.sum(F.size("__ids")).alias("__n"))
+            assign = sliced.select(*keys).join(sizes, [group, kind]) \
+                           .select(*keys, F.pmod(F.col("__salt"), parts_of(F.col("__n"))).cast("int").alias("part"))
+            per_kind = sliced.join(assign, keys).groupBy(group, kind, "part") \
+                             .agg(F.array_sort(F.flatten(F.collect_list("__ids"))).alias("ids"))
     return per_kind.groupBy(group, "part").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(kind), F.col("ids"))))).alias(out))
 

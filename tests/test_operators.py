@@ -224,6 +224,19 @@ def test_group_ids_splits_a_hot_group_into_bounded_parts(spark):
     assert max(len(r.resources["EC2"]) for r in hot_rows) < 2 * 500
 
 
+def test_group_ids_slice_fallback_for_many_large_groups(spark, monkeypatch):
+    from tessera.operators import aggregates
+
+    monkeypatch.setattr(aggregates, "MAX_BROADCAST_LARGE_GROUPS", 0)
+    hot = spark.range(0, 3000).select(F.lit("g-hot").alias("g"), F.lit("EC2").alias("t"), F.col("id").cast("string").alias("i"))
+    cold = spark.createDataFrame([("g-cold", "EC2", "x")], "g string, t string, i string")
+    rows = group_ids(hot.unionByName(cold), "g", "t", "i", chunk_size=500, salts=64).collect()
+    hot_rows = [r for r in rows if r.g == "g-hot"]
+    assert len(hot_rows) == 6
+    assert sorted(x for r in hot_rows for x in r.resources["EC2"]) == sorted(str(i) for i in range(3000))
+    assert [r.resources for r in rows if r.g == "g-cold"] == [{"EC2": ["x"]}]
+
+
 def test_apply_mapping_missing_source_is_null(spark):
     df = spark.createDataFrame([("1",)], "a string")
     out = apply_mapping(df, [("a", "string", "a", "long"), ("zz", "string", "b", "string")])
