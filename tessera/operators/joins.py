@@ -71,12 +71,17 @@ def positional_join(left: DataFrame, right: DataFrame, left_order=None, right_or
 
 
 def unreferenced(all_items: DataFrame, active: DataFrame, key, active_key: str | None = None) -> DataFrame:
-    """Items whose key does not occur in ``active`` (anti-join; nulls in ``active`` are harmless)."""
+    """Items whose key does not occur in ``active`` (anti-join; nulls in ``active`` are harmless).
+
+    The active keys are made distinct first: a partial aggregate that collapses a key referenced by
+    a third of all rows before the shuffle (the build side of an anti-join cannot be split by skew
+    handling), and whose partitioning the join then reuses.
+    """
     if active_key and active_key != key:
         active = active.select(F.col(active_key).alias(key))
     else:
         active = active.select(key)
-    return all_items.join(active, on=key, how="left_anti")
+    return all_items.join(active.distinct(), on=key, how="left_anti")
 
 
 def restrict_to(ids: DataFrame, facts: DataFrame, key: str, empty: dict | None = None) -> DataFrame:
