@@ -41,7 +41,8 @@ def columns_of_frames(spark: SparkSession, database: str, frames: Iterable[tuple
 
 def columns_of_catalog(spark: SparkSession, database: str) -> DataFrame:
     """A10 source from the session catalog."""
-    frames = [(t.name, spark.table(f"`{database}`.`{t.name}`")) for t in spark.catalog.listTables(database)]
+    frames = [(t.name, spark.table(f"`{database}`.`{t.name}`")) for t in spark.catalog.listTables(database)
+              if not t.isTemporary]  # session views are listed with every database
     return columns_of_frames(spark, database, frames)
 
 
