@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import ensure_checkpoint_dir
+
 
 def row_count(df: DataFrame, name: str = "n_rows") -> DataFrame:
     """F1 as a one-row DataFrame."""
@@ -82,8 +84,8 @@ def group_ids(edges: DataFrame, group: str, kind: str, item: str, keep_duplicate
     dropped and no row or task gathers an unbounded list. ``chunk_size=None`` always gives one
     row per group.
 
-    How large groups are found is decided by their number (one counting job, checked before
-    anything is broadcast): none -> no join at all; up to ``MAX_BROADCAST_LARGE_GROUPS`` -> their
+    The distinct edges are checkpointed once. How large groups are found is decided by their
+    number (one counting job, checked before anything is broadcast): none -> no join at all; up to ``MAX_BROADCAST_LARGE_GROUPS`` -> their
     keys are broadcast, so the edges are never shuffled by group; more -> ids are first gathered
     in ``salts`` hash slices per (group, kind) and only slice keys (at most ``salts`` per group)
     meet the group sizes.
@@ -101,6 +103,10 @@ def group_ids(edges: DataFrame, group: str, kind: str, item: str, keep_duplicate
     if chunk_size is None:
         per_kind = collect(e, [group, kind]).withColumn("part", F.lit(0))
     else:
+        # the distinct edges are written once (shared checkpoint folder): the size check below and
+        # the final plan both read them instead of computing the edge sources twice
+        ensure_checkpoint_dir(edges.sparkSession)
+        e = e.checkpoint(eager=True)
         large = e.groupBy(group, kind).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > chunk_size)
         n_large = large.count()
         if n_large == 0:

@@ -2,7 +2,7 @@
 
 Runs the id-map (F8) and the last-row-per-key pick (B9) on `lineitem`-derived data where one
 group / key holds every third row, then reads the event log (written to a scratch folder) and
-prints, per stage, the task count and the largest and median shuffle records read by one task.
+prints, per stage, the task count and the largest and median shuffle bytes read by one task.
 
 Usage: python tools/skew_check.py [sf_dir]
 """
@@ -25,7 +25,7 @@ from tessera.session import build_session  # noqa: E402
 
 
 def stage_stats(log_dir: str) -> list[tuple[str, int, int, int, int]]:
-    """(job description, stage, tasks, largest and median shuffle records read by one task)."""
+    """(job description, stage, tasks, largest and median shuffle bytes read by one task)."""
     reads: dict[int, list[int]] = {}
     label_of: dict[int, str] = {}
     for path in sorted(glob.glob(os.path.join(log_dir, "**", "*"), recursive=True)):
@@ -40,8 +40,8 @@ def stage_stats(log_dir: str) -> list[tuple[str, int, int, int, int]]:
                         label_of[sid] = desc
                 if ev.get("Event") != "SparkListenerTaskEnd":
                     continue
-                m = ev.get("Task Metrics") or {}
-                n = (m.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0)
+                m = (ev.get("Task Metrics") or {}).get("Shuffle Read Metrics") or {}
+                n = m.get("Local Bytes Read", 0) + m.get("Remote Bytes Read", 0)
                 reads.setdefault(ev["Stage ID"], []).append(n)
     out = []
     for sid in sorted(reads):
@@ -79,9 +79,9 @@ def main() -> None:
                       F.col("l_linenumber").alias("seq"), "l_partkey", "l_quantity")
     run("latest_per_key with a hot key", latest_per_key(batch, ["k"], ["seq"]))
     spark.stop()
-    print(f"{'job':48s} stage tasks  max_read_by_one_task  median")
+    print(f"{'job':48s} stage tasks  max_bytes_one_task  median_bytes")
     for label, sid, tasks, mx, med in stage_stats(log_dir):
-        print(f"{label[:48]:48s} {sid:5d} {tasks:5d}  {mx:20d}  {med:6d}")
+        print(f"{label[:48]:48s} {sid:5d} {tasks:5d}  {mx:18d}  {med:12d}")
 
 
 if __name__ == "__main__":
