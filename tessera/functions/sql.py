@@ -46,7 +46,7 @@ def _hash_email_sql(s: str) -> str:
 FUNCTIONS = {
     "hash_email": ("s STRING", "STRING", _hash_email_sql("s")),
     "hash_value": ("s STRING", "STRING", "sha2(s, 256)"),
-    "newlines_to_space": ("s STRING", "STRING", "translate(s, char(10), ' ')"),
+    "newlines_to_space": ("s STRING", "STRING", "replace(s, char(10), ' ')"),
     "human_size": ("n BIGINT", "STRING", _human_size_sql("n")),
     "map_sql_type": ("t STRING", "STRING", _map_type_sql("t")),
     "is_email": ("s STRING", "BOOLEAN", rf"s RLIKE r'\A(?:{EMAIL_PATTERN})\z'"),

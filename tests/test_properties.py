@@ -92,3 +92,13 @@ def test_csv_writer_and_reader_round_trip(spark, values):
     write_csv(df, path, null_marker="NA")
     back = {r.i: r.v for r in read_csv(spark, path, multi_line=True, null_marker="NA").collect()}
     assert back == dict(rows)
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("ab\n\r \t,é漢😀")), max_size=40)),
+                max_size=20))
+def test_newlines_to_space_matches_plain_replace(spark, texts):
+    from tessera.functions import newlines_to_space
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    got = {r.i: r.v for r in df.select("i", newlines_to_space("v").alias("v")).collect()}
+    assert got == {i: (None if t is None else t.replace("\n", " ")) for i, t in enumerate(texts)}
