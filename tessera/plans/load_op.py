@@ -41,7 +41,8 @@ def add_load_op(spark: SparkSession, landing: str, out: str, columns, checkpoint
 
 
 def add_load_op_in_place(spark: SparkSession, landing: str, columns, checkpoint: str,
-                         archive_dir: str | None = None, max_files: int = 1000, single_file: bool = False) -> None:
+                         archive_dir: str | None = None, max_files: int = 1000, single_file: bool = False,
+                         parallel_writes: int = 8) -> None:
     """B6 variant: each load file's rows go back into the load file's own folder, as
     ``<folder>/op-<batch>/part-*.csv`` (names the load-file rule does not match, so they are not
     consumed again).
@@ -50,17 +51,28 @@ def add_load_op_in_place(spark: SparkSession, landing: str, columns, checkpoint:
     failure rewrites the same files instead of adding duplicates. The folder list of a batch is
     bounded by ``max_files`` (files per trigger). ``single_file`` writes one file per folder and
     batch (B5: one task per folder, i.e. about one source file's rows).
+
+    The batch is cached sorted by folder inside each partition (no shuffle), so the filter of one
+    folder skips the other folders' cached blocks by their column statistics instead of reading
+    the whole batch again; up to ``parallel_writes`` folder writes run as concurrent jobs.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from tessera.sinks.files import write_csv
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = batch.sortWithinPartitions("source_folder").persist()
         try:
             # one row per source folder of this batch (at most max_files of them)
-            for row in batch.select("source_folder").distinct().collect():
-                part = batch.filter(F.col("source_folder") == row.source_folder)
-                write_csv(part.drop("source_folder", "database", "table"), f"{row.source_folder}/op-{batch_id}",
+            folders = [r.source_folder for r in batch.select("source_folder").distinct().collect()]
+
+            def write_folder(folder: str) -> None:
+                part = batch.filter(F.col("source_folder") == folder)
+                write_csv(part.drop("source_folder", "database", "table"), f"{folder}/op-{batch_id}",
                           single_file=single_file)
+
+            with ThreadPoolExecutor(max_workers=max(1, min(parallel_writes, len(folders)))) as pool:
+                list(pool.map(write_folder, folders))
         finally:
             batch.unpersist()
 

@@ -102,13 +102,16 @@ def test_with_file_path(spark, tmp_dir):
 def test_load_op_in_place(spark, tmp_dir):
     landing = os.path.join(tmp_dir, "landing")
     write_csv(spark.createDataFrame([("1", "x"), ("2", None)], "a string, b string"), f"{landing}/db/t/LOAD00000001.csv")
+    write_csv(spark.createDataFrame([("3", "y")], "a string, b string"), f"{landing}/db/u/LOAD00000001.csv")
     j2.add_load_op_in_place(spark, landing, ["a", "b"], os.path.join(tmp_dir, "ckpt"), single_file=True)
-    # the output sits in the load file's folder, under a name the load rule does not take
+    # the output sits in each load file's folder, under a name the load rule does not take
     out = read_csv(spark, f"{landing}/db/t/LOAD00000001.csv/op-*")
     assert out.columns == ["Op", "a", "b"]
     assert sorted(tuple(r) for r in out.collect()) == [("I", "1", "x"), ("I", "2", None)]
     written = [f for f in os.listdir(f"{landing}/db/t/LOAD00000001.csv/op-0") if f.endswith(".csv")]
     assert len(written) == 1
+    other = read_csv(spark, f"{landing}/db/u/LOAD00000001.csv/op-*")
+    assert [tuple(r) for r in other.collect()] == [("I", "3", "y")]
 
 
 def test_catalog_table_and_columns(spark):
