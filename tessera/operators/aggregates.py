@@ -85,7 +85,8 @@ def group_ids(edges: DataFrame, group: str, kind: str, item: str, keep_duplicate
     row per group.
 
     The distinct edges are checkpointed once. How large groups are found is decided by their
-    number (one counting job, checked before anything is broadcast): none -> no join at all; up to ``MAX_BROADCAST_LARGE_GROUPS`` -> their
+    number (one counting job, checked before anything is broadcast): none -> no join, and one
+    shuffle by group serves both aggregations; up to ``MAX_BROADCAST_LARGE_GROUPS`` -> their
     keys are broadcast, so the edges are never shuffled by group; more -> ids are first gathered
     in ``salts`` hash slices per (group, kind) and only slice keys (at most ``salts`` per group)
     meet the group sizes.
@@ -110,7 +111,9 @@ def group_ids(edges: DataFrame, group: str, kind: str, item: str, keep_duplicate
         large = e.groupBy(group, kind).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > chunk_size)
         n_large = large.count()
         if n_large == 0:
-            per_kind = collect(e, [group, kind]).withColumn("part", F.lit(0))
+            # no (group, kind) above chunk_size, so a group holds at most kinds x chunk_size ids:
+            # one shuffle by group serves both aggregations (the id lists are not moved again)
+            per_kind = collect(e.repartition(group), [group, kind]).withColumn("part", F.lit(0))
         elif n_large <= MAX_BROADCAST_LARGE_GROUPS:
             big = F.broadcast(large)
             small = collect(e.join(big.select(group, kind), [group, kind], "left_anti"), [group, kind]) \
