@@ -82,8 +82,8 @@ ORACLE: dict[str, str] = {
     "op10_quality_rules": rf"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}') AS ws,
-                     list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{_WORD}')) AS lines FROM t),
-        g AS (SELECT *, list_transform(generate_series(1, len(ws) - 2), i -> ws[i] || chr(0) || ws[i + 1] || chr(0) || ws[i + 2]) AS grams FROM w),
+                     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM t),
+        g AS (SELECT *, list_transform(generate_series(1, len(ws) - 2), lambda i: ws[i] || chr(0) || ws[i + 1] || chr(0) || ws[i + 2]) AS grams FROM w),
         p AS (SELECT doc_id, unnest(grams) AS gram, unnest(generate_series(1, len(grams))) AS i FROM g),
         d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM p) WHERE n > 1),
         r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM d, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
@@ -92,7 +92,7 @@ ORACLE: dict[str, str] = {
                      CAST(length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
                      CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
                      CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-                     len(list_filter(ws, x -> lower(x) IN ({_stop_list()}))) AS n_stop
+                     len(list_filter(ws, lambda x: lower(x) IN ({_stop_list()}))) AS n_stop
               FROM g LEFT JOIN r ON g.doc_id = r.doc_id),
         v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -107,29 +107,29 @@ ORACLE: dict[str, str] = {
         c AS (SELECT *, lag(CASE WHEN has THEN lower(line) END) OVER o AS before, lead(CASE WHEN has THEN lower(line) END) OVER o AS after
               FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY no)),
         t AS (SELECT doc_id, no, coalesce(before, chr(10)) || chr(0) || coalesce(after, chr(10)) AS context,
-                     list_transform(regexp_extract_all(lower(line), '{_WORD}'), w -> CASE WHEN regexp_matches(w, '[0-9]') THEN '{templates.FIELD}' ELSE w END) AS tokens
+                     list_transform(regexp_extract_all(lower(line), '{_WORD}'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{templates.FIELD}' ELSE w END) AS tokens
               FROM c WHERE has),
-        p AS (SELECT *, len(tokens) AS n, tokens[1:{templates.DEPTH}] AS leading FROM t),
-        k AS (SELECT DISTINCT n, leading, tokens FROM p WHERE n <= {templates.LONGEST}),
-        e AS (SELECT n, leading, unnest(tokens) AS token, unnest(generate_series(1, len(tokens))) AS at FROM k),
-        m AS (SELECT n, leading, at, token FROM (SELECT n, leading, at, token, row_number() OVER (PARTITION BY n, leading, at ORDER BY count(*) DESC, token DESC) AS r
-              FROM e GROUP BY n, leading, at, token) WHERE r = 1),
-        x AS (SELECT n, leading, list(token ORDER BY at) AS shape FROM m GROUP BY n, leading),
+        p AS (SELECT *, len(tokens) AS n, tokens[1:{templates.DEPTH}] AS lead_tokens FROM t),
+        k AS (SELECT DISTINCT n, lead_tokens, tokens FROM p WHERE n <= {templates.LONGEST}),
+        e AS (SELECT n, lead_tokens, unnest(tokens) AS token, unnest(generate_series(1, len(tokens))) AS place FROM k),
+        m AS (SELECT n, lead_tokens, place, token FROM (SELECT n, lead_tokens, place, token, row_number() OVER (PARTITION BY n, lead_tokens, place ORDER BY count(*) DESC, token DESC) AS r
+              FROM e GROUP BY n, lead_tokens, place, token) WHERE r = 1),
+        x AS (SELECT n, lead_tokens, list(token ORDER BY place) AS shape FROM m GROUP BY n, lead_tokens),
         q AS (SELECT p.doc_id, p.no, p.context, CASE WHEN p.n <= {templates.LONGEST} AND
-                     len(list_filter(generate_series(1, p.n), i -> p.tokens[i] = x.shape[i])) >= {templates.SIMILAR} * p.n
-                     THEN [CAST(p.n AS VARCHAR)] || p.leading ELSE [''] || p.tokens END AS template
-              FROM p LEFT JOIN x ON p.n = x.n AND p.leading = x.leading),
+                     len(list_filter(generate_series(1, p.n), lambda i: p.tokens[i] = x.shape[i])) >= {templates.SIMILAR} * p.n
+                     THEN [CAST(p.n AS VARCHAR)] || p.lead_tokens ELSE [''] || p.tokens END AS template
+              FROM p LEFT JOIN x ON p.n = x.n AND p.lead_tokens = x.lead_tokens),
         u AS (SELECT template, count(DISTINCT context) AS contexts FROM q GROUP BY template HAVING count(DISTINCT context) >= {templates.MIN_CONTEXTS})
         SELECT DISTINCT doc_id, no AS line_no, CAST(contexts AS BIGINT) AS contexts FROM q JOIN u ON q.template = u.template""",
     "op1_substring_dedup": rf"""
         WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS no FROM s),
-        o AS (SELECT doc_id, no, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM l),
-        w AS (SELECT doc_id, no, at, line, list_transform(regexp_extract_all(line, '{_WORD}'), x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws
+        o AS (SELECT doc_id, no, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM l),
+        w AS (SELECT doc_id, no, place, line, list_transform(regexp_extract_all(line, '{_WORD}'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws
               FROM o WHERE regexp_matches(line, '{_WORD}')),
         u AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS BIGINT) AS unit,
-                     CAST(at + length(line) - length(ltrim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS BIGINT) AS start,
-                     CAST(at + length(rtrim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS BIGINT) AS "end",
+                     CAST(place + length(line) - length(ltrim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS BIGINT) AS start,
+                     CAST(place + length(rtrim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS BIGINT) AS "end",
                      CAST(len(ws) AS BIGINT) AS n_words, array_to_string(ws, ' ') AS digest FROM w),
         f AS (SELECT *, first_value(doc_id) OVER g AS kept_doc_id, first_value(unit) OVER g AS kept_unit, first_value(start) OVER g AS kept_start
               FROM u WINDOW g AS (PARTITION BY digest ORDER BY doc_id, unit ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
