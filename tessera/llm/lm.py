@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import map_arrow, ship, written
-from tessera.llm.words import hash_words, mix, slices, text_bytes
+from tessera.llm.words import from_planes, hash_ranges, hash_words, mix, planes, slices, text_bytes
 
 CHUNK = 8 << 20
 MOST = 64 << 20
@@ -65,40 +65,21 @@ PACKED = ("chunk long, doc_ids array<long>, train array<boolean>, lengths array<
           "n_train long, n_tokens long")
 
 
-def _planes(keys: np.ndarray, width: int) -> bytes:
-    """Little-endian bytes of the keys, one plane after the other (sorted keys then compress well)."""
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _from_planes(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
-    return out.reshape(-1).view(np.uint64)
-
-
 def _dealt(ranges: int) -> Callable:
     """Each chunk's words with counts, and its training pairs, cut by hash range."""
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
-
-    def cut(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        part = (keys >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else [0]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield int(part[a]), int(a), int(b)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {name: batch.column(name)[r].as_py() for name in ("chunk", "train", "lengths", "vocabulary", "counts", "tokens")}
                 words, counts = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["counts"], np.uint32)
-                out = [(p, row["chunk"], words[a:b].tobytes(), counts[a:b].tobytes(), None, None, None) for p, a, b in cut(words)]
+                out = [(p, row["chunk"], words[a:b].tobytes(), counts[a:b].tobytes(), None, None, None) for p, a, b in hash_ranges(words, ranges)]
                 h = words[np.frombuffer(row["tokens"], np.uint32)]
                 before = np.concatenate([[np.uint64(END)], h[:-1]])
                 pairs, times = np.unique(pair_keys(before, h)[np.repeat(row["train"], row["lengths"])], return_counts=True)
-                for p, a, b in cut(pairs):
+                for p, a, b in hash_ranges(pairs, ranges):
                     once = times[a:b] == 1
                     own = pairs[a:b] & _LOW
-                    out.append((p, None, None, None, _planes(own[once], KEY_BYTES), _planes(own[~once], KEY_BYTES), times[a:b][~once].astype(np.uint32).tobytes()))
+                    out.append((p, None, None, None, planes(own[once], KEY_BYTES), planes(own[~once], KEY_BYTES), times[a:b][~once].astype(np.uint32).tobytes()))
                 kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
                 for i in range(0, len(out), 256):
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out[i:i + 256], strict=True), kinds, strict=True)], names=DEALT_NAMES)
@@ -176,7 +157,7 @@ def _summed(stretch: int, least: int) -> Callable:
                 lo += len(w) // 8
         once = [x for x in table.column("once").to_pylist() if x]
         more = [(x, t) for x, t in zip(table.column("more").to_pylist(), table.column("times").to_pylist(), strict=True) if x]
-        keys = [_from_planes(x, KEY_BYTES) for x in once] + [_from_planes(x, KEY_BYTES) for x, _ in more]
+        keys = [from_planes(x, KEY_BYTES) for x in once] + [from_planes(x, KEY_BYTES) for x, _ in more]
         if keys:
             times = np.concatenate([np.ones(sum(map(len, keys[:len(once)])), np.uint32), *[np.frombuffer(t, np.uint32) for _, t in more]])
             pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -247,7 +228,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     totals = summed.agg(F.sum("distinct"), F.sum("total")).first()
     distinct, total = (x or 0 for x in totals)
     words = bytearray(8 * stretch * ranges)
-    for row in summed.filter("words is not null").select("part", "words").toLocalIterator():
+    for row in summed.filter("words is not null").select("part", "words").collect():  # at most ``most`` bytes
         words[8 * stretch * row.part:8 * stretch * (row.part + 1)] = row.words
     model = spark.sparkContext.broadcast(bytes(words))
     scored = (packed.select("chunk", "doc_ids", "train", "lengths", "vocabulary", "tokens").groupBy("chunk")

@@ -132,3 +132,22 @@ def shingle_sets(column: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
             yield mix(mix(np.array([short], np.uint64)) + np.uint64(b - a))
         else:
             yield np.zeros(0, np.uint64)
+
+
+def planes(keys: np.ndarray, width: int) -> bytes:
+    """Little-endian bytes of the keys, one plane after the other (sorted keys then compress well)."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view(np.uint64)
+
+
+def hash_ranges(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """Sorted 64-bit keys cut by their leading bits into ``ranges`` (a power of two): number, first and end index."""
+    part = (keys >> np.uint64(64 - (ranges.bit_length() - 1))).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(part[a]), int(a), int(b)
