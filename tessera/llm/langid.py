@@ -29,7 +29,7 @@ PER_LANGUAGE = 4000
 WORDS = 20_000
 GRAMS = 20_000
 LONGEST = 4
-CACHE = 400_000
+CACHE = 100_000
 UNDETERMINED = "und"
 
 

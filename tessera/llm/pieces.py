@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tessera.llm.tables import map_arrow
 
 MARK = "▁"
-CACHE = 600_000
+CACHE = 250_000
 LONGEST_CACHED = 64
 MODEL_LIMIT = 64 << 20
 _LEAST = float("-inf")
