@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.tables import map_arrow
+from tessera.llm.tables import map_arrow, written
 
 PER_LANGUAGE = 4000
 WORDS = 20_000
@@ -47,7 +47,7 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, use: Column | Non
     labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
     if use is not None:
         labelled = labelled.filter(use)
-    counts = labelled.groupBy(F.col(lang).alias("known")).agg(F.count(F.lit(1)).alias("n"))
+    counts = written(labelled.groupBy(F.col(lang).alias("known")).agg(F.count(F.lit(1)).alias("n")), "language-counts")
     share = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 20)) / float(1 << 20)
     return (labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), share.alias("share"))
             .join(counts, F.col("lang") == F.col("known")).filter(F.col("share") < per_language / F.col("n")).select("lang", "text"))
@@ -80,19 +80,21 @@ class Model:
     """Log frequencies of units (words at 0, n-grams at n): one row of a matrix with a value per language."""
 
     def __init__(self, table: pa.Table) -> None:
-        columns = {c: np.array(table.column(c).to_pylist()) for c in ("lang", "n", "unit", "count", "total")}
-        self.langs = sorted(set(columns["lang"].tolist()))
-        at = np.searchsorted(self.langs, columns["lang"]) if self.langs else np.zeros(0, int)
+        self.langs = sorted(set(table.column("lang").to_pylist()))
+        position = {lang: i for i, lang in enumerate(self.langs)}
+        at = np.array([position[lang] for lang in table.column("lang").to_pylist()], np.int64)
+        kind, count, total = (table.column(c).to_numpy() for c in ("n", "count", "total"))
         self.index: list[dict[str, int]] = []
         self.rows: list[np.ndarray] = []
         for n in range(LONGEST + 1):
-            own = columns["n"] == n
-            units, place = np.unique(columns["unit"][own], return_inverse=True)
+            own = kind == n
+            coded = table.column("unit").filter(pa.array(own)).combine_chunks().dictionary_encode()
+            units, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
             counts, totals = np.zeros((len(units), len(self.langs))), np.ones(len(self.langs))
-            counts[place, at[own]] = columns["count"][own]
-            totals[at[own]] = columns["total"][own]
+            counts[place, at[own]] = count[own]
+            totals[at[own]] = total[own]
             logs = np.log((counts + 0.5) / (totals + 0.5 * (len(units) + 1)))
-            self.index.append({u: i for i, u in enumerate(units.tolist())})
+            self.index.append({u: i for i, u in enumerate(units)})
             self.rows.append(logs - logs.max(axis=1, keepdims=True) if len(units) else logs)
         self.cache: dict[str, np.ndarray] = {}
 
