@@ -23,7 +23,7 @@ def relative_to(col, root: str) -> Column:
     c = as_col(col)
     bare = F.regexp_replace(c, "^file:(//)?", "")
     bare_root = root.replace("file://", "").replace("file:", "")
-    return F.when(bare.startswith(bare_root), F.substring(bare, len(bare_root) + 1, 1 << 30)).otherwise(c)
+    return F.when(bare.startswith(bare_root), F.right(bare, F.length(bare) - len(bare_root))).otherwise(c)
 
 
 def rewrite_key(col, old: str, new: str, suffix: str = "") -> Column:

@@ -11,14 +11,10 @@ from pyspark.sql import functions as F
 from tessera.functions._util import as_col
 
 # Fixed values (must equal the source jobs' rules).
-# Address shape: local part, "@", domain label, ".", rest of the domain.
-EMAIL_LOCAL = "[a-zA-Z0-9_.+-]+"
-EMAIL_DOMAIN = "[a-zA-Z0-9-]+"
-EMAIL_REST = "[a-zA-Z0-9.-]+"
+EMAIL_PATTERN = "[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+"
 VPC_ID_PATTERN = "vpc-[0-9a-f]+"
 GROUP_ID_PATTERN = "sg-[0-9a-f]+"
 
-EMAIL_PATTERN = f"{EMAIL_LOCAL}@{EMAIL_DOMAIN}\\.{EMAIL_REST}"
 # Whole value is one address, optionally followed by a single trailing newline (a "$" at the
 # end of a pattern also matches just before a final newline; the newline itself is kept).
 _EMAIL_VALUE = f"\\A{EMAIL_PATTERN}\\n?\\z"

@@ -46,12 +46,12 @@ def pivot_classes(df: DataFrame, entity: str, cls: str, value: str, classes: Seq
                   time_col: str | None = "window_start", fill=0) -> DataFrame:
     """class values as columns (fixed list: no extra pass to find them), missing -> ``fill``.
 
-    Only the first data point per (entity, class) is used: the earliest ``time_col``.
+    Only the first data point per (entity, class) is used: the earliest ``time_col`` (without one, the least).
     """
     if time_col and time_col in df.columns:
         agg = F.min_by(F.col(value), F.col(time_col))
     else:
-        agg = F.first(F.col(value))
+        agg = F.min(F.col(value))
     out = df.groupBy(entity).pivot(cls, list(classes)).agg(agg)
     return out.na.fill(fill, subset=list(classes)) if fill is not None else out
 

@@ -25,11 +25,14 @@ def add_constant(df: DataFrame, name: str, value, first: bool = True) -> DataFra
 
 def apply_mapping(df: DataFrame, mappings: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """Keep, rename and cast the listed columns only; a failed cast gives null (``try_cast``),
-    and a listed column that the input lacks gives a column of nulls."""
+    and a listed column that the input lacks gives a column of nulls. Names are compared as the session
+    does (``spark.sql.caseSensitive``)."""
     out = []
-    schema = {f.name: f.dataType for f in df.schema.fields}
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive", "false") == "true"
+    schema = {f.name if exact else f.name.lower(): f.dataType for f in df.schema.fields}
     for src, _src_type, dst, dst_type in mappings:
         c = F.col(f"`{src}`")
+        src = src if exact else src.lower()
         target = sql_type(dst_type)
         if src not in schema:  # a field absent from the input comes out as nulls of the target type
             out.append(F.lit(None).cast(target).alias(dst))
@@ -103,18 +106,19 @@ def drop_null_fields(df: DataFrame, data: bool = False) -> DataFrame:
 def make_struct(df: DataFrame, name: str, types: Iterable[str] = ("long", "string")) -> DataFrame:
     """A column of mixed content -> struct with one field per type.
 
-    Each non-string field holds ``try_cast`` of the value; the ``string`` field holds the
-    original text only where no typed field could take it.
+    A value goes into the first listed type that can take it (``try_cast``); the ``string`` field holds
+    the original text where no typed field could. The other fields are null.
     """
     c = F.col(f"`{name}`")
     types = list(types)
-    typed = [(t, c.try_cast(sql_type(t))) for t in types if sql_type(t) != "string"]
-    fields = [expr.alias(t) for t, expr in typed]
+    fields, taken = [], F.lit(False)
+    for t in types:
+        if sql_type(t) != "string":
+            expr = c.try_cast(sql_type(t))
+            fields.append(F.when(~taken, expr).alias(t))
+            taken = taken | expr.isNotNull()
     if any(sql_type(t) == "string" for t in types):
-        none_fit = F.lit(True)
-        for _, expr in typed:
-            none_fit = none_fit & expr.isNull()
-        fields.append(F.when(none_fit, c.cast("string")).alias("string"))
+        fields.append(F.when(~taken, c.cast("string")).alias("string"))
     return df.withColumn(name, F.struct(*fields))
 
 

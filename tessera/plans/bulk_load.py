@@ -13,6 +13,7 @@ from tessera.sources.files import path_columns, read_csv
 from tessera.operators.upsert import upsert
 
 _ORDER = ["__file", "__block", "__pos"]
+_RAGGED = "__ragged"
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -24,9 +25,9 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 def read_table_files(spark: SparkSession, root: str, database: str, table: str, columns: Sequence[str]) -> DataFrame:
     """The rows of ``<root>/<database>/<table>/*`` as text, one header line skipped per file, each
     with its file, split offset and position (the file order used to pick the last duplicate)."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _RAGGED]])
     folder = f"{root.rstrip('/')}/{database}/{table}"
-    df = read_csv(spark, folder, schema=schema)
+    df = read_csv(spark, folder, schema=schema, multi_line=True, columnNameOfCorruptRecord=_RAGGED)
     return df.select("*", F.col("_metadata.file_path").alias("__file"),
                      F.col("_metadata.file_block_start").alias("__block"),
                      F.monotonically_increasing_id().alias("__pos"))
@@ -34,7 +35,8 @@ def read_table_files(spark: SparkSession, root: str, database: str, table: str,
 
 def typed_rows(raw: DataFrame, base_schema: T.StructType) -> DataFrame:
     """Text -> table types with ``try_cast``; ``__bad`` counts values that did not convert."""
-    cols, bad = [], F.lit(0)
+    # a record with fields missing or to spare counts as a bad value too
+    cols, bad = [], F.when(F.col(_RAGGED).isNotNull(), 1).otherwise(0)
     for f in base_schema.fields:
         txt = F.col(f"`{f.name}`")
         typed = txt.try_cast(f.dataType)
@@ -119,10 +121,9 @@ def orders_changes(orders: DataFrame) -> DataFrame:
     return v1.unionByName(v2).unionByName(new).select(*cols, "__seq")
 
 
-def write_changes(changes: DataFrame, root: str, database: str, table: str, keys: Sequence[str],
-                  files: int = 4) -> None:
+def write_changes(changes: DataFrame, root: str, database: str, table: str, keys: Sequence[str]) -> None:
     """Lay a change batch out as CSV files: all versions of a key in one file, in version order."""
     from tessera.sinks.files import write_csv
 
-    out = changes.repartition(files, *keys).sortWithinPartitions(*keys, "__seq").drop("__seq")
+    out = changes.repartition(*keys).sortWithinPartitions(*keys, "__seq").drop("__seq")
     write_csv(out, f"{root.rstrip('/')}/{database}/{table}", mode="append")

@@ -68,7 +68,7 @@ def report_json(report: DataFrame, name: str = "json") -> DataFrame:
     Kinds are in sorted order (``to_json`` of a sorted map), so the text is repeatable.
     """
     res = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("resources"))))
-    meta = F.to_json(F.struct(F.col("`Group Name`").alias("Name"), F.col("VPC").alias("VPC")))
+    meta = F.to_json(F.struct(F.col("`Group Name`").alias("Name"), F.col("VPC").alias("VPC")), {"ignoreNullFields": "false"})
     body = F.concat(F.substring(res, F.lit(1), F.length(res) - 1),
                     F.when(F.size("resources") > 0, F.lit(",")).otherwise(F.lit("")),
                     F.lit('"Metadata":'), meta, F.lit("}"))

@@ -7,76 +7,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.paths import dirname, key_parts, relative_to
+from tessera.functions.paths import key_parts, relative_to
 from tessera.operators.sets import align_union
 from tessera.sources.files import select_files
 from tessera.streaming.ingest import ingest_new_files, run_available_now
 
 # The load-file rule (matched from the start of the key, no end anchor).
 LOAD_FILE_PATTERN = ".*?/LOAD[0-9]+\\.csv"
-LOAD_FILE_GLOB = "*/*/LOAD*.csv"
+# A file whose own name follows the rule, at any depth, and the part files of a folder named like a load
+# file. Both only keep a clean-up option away from other files; the rule is tested on every path.
+FILE_GLOB = "LOAD[0-9]*.csv*"
+FOLDER_GLOB = "*/*/LOAD*.csv"
 
 
-def load_rows(spark: SparkSession, landing: str, columns, archive_dir: str | None = None,
-              glob: str = LOAD_FILE_GLOB) -> DataFrame:
-    """Streaming rows of new load files, ``Op='I'`` first, with the file's ``database``/``table``.
+def load_rows(spark: SparkSession, landing: str, columns, archive_dir: str | None = None, delete: bool = False,
+              max_files: int | None = None) -> DataFrame:
+    """Streaming rows of new load files at any depth (``.csv.gz`` too), ``Op='I'`` first.
 
-    The glob is a cheap pre-filter on the listing; the exact rule is tested on each row's path.
+    ``database``/``table`` are the first two folders of a file at ``<database>/<table>/<file>`` and null
+    at another depth. ``archive_dir`` moves consumed files away, ``delete`` removes them.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    s = ingest_new_files(spark, f"{landing.rstrip('/')}/{glob}", schema, archive_dir=archive_dir)
-    s = select_files(s, "file", name_regex=LOAD_FILE_PATTERN, root=landing)
-    parts = key_parts(relative_to(F.col("file"), landing))
-    s = s.select(*[F.col(f"`{c}`") for c in columns], F.element_at(parts, 1).alias("database"),
-                 F.element_at(parts, 2).alias("table"), dirname(F.col("file")).alias("source_folder"))
+    root = landing.rstrip("/")
+    options = {"archive_dir": archive_dir, "delete": delete, "max_files": max_files}
+    files = ingest_new_files(spark, root, schema, **options, recursiveFileLookup=True, pathGlobFilter=FILE_GLOB)
+    parts = ingest_new_files(spark, f"{root}/{FOLDER_GLOB}", schema, **options, pathGlobFilter="part-*")
+    s = select_files(files.unionByName(parts), "file", name_regex=LOAD_FILE_PATTERN, root=landing)
+    # the load file's own place, also when it is a folder of part files
+    key = F.regexp_extract(relative_to(F.col("file"), landing), LOAD_FILE_PATTERN, 0)
+    folders = key_parts(key)
+    at_table = F.size(folders) == 3
+    beside = F.regexp_extract(F.col("file"), "^(.*?)/LOAD[0-9]+\\.csv", 1)
+    s = s.select(*[F.col(f"`{c}`") for c in columns], F.when(at_table, F.element_at(folders, 1)).alias("database"),
+                 F.when(at_table, F.element_at(folders, 2)).alias("table"), beside.alias("source_folder"), F.col("file").alias("source_file"))
     return align_union(s, op_col="Op", op_value="I")
 
 
 def add_load_op(spark: SparkSession, landing: str, out: str, columns, checkpoint: str,
-                archive_dir: str | None = None) -> None:
+                archive_dir: str | None = None, delete: bool = False, max_files: int | None = None) -> None:
     """Run once over everything new: output CSV under ``out/database=<db>/table=<t>/`` (header on)."""
-    rows = load_rows(spark, landing, columns, archive_dir).drop("source_folder")
+    rows = load_rows(spark, landing, columns, archive_dir, delete, max_files).drop("source_folder", "source_file")
     run_available_now(rows, out, checkpoint, fmt="csv", partition_by=["database", "table"],
                       options={"header": "true"})
 
 
-def add_load_op_in_place(spark: SparkSession, landing: str, columns, checkpoint: str,
-                         archive_dir: str | None = None, max_files: int = 1000, single_file: bool = False,
-                         parallel_writes: int = 8) -> None:
-    """B6 variant: each load file's rows go back into the load file's own folder, as
-    ``<folder>/op-<batch>/part-*.csv`` (names the load-file rule does not match, so they are not
-    consumed again).
+def add_load_op_in_place(spark: SparkSession, landing: str, columns, checkpoint: str, archive_dir: str | None = None,
+                         delete: bool = False, max_files: int = 100, single_file: bool = False) -> None:
+    """B6 variant: each load file's rows go back beside it, as ``<folder>/op-<load file>/part-*.csv``, a name
+    the load-file rule does not match, so they are not consumed again.
 
-    Each micro-batch overwrites its own ``op-<batch>`` folders, so a replayed batch after a
-    failure rewrites the same files instead of adding duplicates. The folder list of a batch is
-    bounded by ``max_files`` (files per trigger). ``single_file`` writes one file per folder and
-    batch (B5: one task per folder, i.e. about one source file's rows).
-
-    The batch is cached sorted by folder inside each partition (no shuffle), so the filter of one
-    folder skips the other folders' cached blocks by their column statistics instead of reading
-    the whole batch again; up to ``parallel_writes`` folder writes run as concurrent jobs.
+    The name depends on the load file alone: a replayed batch, or a run with a new checkpoint, rewrites the
+    same file's output and no other's. A batch lists at most ``max_files`` files of each kind.
+    ``single_file`` writes one file for each (B5).
     """
-    from concurrent.futures import ThreadPoolExecutor
-
     from tessera.sinks.files import write_csv
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.sortWithinPartitions("source_folder").persist()
+        batch = batch.sortWithinPartitions("source_file").persist()
         try:
-            # one row per source folder of this batch (at most max_files of them)
-            folders = [r.source_folder for r in batch.select("source_folder").distinct().collect()]
-
-            def write_folder(folder: str) -> None:
-                part = batch.filter(F.col("source_folder") == folder)
-                write_csv(part.drop("source_folder", "database", "table"), f"{folder}/op-{batch_id}",
+            # one row per load file of this batch (bounded by max_files)
+            for row in batch.select("source_folder", "source_file").distinct().collect():
+                name = row.source_file[len(row.source_folder) + 1:].replace("/", "-")
+                part = batch.filter(F.col("source_file") == row.source_file)
+                write_csv(part.drop("source_folder", "source_file", "database", "table"), f"{row.source_folder}/op-{name}",
                           single_file=single_file)
-
-            with ThreadPoolExecutor(max_workers=max(1, min(parallel_writes, len(folders)))) as pool:
-                list(pool.map(write_folder, folders))
         finally:
             batch.unpersist()
 
-    rows = load_rows(spark, landing, columns, archive_dir)
+    rows = load_rows(spark, landing, columns, archive_dir, delete, max_files)
     q = (rows.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

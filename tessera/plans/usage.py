@@ -28,9 +28,8 @@ def daily_sizes(metrics: DataFrame, entity: str, cls: str, ts: str, value: str,
     """
     lo, hi = day_bounds(as_of)
     mapping = F.create_map(*[F.lit(x) for kv in class_map.items() for x in kv])
-    day = time_range(metrics, ts, lo, hi).select(
+    day = time_range(metrics, ts, lo, hi).filter(F.col(cls).isin(*class_map)).select(
         F.col(entity), mapping[F.col(cls)].alias("__cls"), F.col(value).alias("__v"))
-    day = day.filter(F.col("__cls").isNotNull())
     avg = int_div(F.sum("__v"), F.count(F.lit(1))).cast("long") if integer else F.avg("__v")
     per = day.groupBy(entity, "__cls").agg(avg.alias("__avg"))
     return pivot_classes(per, entity, "__cls", "__avg", list(dict.fromkeys(class_map.values())), time_col=None)

@@ -17,7 +17,6 @@ from tessera.operators.inspect import profile
 from tessera.operators.joins import unreferenced
 from tessera.plans import audit as j4
 from tessera.plans import bulk_load as j9
-from tessera.plans import catalog as j8
 from tessera.plans import dependency as j6
 from tessera.plans import load_op as j2
 from tessera.plans import positional as j3
@@ -27,13 +26,11 @@ from tessera.plans import stale as j7
 from tessera.plans import usage as j5
 from tessera.session import scratch_path
 from tessera.sinks.files import write_csv
-from tessera.sources.catalog import columns_of_frames
 
 
 # The test tables.
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
-CATALOG_DB = "testdata"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,19 +107,6 @@ def q_nation_dependency_json(spark, sf_dir):
     return j6.report_json(_nation_report(spark, sf_dir))
 
 
-def _catalog(spark, sf_dir):
-    frames = [(t, table(spark, sf_dir, t)) for t in TABLES]
-    return j8.schema_catalog(columns_of_frames(spark, CATALOG_DB, frames), CATALOG_DB)
-
-
-def q_schema_catalog(spark, sf_dir):
-    return _catalog(spark, sf_dir)
-
-
-def q_schema_document(spark, sf_dir):
-    return j8.schema_document(_catalog(spark, sf_dir))
-
-
 def q_bulk_load_orders(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     root = scratch_path(spark, "landing")
@@ -189,8 +173,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "supplier_dependency": q_supplier_dependency,
     "nation_dependency": q_nation_dependency,
     "nation_dependency_json": q_nation_dependency_json,
-    "schema_catalog": q_schema_catalog,
-    "schema_document": q_schema_document,
     "bulk_load_orders": q_bulk_load_orders,
     "row_report_customer": q_row_report_customer,
     "audit_events": q_audit_events,
@@ -247,26 +229,6 @@ _SUPPLIER_GROUPS = ("SELECT CAST(s_suppkey AS VARCHAR) AS gid, s_name AS gname,
 _REPORT_COLS = '"Group ID", "Group Name", VPC, Used, Comments, "Used Resources"'
 
 
-def map_sql_type_sql(t: str) -> str:
-    """The C13 rule chain written for DuckDB."""
-    return (f"CASE WHEN {t} LIKE '%datetime%' THEN 'timestamp' "
-            f"WHEN regexp_matches({t}, 'int.*unsigned') THEN 'long' "
-            f"WHEN {t} LIKE '%bigint%' THEN 'long' WHEN {t} LIKE '%int%' THEN 'int' "
-            f"WHEN {t} LIKE '%date%' THEN 'date' WHEN {t} LIKE '%char%' THEN 'string' "
-            f"WHEN {t} LIKE '%text%' THEN 'string' WHEN {t} LIKE '%double%' THEN 'float' "
-            rf"WHEN regexp_matches({t}, 'decimal\(([^)]*)\)') THEN 'decimal(' "
-            rf"|| CAST(CAST(trim(split_part(regexp_extract({t}, 'decimal\(([^)]*)\)', 1), ',', 1)) AS INTEGER) AS VARCHAR)"
-            rf" || ',' || CAST(coalesce(TRY_CAST(trim(split_part(regexp_extract({t}, 'decimal\(([^)]*)\)', 1), ',', 2)) "
-            f"AS INTEGER), 0) AS VARCHAR) || ')' ELSE 'string' END")
-
-
-_CATALOG_SQL = f"""
-SELECT '{CATALOG_DB}' AS database, table_name AS "table", ordinal_position AS position, column_name AS "column",
-       {map_sql_type_sql('lower(data_type)')} AS mapped_type
-FROM information_schema.columns
-WHERE table_name IN ({", ".join("'" + t + "'" for t in TABLES)})"""
-
-
 _ROW_FIELDS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 _text_fields = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _ROW_FIELDS)
 _html_fields = ", ".join(
@@ -344,7 +306,6 @@ FROM c JOIN s ON c.rn = s.rn""",
     "supplier_dependency": f"SELECT {_REPORT_COLS} FROM ({_dependency_sql(_SUPPLIER_EDGES, _SUPPLIER_GROUPS)})",
     "nation_dependency": f"SELECT {_REPORT_COLS} FROM ({_dependency_sql(_NATION_EDGES, _NATION_GROUPS)})",
     "nation_dependency_json": f'SELECT "Group ID", json FROM ({_dependency_sql(_NATION_EDGES, _NATION_GROUPS)})',
-    "schema_catalog": _CATALOG_SQL,
     "daily_average_events": """
 SELECT user_id, event_type, date_trunc('day', ts) AS window_start, round(avg(value), 6) AS average
 FROM events GROUP BY user_id, event_type, date_trunc('day', ts)""",
@@ -392,13 +353,6 @@ WITH inc AS (
 last AS (SELECT * EXCLUDE (seq) FROM inc QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC) = 1)
 SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM last)
 UNION ALL SELECT * FROM last""",
-    "schema_document": f"""
-SELECT database, "table", CAST(count(*) AS INTEGER) AS n_columns,
-       string_agg("column", ',' ORDER BY position) AS columns,
-       '{{' || string_agg(to_json("column") || ':' || to_json(mapped_type), ',' ORDER BY position) || '}}' AS schema
-FROM ({_CATALOG_SQL})
-GROUP BY database, "table"
-""",
 }
 
 ORACLE["scrub_customer_sql"] = ORACLE["scrub_customer"]

@@ -95,5 +95,5 @@ def write_json_lines(df: DataFrame, column: str, path: str, mode: str = "overwri
 
 
 def write_report(report: DataFrame, path: str, order_col: str = "Row") -> None:
-    """A ranked report as one header CSV, in rank order."""
-    write_csv(report.orderBy(order_col), path, single_file=False)
+    """A ranked report (one row per entity) as one header CSV, in rank order."""
+    write_csv(report.coalesce(1).sortWithinPartitions(order_col), path, single_file=True)

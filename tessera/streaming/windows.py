@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def daily_average_stream(stream: DataFrame, entity: str, cls: str, ts: str, value: str,
-                         late: str = "1 day", name: str = "average") -> DataFrame:
+                         late: str, name: str = "average") -> DataFrame:
     """Tumbling one-day windows over a stream. Rows later than ``late`` behind the newest event
     are dropped, and a window is emitted (append mode) once the watermark has passed its end,
     so the state kept is bounded by the lateness, not by the stream's length."""

@@ -105,12 +105,16 @@ def test_load_op_in_place(spark, tmp_dir):
     write_csv(spark.createDataFrame([("3", "y")], "a string, b string"), f"{landing}/db/u/LOAD00000001.csv")
     j2.add_load_op_in_place(spark, landing, ["a", "b"], os.path.join(tmp_dir, "ckpt"), single_file=True)
     # the output sits in each load file's folder, under a name the load rule does not take
-    out = read_csv(spark, f"{landing}/db/t/LOAD00000001.csv/op-*")
+    out = read_csv(spark, f"{landing}/db/t/op-*")
     assert out.columns == ["Op", "a", "b"]
     assert sorted(tuple(r) for r in out.collect()) == [("I", "1", "x"), ("I", "2", None)]
-    written = [f for f in os.listdir(f"{landing}/db/t/LOAD00000001.csv/op-0") if f.endswith(".csv")]
-    assert len(written) == 1
-    other = read_csv(spark, f"{landing}/db/u/LOAD00000001.csv/op-*")
+    folders = [f for f in os.listdir(f"{landing}/db/t") if f.startswith("op-")]
+    assert folders
+    assert all(len([f for f in os.listdir(f"{landing}/db/t/{x}") if f.endswith(".csv")]) == 1 for x in folders)
+    # a run with a new checkpoint rewrites the same files
+    j2.add_load_op_in_place(spark, landing, ["a", "b"], os.path.join(tmp_dir, "ckpt2"), single_file=True)
+    assert sorted(tuple(r) for r in read_csv(spark, f"{landing}/db/t/op-*").collect()) == [("I", "1", "x"), ("I", "2", None)]
+    other = read_csv(spark, f"{landing}/db/u/op-*")
     assert [tuple(r) for r in other.collect()] == [("I", "3", "y")]
 
 
@@ -158,3 +162,34 @@ def test_bulk_load_bad_values_fail_their_file_only(spark, tmp_dir):
     results, status = j9.bulk_load(spark, root, {("db", "t"): (base, ["k"])}, ignore_errors=["bad values"])
     assert sorted(tuple(r) for r in results[("db", "t")].collect()) == [(1, 1.5), (2, 2.5), (3, None)]
     assert {r.status for r in status.filter(F.col("file").endswith(".csv")).collect()} == {"Success"}
+
+
+def test_load_files_at_every_depth_and_compressed(spark, tmp_dir):
+    import gzip
+
+    landing = os.path.join(tmp_dir, "landing")
+    for folder in ("db", "db/t", "db/t/2024/01"):
+        os.makedirs(f"{landing}/{folder}", exist_ok=True)
+        with open(f"{landing}/{folder}/LOAD0000000{folder.count('/')}.csv", "w") as f:
+            f.write(f"a,b\n{folder},1\n")
+    with gzip.open(f"{landing}/db/t/LOAD00000009.csv.gz", "wt") as f:
+        f.write("a,b\ngz,1\n")
+    with open(f"{landing}/db/t/change.csv", "w") as f:
+        f.write("a,b\nno,1\n")
+    out = os.path.join(tmp_dir, "out")
+    j2.add_load_op(spark, landing, out, ["a", "b"], os.path.join(tmp_dir, "ckpt"))
+    assert sorted(r.a for r in j2.read_output(spark, out).collect()) == ["db", "db/t", "db/t/2024/01", "gz"]
+
+
+def test_bulk_load_quoted_newlines_and_ragged_rows(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "root")
+    os.makedirs(f"{root}/db/t")
+    with open(f"{root}/db/t/good.csv", "w") as f:
+        f.write('k,v\n1,"line1\nline2"\n2,x\n')
+    with open(f"{root}/db/t/ragged.csv", "w") as f:
+        f.write("k,v\n2,y,extra\n3\n")
+    base = spark.createDataFrame([("1", "a"), ("3", "c")], "k string, v string")
+    results, status = j9.bulk_load(spark, root, {("db", "t"): (base, ["k"])})
+    assert sorted(tuple(r) for r in results[("db", "t")].collect()) == [("1", "line1\nline2"), ("2", "x"), ("3", "c")]
+    st = {os.path.basename(r.file): (r.status, r.reason) for r in status.collect()}
+    assert st == {"good.csv": ("Success", None), "ragged.csv": ("Failed", "bad values")}

@@ -75,13 +75,11 @@ def test_positional_join_cuts_longer_side(spark):
     assert [tuple(r) for r in out] == [(0, "a0", 0, "b0"), (1, "a1", 1, "b1"), (2, "a2", 2, "b2")]
 
 
-def test_reference_inline_rows(spark):
-    left = spark.createDataFrame([(1, "a", "b", "c", "d"), (1, "a", "b", "c", "d")], ["col1", "col2", "col3", "col4", "col5"])
-    schema = T.StructType([T.StructField("col6", T.IntegerType()), T.StructField("col7", T.StringType()),
-                           T.StructField("col8", T.StringType())])
-    right = spark.createDataFrame([(2, "f", "g"), (2, "f", "g")], schema)
+def test_positional_join_keeps_repeated_rows(spark):
+    left = spark.createDataFrame([("x", 1.5), ("x", 1.5), ("y", 2.0)], "name string, price double")
+    right = spark.createDataFrame([(True,), (True,)], "flag boolean")
     out = positional_join(left, right)
-    assert out.columns == ["col1", "col2", "col3", "col4", "col5", "col6", "col7", "col8"]
+    assert out.columns == ["name", "price", "flag"]
     assert out.count() == 2
 
 
@@ -242,3 +240,15 @@ def test_apply_mapping_missing_source_is_null(spark):
     out = apply_mapping(df, [("a", "string", "a", "long"), ("zz", "string", "b", "string")])
     assert out.columns == ["a", "b"] and tuple(out.first()) == (1, None)
     assert out.schema["b"].dataType.simpleString() == "string"
+
+
+def test_mapping_resolves_names_like_the_session(spark):
+    from tessera.operators import apply_mapping
+
+    out = apply_mapping(spark.createDataFrame([("5",)], "id string"), [("ID", "string", "key", "long"), ("none", "long", "gone", "long")])
+    assert [tuple(r) for r in out.collect()] == [(5, None)]
+
+
+def test_make_struct_puts_a_value_into_one_field(spark):
+    out = make_struct(spark.createDataFrame([("12",), ("1.5",), ("x",)], "v string"), "v", ["long", "double", "string"])
+    assert [tuple(r.v) for r in out.collect()] == [(12, None, None), (None, 1.5, None), (None, None, "x")]

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as se
+from tessera import registry
 from tools.check_oracle import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +19,7 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(se.queries()) == set(se.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLE)
 
 
 def test_entry_runs(spark):
@@ -27,11 +28,11 @@ def test_entry_runs(spark):
     assert df.columns == ["col0", "col1", "col2", "col3", "col4", "col5"]
 
 
-@pytest.mark.parametrize("name", sorted(se.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_sql(spark, con, name):
-    df = se.queries()[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
-    res = con.execute(se.oracle_sql()[name])
+    res = con.execute(registry.ORACLE[name])
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)

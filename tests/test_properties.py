@@ -1,9 +1,12 @@
 """Property checks (small random inputs, few examples: each example runs Spark jobs)."""
 
+import re
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera.functions.text import EMAIL_PATTERN
 from tessera.operators import add_row_index, audit_files, positional_join, upsert
 
 SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -57,8 +60,8 @@ def test_audit_valid_plus_null_is_total(spark, rows):
     assert total.null_rows == sum(1 for _, i in rows if i is None)
 
 
-# The source rule for an address, as a whole-value match where "$" may stand before one final newline.
-SOURCE_RULE = __import__("re").compile(r"(^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+$)")
+# A whole-value match where "$" may stand before one final newline.
+SOURCE_RULE = re.compile(f"(^{EMAIL_PATTERN}$)")
 TEXT = st.text(alphabet=list("aZ09_.+-@ \n\r,\"ü"), max_size=14)
 
 
