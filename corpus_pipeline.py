@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, langid, mixing, pieces, templates
 from tessera.llm.queries import PIECES, TOKENIZERS
-from tessera.llm.tables import written
+from tessera.llm.tables import drop_written
+from tessera.session import scratch_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +50,22 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizers:
     return pieces.encode(docs, os.path.join(tokenizers, PIECES), carry=("lang", "source"))
 
 
+def _after_stored(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with the intermediate tables of earlier stages removed first: their results are stored by then."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_written(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id),
-    ("line_dedup", line_dedup),
-    ("ngram_jaccard_join", ngram_jaccard_join),
-    ("source_mixing", source_mixing),
-    ("sentencepiece", sentencepiece),
+    ("language_id", _after_stored(language_id)),
+    ("line_dedup", _after_stored(line_dedup)),
+    ("ngram_jaccard_join", _after_stored(ngram_jaccard_join)),
+    ("source_mixing", _after_stored(source_mixing)),
+    ("sentencepiece", _after_stored(sentencepiece)),
 ]
 
 #: Hashing, sampling and the search over pieces have no SQL form; the tests use brute force.
@@ -64,5 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` through all stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

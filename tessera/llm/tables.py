@@ -36,10 +36,22 @@ def map_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFra
     return df.mapInArrow(run, schema)
 
 
+#: Folders that ``written`` has made and ``drop_written`` has not yet removed.
+_WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Remove the intermediate tables made so far. Only for a caller whose earlier results are all stored."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared scratch folder and read back: later steps do not depend on
     what executors hold, and each step is computed once."""
     path = scratch_path(df.sparkSession, name)
+    _WRITTEN.append(path)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
