@@ -8,7 +8,7 @@ from tessera.plans import usage as j5
 
 SF = "/root/testdata/sf0.001"
 NO_SIDE_EFFECTS = ["scrub_customer", "scrub_documents", "scrub_customer_sql", "stale_orders", "usage_totals", "supplier_dependency",
-                   "nation_dependency", "nation_dependency_json", "schema_catalog", "row_report_customer",
+                   "nation_dependency", "nation_dependency_json", "row_report_customer",
                    "profile_orders"]
 
 
