@@ -7,7 +7,9 @@ stored code is known when it is made, so a pair is passed on whenever the approx
 error could still mean the cosine asked for; the cosine in double precision then decides.
 
 Centroids and codebooks are fitted on a bounded sample (``SAMPLE`` vectors, by hash of the id); every vector
-is indexed and every vector is a query. Lists are cut into blocks of about ``TILE`` rows on both sides, so a
+is indexed and every vector is a query. Centroids that lie within reach of each other are one: where many near
+copies of a vector draw centroids to themselves, their links would be spread over more lists than are
+probed. Lists are cut into blocks of about ``TILE`` rows on both sides, so a
 hot list is many small tiles. Tiles give sums of links and a spanning set of edges, never all pairs.
 """
 
@@ -65,12 +67,37 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres * centres).sum(1) - 2 * (x @ centres.T), axis=1)
 
 
+def apart(centres: np.ndarray, reach: float) -> np.ndarray:
+    """The centroids of which no two lie within ``reach``: one with the most others near it stands for these."""
+    square = (centres * centres).sum(1)
+    close = square[:, None] + square - 2 * (centres @ centres.T) <= reach * reach
+    left, kept = np.ones(len(centres), bool), []
+    for i in np.argsort(-close.sum(1), kind="stable"):
+        if left[i]:
+            kept.append(i)
+            left &= ~close[i]
+    return centres[kept]
+
+
+def span(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``root`` (of every node) after the edges ``u``-``v``: all nodes that these join get their least node."""
+    while len(u):
+        root = root.copy()
+        ru, rv = root[u], root[v]
+        open_ = ru != rv
+        u, v, ru, rv = u[open_], v[open_], ru[open_], rv[open_]
+        np.minimum.at(root, np.maximum(ru, rv), np.minimum(ru, rv))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+    return root
+
+
 class Index:
     """Coarse centroids and residual codebooks."""
 
-    def __init__(self, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codewords: int = CODEWORDS, seed: int = SEED) -> None:
+    def __init__(self, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codewords: int = CODEWORDS, seed: int = SEED, reach: float = 0.0) -> None:
         rng = np.random.default_rng(seed)
-        self.centres = kmeans(sample, lists, 6, rng)
+        self.centres = apart(kmeans(sample, lists, 6, rng), reach)
         dim = sample.shape[1]
         self.cuts = np.linspace(0, dim, min(subspaces, dim) + 1).astype(int)
         rest = sample - self.centres[nearest(sample, self.centres)]
@@ -103,11 +130,12 @@ class Index:
         return np.sqrt(np.maximum(total, 0))
 
 
-def fit(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, lists_most: int = LISTS_MOST) -> Index | None:
+def fit(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, lists_most: int = LISTS_MOST,
+        cosine: float = COSINE) -> Index | None:
     """An index fitted on about ``sample`` vectors chosen by hash of the id (all, if there are fewer).
 
-    The number of lists follows the square root of the number of vectors up to ``lists_most``. None if no
-    vector of the sample can link.
+    The number of lists follows the square root of the number of vectors up to ``lists_most``, less the
+    centroids nearer each other than vectors of that cosine. None if no vector of the sample can link.
     """
     n = vectors.count()
     share = F.pmod(F.xxhash64(F.lit(SEED), F.col(vec_id)), F.lit(1 << 30)) / float(1 << 30)
@@ -117,7 +145,7 @@ def fit(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding"
     if not sizes:
         return None
     _, x = usable(column, max(set(sizes), key=sizes.count))
-    return Index(x, max(1, min(lists_most, math.isqrt(n), len(x)))) if len(x) else None
+    return Index(x, max(1, min(lists_most, math.isqrt(n), len(x))), reach=math.sqrt(2 - 2 * cosine)) if len(x) else None
 
 
 ROW = "label long, home int, vec_id long, x binary, codes binary, error double, near array<int>"
@@ -156,30 +184,25 @@ def _tile(index: Index, cosine: float) -> Callable:
             codes, error = column(stored, "codes", np.uint8, m), stored.column("error").to_numpy()
             db_id, q_id = stored.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
             q_home = asked.column("home").to_numpy()
-            near = [set(x) for x in stored.column("near").to_pylist()]
-            root = {}
-
-            def find(a: int) -> int:
-                while root.setdefault(a, a) != a:
-                    root[a] = a = root[root[a]]
-                return a
-
+            near = np.zeros((len(db), len(index.centres)), bool)
+            rows = stored.column("near").to_pylist()
+            near[np.repeat(np.arange(len(db)), [len(x) for x in rows]), np.concatenate(rows)] = True
+            nodes, at = np.unique(np.concatenate([q_id, db_id]), return_inverse=True)
+            q_at, db_at = at[:len(q)], at[len(q):]
+            count, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
             for lo in range(0, len(q), 256):
                 part = q[lo:lo + 256]
                 i, j = np.nonzero(index.distances(part, home, codes) - error <= reach)
                 other = q_id[lo + i] != db_id[j]
                 i, j = i[other], j[other]
-                true = np.einsum("ij,ij->i", part[i], db[j]) >= cosine
-                for a, b in zip((lo + i[true]).tolist(), j[true].tolist(), strict=True):
-                    ids.append(q_id[a])
-                    if q_home[a] not in near[b]:  # the stored vector does not ask where the query lives
-                        ids.append(db_id[b])
-                    ra, rb = find(int(q_id[a])), find(int(db_id[b]))
-                    if ra != rb:
-                        root[max(ra, rb)] = min(ra, rb)
-                        u.append(ra)
-                        v.append(rb)
-            ids, links = np.unique(np.array(ids, np.int64), return_counts=True)
+                true = np.concatenate([np.einsum("ij,ij->i", part[i[k:k + 65536]], db[j[k:k + 65536]]) >= cosine for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+                i, j = lo + i[true], j[true]
+                count += np.bincount(q_at[i], minlength=len(nodes))
+                # the stored vector does not ask where the query lives
+                count += np.bincount(db_at[j[~near[j, q_home[i]]]], minlength=len(nodes))
+                root = span(root, q_at[i], db_at[j])
+            ids, links = nodes[count > 0], count[count > 0]
+            u, v = nodes[root != np.arange(len(nodes))], nodes[root[root != np.arange(len(nodes))]]
         blank = [None]
         return pa.table({"vec_id": pa.array([*ids, *blank * len(u)], pa.int64()), "links": pa.array([*links, *blank * len(u)], pa.int64()),
                          "a": pa.array([*blank * len(ids), *u], pa.int64()), "b": pa.array([*blank * len(ids), *v], pa.int64())})
@@ -197,7 +220,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     the same result; a null vec_id has no links and a null component. No other column is read.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).cast("long").alias("label"))
-    index = fit(rows)
+    index = fit(rows, cosine=cosine)
     one = rows.filter("vec_id is not null and label is not null").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("x")).select("vec_id", "x.*")
     if index is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))

@@ -171,6 +171,24 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_many_noisy_copies_share_a_list():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 64))
+    x[:2000] = x[0] / np.linalg.norm(x[0]) + 0.025 * rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = vectors.Index(x, 244, reach=math.sqrt(2 - 2 * 0.93))
+    near = index.probes(x[:2000], vectors.PROBES)
+    linked = x[:300] @ x[:2000].T >= 0.93
+    met = np.array([np.isin(near[:, 0], near[i]) | (near == near[i, 0]).any(1) for i in range(300)])
+    assert (linked & met).sum() >= 0.99 * linked.sum()
+
+
+def test_vectors_span():
+    root = vectors.span(np.arange(8), np.array([7, 2, 5, 3]), np.array([5, 3, 1, 6]))
+    assert root.tolist() == [0, 1, 2, 2, 4, 1, 2, 1]
+    assert vectors.span(root, np.array([6]), np.array([7])).tolist() == [0, 1, 1, 1, 4, 1, 1, 1]
+
+
 @pytest.fixture(scope="module")
 def codec():
     with open(f"{TOKENIZERS}/{PIECES}", "rb") as f:
