@@ -1,15 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds, for every word and word pair with ``count`` >= ``least`` in the training documents, the
-entries (n-gram, 1) .. (n-gram, level) with level = floor(log2(count / least)) + 1. A reader probes level after
-level until one is missing and so gets the count to within a factor of two. Probabilities mix the pair's
-share of its first word with the add-one share of the word.
+The filter holds, for every word and word pair of the training documents, the entries (n-gram, 1) ..
+(n-gram, level) with level = floor(log2(count)) + 1. A reader probes level after level until one is missing
+and so gets the count to within a factor of two. Probabilities mix the pair's share of its first word with
+the add-one share of the word.
 
 The texts are read once into packed chunks (token numbers within a chunk and the chunk's sorted distinct
 word hashes). Counts meet by hash range: a range's task sums the chunks' counts, builds its own stretch
-of the filter, and hands each chunk its words' exact counts back, for the base score. Ranges and chunks
-are many enough to be small whatever the input; the filter, sent to every task, is at most ``MOST`` bytes:
-beyond that ``least`` rises with the corpus, while counting always covers all training tokens.
+of the filter, and hands each chunk its words' exact counts back, for the base score, and the levels that the
+stretch holds for its words and pairs. Ranges and chunks are many enough to be small whatever the input; the
+stretches together grow with the training n-grams, and no task holds more than one.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from tessera.llm.tables import map_arrow, ship, written
 from tessera.llm.words import from_planes, hash_ranges, hash_words, mix, planes, slices, text_bytes
 
 CHUNK = 8 << 20
-MOST = 64 << 20
-BITS_PER_TOKEN = 2
+LEAST = 1
+BITS_PER_ENTRY = 16
 RANGE_BYTES = 16 << 20
 PAIR_WEIGHT = 0.6
 END = 0x5F3C_29A1_77E0_4D1B
@@ -66,34 +66,37 @@ PACKED = ("chunk long, doc_ids array<long>, train array<boolean>, lengths array<
 
 
 def _dealt(ranges: int) -> Callable:
-    """Each chunk's words with counts, and its training pairs, cut by hash range."""
+    """Each chunk's words and pairs with their training counts, cut by hash range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {name: batch.column(name)[r].as_py() for name in ("chunk", "train", "lengths", "vocabulary", "counts", "tokens")}
                 words, counts = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["counts"], np.uint32)
-                out = [(p, row["chunk"], words[a:b].tobytes(), counts[a:b].tobytes(), None, None, None) for p, a, b in hash_ranges(words, ranges)]
+                out = [(p, row["chunk"], words[a:b].tobytes(), counts[a:b].tobytes(), None, None) for p, a, b in hash_ranges(words, ranges)]
                 h = words[np.frombuffer(row["tokens"], np.uint32)]
                 before = np.concatenate([[np.uint64(END)], h[:-1]])
-                pairs, times = np.unique(pair_keys(before, h)[np.repeat(row["train"], row["lengths"])], return_counts=True)
-                for p, a, b in hash_ranges(pairs, ranges):
-                    once = times[a:b] == 1
-                    own = pairs[a:b] & _LOW
-                    out.append((p, None, None, None, planes(own[once], KEY_BYTES), planes(own[~once], KEY_BYTES), times[a:b][~once].astype(np.uint32).tobytes()))
-                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+                pairs, at = np.unique(pair_keys(before, h), return_inverse=True)
+                times = np.bincount(at[np.repeat(row["train"], row["lengths"])], minlength=len(pairs)).astype(np.uint64)
+                out += [(p, row["chunk"], None, None, planes(pairs[a:b] & _LOW, KEY_BYTES), planes(times[a:b], 4)) for p, a, b in hash_ranges(pairs, ranges)]
+                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
                 for i in range(0, len(out), 256):
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out[i:i + 256], strict=True), kinds, strict=True)], names=DEALT_NAMES)
     return run
 
 
-DEALT_NAMES = ["part", "chunk", "words", "counts", "once", "more", "times"]
-DEALT = "part int, chunk long, words binary, counts binary, once binary, more binary, times binary"
+DEALT_NAMES = ["part", "chunk", "words", "counts", "pairs", "times"]
+DEALT = "part int, chunk long, words binary, counts binary, pairs binary, times binary"
 
 
 def levels(counts: np.ndarray, least: int) -> np.ndarray:
     return np.floor(np.log2(counts / least)).astype(np.int64) + 1
 
 
+def middle(level: np.ndarray, least: int) -> np.ndarray:
+    """The geometric middle of the counts of a level (0: none)."""
+    return np.where(level > 0, least * np.exp2(level - 0.5), 0.0)
+
+
 class Filter:
     """64-bit words; an entry sets five bits of one word. ``part`` keys stay in their own stretch."""
 
@@ -128,73 +131,78 @@ class Filter:
         return out
 
     def count(self, keys: np.ndarray, tag: int) -> np.ndarray:
-        """Counts to within a factor of two: the geometric middle of the level."""
-        level = self.level(keys, tag)
-        return np.where(level > 0, self.least * np.exp2(level - 0.5), 0.0)
+        """Counts to within a factor of two."""
+        return middle(self.level(keys, tag), self.least)
 
 
 WORD, PAIR = 1, 2
 
 
-def _summed(stretch: int, least: int) -> Callable:
-    """A hash range: exact counts for each chunk's words, totals, and the range's stretch of the filter."""
-    def run(table: pa.Table) -> pa.Table:
-        own = Filter(np.zeros(stretch, np.uint64), 1, least=least)
-        part = table.column("part")[0].as_py()
-        rows = [r for r in zip(table.column("chunk").to_pylist(), table.column("words").to_pylist(), table.column("counts").to_pylist(), strict=True) if r[0] is not None]
-        out, seen, total = [], 0, 0
-        if rows:
-            keys = np.frombuffer(b"".join(r[1] for r in rows), np.uint64)
-            words, at = np.unique(keys, return_inverse=True)
-            counts = np.bincount(at, np.frombuffer(b"".join(r[2] for r in rows), np.uint32), len(words)).astype(np.int64)
-            seen, total = int((counts > 0).sum()), int(counts.sum())
-            often = counts >= least
-            own.add((words[often] & _LOW) ^ (np.uint64(WORD) << np.uint64(56)), levels(counts[often], least))
-            wide = total >= 1 << 32
-            back, lo = counts[at].astype(np.uint64 if wide else np.uint32), 0
-            for chunk, w, _ in rows:
-                out.append((chunk, part, back[lo:lo + len(w) // 8].tobytes(), wide))
-                lo += len(w) // 8
-        once = [x for x in table.column("once").to_pylist() if x]
-        more = [(x, t) for x, t in zip(table.column("more").to_pylist(), table.column("times").to_pylist(), strict=True) if x]
-        keys = [from_planes(x, KEY_BYTES) for x in once] + [from_planes(x, KEY_BYTES) for x, _ in more]
-        if keys:
-            times = np.concatenate([np.ones(sum(map(len, keys[:len(once)])), np.uint32), *[np.frombuffer(t, np.uint32) for _, t in more]])
-            pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
-            counts = np.bincount(at, times, len(pairs))
-            often = counts >= least
-            own.add(pairs[often] ^ (np.uint64(PAIR) << np.uint64(56)), levels(counts[often], least))
-        n = len(out)
-        return pa.table({
-            "chunk": pa.array([*[x[0] for x in out], None], pa.int64()), "part": pa.array([*[x[1] for x in out], part], pa.int32()),
-            "known": pa.array([*[x[2] for x in out], None], pa.binary()), "wide": pa.array([*[x[3] for x in out], None], pa.bool_()),
-            "distinct": pa.array([*[None] * n, seen], pa.int64()), "total": pa.array([*[None] * n, total], pa.int64()),
-            "words": pa.array([*[None] * n, own.words.tobytes()], pa.binary())})
-    return run
-
-
-SUMMED = "chunk long, part int, known binary, wide boolean, distinct long, total long, words binary"
-
-
-def _scored(model, total: int, distinct: int, ranges: int, least: int, weight: float) -> Callable:
+def _kept(keys: np.ndarray, counts: np.ndarray, tag: int, least: int) -> np.ndarray:
+    """The level that a filter of these counts, sized by its entries, gives each of the keys."""
+    often = counts >= least
+    level = levels(counts[often], least)
+    own = Filter(np.zeros(max(1, int(level.sum()) * BITS_PER_ENTRY // 64), np.uint64), 1, least=least)
+    own.add((keys[often] & _LOW) ^ (np.uint64(tag) << np.uint64(56)), level)
+    return own.level(keys, tag).astype(np.uint8)
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """A hash range: for each chunk its words' exact counts, and its words' and pairs' levels in the range's
+    stretches of the filter; totals."""
+    part = table.column("part")[0].as_py()
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "words", "counts", "pairs", "times")), strict=True))
+    out, seen, total = [], 0, 0
+    single = [r for r in rows if r[1]]
+    if single:
+        words, at = np.unique(np.frombuffer(b"".join(r[1] for r in single), np.uint64), return_inverse=True)
+        counts = np.bincount(at, np.frombuffer(b"".join(r[2] for r in single), np.uint32), len(words)).astype(np.int64)
+        seen, total = int((counts > 0).sum()), int(counts.sum())
+        wide = total >= 1 << 32
+        back, level, lo = counts[at].astype(np.uint64 if wide else np.uint32), _kept(words, counts, WORD, LEAST)[at], 0
+        for chunk, w, *_ in single:
+            hi = lo + len(w) // 8
+            out.append((chunk, back[lo:hi].tobytes(), wide, level[lo:hi].tobytes(), None))
+            lo = hi
+    double = [r for r in rows if r[3]]
+    if double:
+        pairs, at = np.unique(np.concatenate([from_planes(r[3], KEY_BYTES) for r in double]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([from_planes(r[4], 4) for r in double]), len(pairs)).astype(np.int64)
+        level, lo = _kept(pairs, counts, PAIR, LEAST)[at], 0
+        for chunk, _, _, p, _ in double:
+            hi = lo + len(p) // KEY_BYTES
+            out.append((chunk, None, None, None, level[lo:hi].tobytes()))
+            lo = hi
+    n = len(out)
+    chunk, known, wide, level, pair_level = zip(*out, (None,) * 5, strict=True)
+    return pa.table({
+        "chunk": pa.array(chunk, pa.int64()), "part": pa.array([part] * (n + 1), pa.int32()), "known": pa.array(known, pa.binary()), "wide": pa.array(wide, pa.bool_()),
+        "level": pa.array(level, pa.binary()), "pair_level": pa.array(pair_level, pa.binary()),
+        "distinct": pa.array([*[None] * n, seen], pa.int64()), "total": pa.array([*[None] * n, total], pa.int64())})
+
+
+SUMMED = "chunk long, part int, known binary, wide boolean, level binary, pair_level binary, distinct long, total long"
+
+
+def _scored(total: int, distinct: int, weight: float, least: int = LEAST) -> Callable:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
         if not left.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-        f = Filter(np.frombuffer(model.value, np.uint64), ranges, least=least)
         row = {n: left.column(n)[0].as_py() for n in ("doc_ids", "train", "lengths", "vocabulary", "tokens")}
         words, tokens, lengths = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["tokens"], np.uint32), np.array(row["lengths"], np.int64)
-        known = np.concatenate([np.frombuffer(k, np.uint64 if w else np.uint32).astype(np.float64) for _, k, w in
-                                sorted(zip(right.column("part").to_pylist(), right.column("known").to_pylist(), right.column("wide").to_pylist(), strict=True))])
+        back = sorted(zip(*(right.column(c).to_pylist() for c in ("part", "known", "wide", "level", "pair_level")), strict=True), key=lambda r: r[0])
+        known = np.concatenate([np.frombuffer(k, np.uint64 if w else np.uint32).astype(np.float64) for _, k, w, _, _ in back if k is not None])
+        level, pair_level = (np.frombuffer(b"".join(r[i] for r in back if r[i] is not None), np.uint8) for i in (3, 4))
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         log = np.log10(known + 1)[tokens]
         base = np.add.reduceat(log, first) - lengths * np.log10(float(total + distinct + 1))
         found = np.add.reduceat((known > 0)[tokens].astype(np.int64), first)
-        rough = f.count(words, WORD)
+        rough = middle(level, least)
         single = ((rough + 1) / (total + distinct + 1))[tokens]
         before = np.concatenate([[np.searchsorted(words, np.uint64(END))], tokens[:-1]])
         context = rough[before]
-        pair = f.count(pair_keys(words[before], words[tokens]), PAIR)
+        pair = middle(pair_level, least)[np.unique(pair_keys(words[before], words[tokens]), return_inverse=True)[1]]
         share = np.minimum(1.0, pair / np.maximum(context, 1.0))
         p = np.where(context > 0, weight * share + (1 - weight) * np.minimum(1.0, single), np.minimum(1.0, single))
         score = np.add.reduceat(np.log10(p), first)
@@ -203,7 +211,7 @@ def _scored(model, total: int, distinct: int, ranges: int, least: int, weight: f
     return run
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", most: int = MOST, weight: float = PAIR_WEIGHT) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", weight: float = PAIR_WEIGHT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every input row.
 
     ``held_out`` rows are scored but not learned from (null counts as false). A null or empty text is its end alone.
@@ -214,25 +222,18 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     packed = written(map_arrow(rows, _pack, PACKED), "packed")
-    size = packed.agg(F.sum("n_train"), F.sum("n_tokens"), F.sum(F.length("vocabulary"))).first()
-    n_train, n_tokens, n_vocabulary = (x or 0 for x in size)
+    size = packed.agg(F.sum("n_tokens"), F.sum(F.length("vocabulary"))).first()
+    n_tokens, n_vocabulary = (x or 0 for x in size)
     # ranges: powers of two, each with about RANGE_BYTES of word and pair rows
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (12 * n_vocabulary // 8 + KEY_BYTES * n_tokens) // RANGE_BYTES)
     ranges = 1 << max(0, (parts - 1).bit_length())
-    room = 1 << max(10, (n_train * BITS_PER_TOKEN // 8).bit_length())
-    least = 2 if room <= most else 2 * (room // most)
-    stretch = max(1, min(room, most) // 8 // ranges)
     ship(spark)
     dealt = map_arrow(packed.select("chunk", "train", "lengths", "vocabulary", "counts", "tokens"), _dealt(ranges), DEALT)
-    summed = written(dealt.groupBy("part").applyInArrow(_summed(stretch, least), SUMMED), "summed")
+    summed = written(dealt.groupBy("part").applyInArrow(_summed, SUMMED), "summed")
     totals = summed.agg(F.sum("distinct"), F.sum("total")).first()
     distinct, total = (x or 0 for x in totals)
-    words = bytearray(8 * stretch * ranges)
-    for row in summed.filter("words is not null").select("part", "words").collect():  # at most ``most`` bytes
-        words[8 * stretch * row.part:8 * stretch * (row.part + 1)] = row.words
-    model = spark.sparkContext.broadcast(bytes(words))
     scored = (packed.select("chunk", "doc_ids", "train", "lengths", "vocabulary", "tokens").groupBy("chunk")
-              .cogroup(summed.filter("chunk is not null").select("chunk", "part", "known", "wide").groupBy("chunk"))
-              .applyInArrow(_scored(model, total, distinct, ranges, least, weight),
+              .cogroup(summed.filter("chunk is not null").select("chunk", "part", "known", "wide", "level", "pair_level").groupBy("chunk"))
+              .applyInArrow(_scored(total, distinct, weight),
                             "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -146,6 +146,22 @@ def test_lm_filter_counts():
     assert (f.count(keys + np.uint64(1), lm.WORD) == 0).mean() > 0.9
 
 
+def test_lm_filter_keeps_what_is_seen_once():
+    rng = np.random.default_rng(0)
+    words = np.sort(rng.integers(0, 2 ** 63, 40_000).astype(np.uint64))
+    counts = rng.permutation(np.repeat([0, 1, 2, 70], 10_000))
+    level = lm._kept(words, counts, lm.PAIR, lm.LEAST)
+    assert (level[counts > 0] >= lm.levels(counts[counts > 0], 1)).all()
+    assert (level[counts == 1] == 1).mean() > 0.95 and (level[counts == 0] == 0).mean() > 0.95
+
+
+def test_lm_pairs_seen_once_score_more(spark):
+    df = spark.createDataFrame([(1, "red kite flies"), (2, "blue moon sets"), (3, "red kite"), (4, "red moon")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(df, F.col("doc_id") > 2).collect()}
+    assert math.isclose(got[3].base_score, got[4].base_score)
+    assert got[3].score > got[4].score + 0.3
+
+
 def test_lm_empty(empty):
     assert lm.score(empty, F.lit(False)).count() == 0
 
