@@ -2,7 +2,8 @@
 
 The model holds log frequencies per language of its frequent words and of character n-grams. A word of
 a text that is known is scored by its own frequencies; an unknown word is cut into the longest known
-character n-grams (falling back to shorter ones). A text's language has the highest total.
+character n-grams (falling back to shorter ones). An unknown word weighs one word, and one more for every
+``LONG`` n-grams beyond the first ``LONG``: text without blanks is read whole. A text's language has the highest total.
 
 The model is fitted on a bounded sample: about ``per_language`` documents of each language, chosen by
 a hash of their id (all of them where a language has fewer). Its tables are bounded by ``words`` and
@@ -29,6 +30,8 @@ PER_LANGUAGE = 4000
 WORDS = 20_000
 GRAMS = 20_000
 LONGEST = 4
+LONG = 20
+HELD = 200
 CACHE = 100_000
 UNDETERMINED = "und"
 
@@ -99,23 +102,31 @@ class Model:
         self.cache: dict[str, np.ndarray] = {}
 
     def word(self, token: str) -> np.ndarray:
-        """Log score of a token for each language: by the word itself, else by its n-grams from long to short."""
+        """Log scores of a token for each language, a row for each stretch of it: one row for a known word, and for
+        another one row for every ``LONG`` known n-grams, taken from long to short."""
         word = letters(token)
         if not word:
-            return np.zeros(len(self.langs))
+            return np.zeros((1, len(self.langs)))
         known = self.index[0].get(word)
         if known is not None:
-            return self.rows[0][known]
-        padded, i, out, used = f" {word[:200]} ", 0, np.zeros(len(self.langs)), 0
-        while i < len(padded):
+            return self.rows[0][known:known + 1]
+        padded, out, own, used = f" {word} ", [], np.zeros(len(self.langs)), 0
+        for i in range(len(padded)):
             for n in range(min(LONGEST, len(padded) - i), 0, -1):
                 row = self.index[n].get(padded[i:i + n])
                 if row is not None:
-                    out += self.rows[n][row]
+                    if used == LONG:
+                        out.append(own / used)
+                        own, used = np.zeros(len(self.langs)), 0
+                    own += self.rows[n][row]
                     used += 1
                     break
-            i += 1
-        return out / max(1, used)
+        # a short rest of a long word belongs to its last stretch
+        if out and used < LONG:
+            out[-1] = (out[-1] * LONG + own) / (LONG + used)
+        else:
+            out.append(own / max(1, used))
+        return np.array(out)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         tokens = (text or "").lower().split()
@@ -124,12 +135,14 @@ class Model:
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
+        # tokens of many stretches are scored but not held
         for t in set(tokens).difference(cache):
-            cache[t] = self.word(t)
-        rows = np.array([cache[t] for t in tokens])
+            if len(t) <= HELD:
+                cache[t] = self.word(t)
+        rows = np.concatenate([cache[t] if len(t) <= HELD else self.word(t) for t in tokens])
         total = rows.sum(axis=0)
         best = int(total.argmax())
-        # mean over the words of the winner's share of each word
+        # mean over the words, and stretches of long unknown ones, of the winner's share of each
         share = np.exp(np.maximum(rows - rows.max(axis=1, keepdims=True), -50))
         share /= share.sum(axis=1, keepdims=True)
         telling = rows.any(axis=1)
@@ -171,7 +184,7 @@ def predict(docs: DataFrame, table: pa.Table, doc_id: str = "doc_id", text: str
     """(doc_id, lang_pred, score) of every input row, from its text alone.
 
     ``und`` with score 0 where the text is null, holds no letter, or nothing was learned. ``score`` is the
-    mean share of the predicted language over the text's words. Ties go to the first language by name.
+    mean share of the predicted language over the text's words (a long unknown word counts once for every ``LONG`` n-grams). Ties go to the first language by name.
     """
     model = _sent(docs, table)
 

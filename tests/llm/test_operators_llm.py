@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -358,6 +359,18 @@ def test_language_edges(docs, empty, rows):
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_reads_long_words_whole():
+    units = [(lang, 1, c) for lang, own in (("aa", "abcd"), ("zz", "wxyz")) for c in own]
+    m = langid.Model(pa.table({"lang": [u[0] for u in units], "n": [u[1] for u in units], "unit": [u[2] for u in units],
+                               "count": [5] * 8, "total": [20] * 8}))
+    long = "abcd" * 50 + "wxyz" * 500
+    assert m.predict(long)[0] == "zz"
+    assert m.predict(long + " a b c d a b c d")[0] == "zz"
+    assert m.predict("wxyzwxyz a b c d")[0] == "aa"
+    assert m.word("abcd" * 10).shape == (2, 2) and m.word("abcd" * 4).shape == (1, 2)
+    assert np.allclose(m.word("abcd" * 6 + "wxyz"), m.word("wxyz" + "abcd" * 6))
+
+
 def test_quality_figures(docs, rows):
     got = by_id(quality.quality(docs))
     for i, t, *_ in rows:
