@@ -28,6 +28,10 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_LENGTH = {code[:2]: int(code[2:]) for code in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 "
+    "GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 "
+    "PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\)[\x20]?|0)[0-9]{2,4}[\x20./-][0-9]{3,4}(?:[\x20./-]?[0-9]{2,4})?(?![0-9.-])")
 _DIGIT = re.compile(r"[0-9]")
@@ -119,9 +123,19 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")):
-            yield m.span()
+    """What follows a number may look like more of it (a BIC, a date): the country's length is tried first, then
+    the whole match; for a country without a known length every end of a group, the longest first."""
+    m = _IBAN.search(text)
+    while m:
+        start, whole = m.start(), m.group()
+        ends = [k for k in range(len(whole), 14, -1) if whole[k - 1] != " " and (k == len(whole) or whole[k] == " ")]
+        length = _IBAN_LENGTH.get(whole[:2])
+        if length:
+            ends = [k for k in ends if k - whole.count(" ", 0, k) == length] + ends[:1]
+        end = next((start + k for k in ends if k - whole.count(" ", 0, k) >= 15 and mod97(whole[:k].replace(" ", ""))), None)
+        if end:
+            yield start, end
+        m = _IBAN.search(text, end or start + 1)
 
 
 def numbers(text: str) -> Iterator[tuple[int, int]]:

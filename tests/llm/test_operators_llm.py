@@ -268,6 +268,18 @@ def test_pii_base_against_patterns(docs, rows):
     assert pii.spans(docs).count() == len(rows)
 
 
+def test_pii_iban_before_capitals_and_numbers():
+    def found(text):
+        return [text[s:e] for s, e in pii.ibans(text)]
+
+    assert found("IBAN DE89370400440532013000 BIC COBADEFFXXX") == ["DE89370400440532013000"]
+    assert found("DE89 3704 0044 0532 0130 00 12 May") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("REF AB12 DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 EUR 500") == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    assert found("DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX") == []
+    text = "pay to account DE89370400440532013000 BIC COBADEFFXXX"
+    assert ("iban", 15, 37) in [x[:3] for x in pii.find(text)[1]]
+
+
 def test_mixing_targets_and_repeats(docs, rows):
     first = sorted(tuple(r) for r in mixing.per_document(*mixing.mix(docs, block_docs=4)).fillna(-1).collect())
     again = sorted(tuple(r) for r in mixing.per_document(*mixing.mix(docs.repartition(5), block_docs=4)).fillna(-1).collect())
