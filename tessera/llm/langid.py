@@ -31,7 +31,6 @@ WORDS = 20_000
 GRAMS = 20_000
 LONGEST = 4
 LONG = 20
-HELD = 200
 CACHE = 100_000
 UNDETERMINED = "und"
 
@@ -136,10 +135,14 @@ class Model:
         if len(cache) > CACHE:
             cache.clear()
         # tokens of many stretches are scored but not held
+        many: dict[str, np.ndarray] = {}
         for t in set(tokens).difference(cache):
-            if len(t) <= HELD:
-                cache[t] = self.word(t)
-        rows = np.concatenate([cache[t] if len(t) <= HELD else self.word(t) for t in tokens])
+            own = self.word(t)
+            if len(own) == 1:
+                cache[t] = own[0]
+            else:
+                many[t] = own
+        rows = np.concatenate([many[t] if t in many else cache[t][None] for t in tokens]) if many else np.array([cache[t] for t in tokens])
         total = rows.sum(axis=0)
         best = int(total.argmax())
         # mean over the words, and stretches of long unknown ones, of the winner's share of each
