@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, langid, lm, mixing, passages, pieces, pii, quality, templates, vectors
+from tessera.llm import align, codes, jaccard, langid, lm, mixing, passages, pieces, pii, quality, templates, toxicity, vectors
 from tessera.llm.tables import crc_part
 
 #: Folder of the public tokenizers' files; a parameter of the queries that use one.
 TOKENIZERS = "/opt/tokenizers"
 PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +68,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = _table(spark, sf_dir, "documents"), crc_part(F.col("doc_id"), 3)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), use=part != 1)
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score",
+                                              (F.col("score") >= toxicity.TOXIC_AT).cast("int").alias("predicted"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    aligned = align.Alignment(_table(spark, sf_dir, "documents"), os.path.join(tokenizers, BYTES), os.path.join(tokenizers, PIECES))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.documents().withColumn("groups_sha256", digest).drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_sentencepiece, op6_pii,
-                            op7_source_mixing, op8_line_dedup, op9_language_id, op10_quality_rules)}
+                            op7_source_mixing, op8_line_dedup, op9_language_id, op10_quality_rules, op11_vector_codes, op12_toxicity, op13_tokenizer_alignment)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,7 +96,38 @@ def _stop_list() -> str:
     return ", ".join(f"'{w}'" for w in sorted({w for words in quality.STOP_WORDS.values() for w in words}))
 
 
+
+def _codes_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS, scale: int = codes.SCALE) -> str:
+    """Lloyd's rounds over whole numbers, one pair of steps a round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+        a{k} AS MATERIALIZED (SELECT row_id, part, min_by(entry, d * {entries} + entry) AS entry, min(d) AS d FROM (
+              SELECT p.row_id, p.part, b.entry, CAST(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+              FROM p JOIN b{k} b ON p.part = b.part) GROUP BY row_id, part)""")
+        if k < rounds:
+            steps.append(f"""
+        b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+              SELECT part, entry, list(v ORDER BY i) AS x FROM (
+                  SELECT p.part, a.entry, i.i, CAST(floor(sum(p.x[i.i]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS v
+                  FROM p JOIN a{k} a ON p.row_id = a.row_id AND p.part = a.part, (SELECT unnest(generate_series(1, (SELECT max(len(x)) FROM p))) AS i) i GROUP BY p.part, a.entry, i.i)
+              GROUP BY part, entry) m ON b.part = m.part AND b.entry = m.entry)""")
+    return f"""
+        WITH v AS (SELECT vec_id, label, embedding AS e FROM embeddings
+                   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        q AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, label) AS row_id, vec_id, label, list_transform(e, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM v),
+        p AS MATERIALIZED (SELECT row_id, vec_id, j AS part, x[CAST(1 + j * (len(x) // {parts}) AS BIGINT):CAST((j + 1) * (len(x) // {parts}) AS BIGINT)] AS x
+              FROM q, (SELECT unnest(generate_series(0, {parts - 1})) AS j)),
+        f AS (SELECT row_id, row_number() OVER (ORDER BY vec_id, row_id) - 1 AS entry FROM q QUALIFY entry < {entries}),
+        b0 AS MATERIALIZED (SELECT p.part, f.entry, p.x FROM p JOIN f ON p.row_id = f.row_id),{",".join(steps)},
+        r AS (SELECT row_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY row_id)
+        SELECT q.vec_id, r.code, r.error, CAST(sum(r.error) OVER (PARTITION BY q.label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+        FROM q JOIN r ON q.row_id = r.row_id"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
     "op10_quality_rules": rf"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}') AS ws,
