@@ -38,6 +38,7 @@ from tessera.llm.words import mix, slices
 MARK = "▁"
 FILE_LIMIT = 64 << 20
 CACHE = 150_000
+CHUNK_BYTES = 1 << 20
 RANGE_PAIRS = 1 << 17
 GROUP_BYTES = 16 << 20
 FAN_IN = 32
@@ -223,7 +224,7 @@ def _first_pass(sent: Broadcast) -> Callable:
         own = _tokenizers(sent.value)
         at = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", CHUNK_BYTES):
                 if batch.num_rows > 1 << DOC_BITS:
                     raise ValueError("over a million rows in one Arrow batch")
                 coded = own.encode(batch.column("text").to_pylist())

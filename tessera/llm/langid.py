@@ -18,13 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.tables import map_arrow, written
+from tessera.llm.tables import map_arrow, ship, written
+from tessera.llm.words import mix, slices
 
 PER_LANGUAGE = 4000
 WORDS = 20_000
@@ -32,6 +34,7 @@ GRAMS = 20_000
 LONGEST = 4
 LONG = 20
 CACHE = 100_000
+SLICE = 2 << 20
 UNDETERMINED = "und"
 
 
@@ -39,6 +42,11 @@ def letters(token: str) -> str:
     return token if token.isalpha() else "".join(c for c in token if c.isalpha())
 
 
+def tokens_of(texts: pa.Array) -> pa.ListArray:
+    """Lower-cased tokens of every text (null: none)."""
+    return pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")))
+
+
 def grams_of(word: str, n: int) -> list[str]:
     padded = f" {word} "
     return [padded[i:i + n] for i in range(len(padded) - n + 1)]
@@ -58,11 +66,14 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, use: Column | Non
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts per language of words and of the n-grams of each word, within a partition."""
     total: dict[tuple[str, int], Counter] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = Counter(letters(t) for t in text.lower().split())
-            words.pop("", None)
-            total.setdefault((lang, 0), Counter()).update(words)
+    for whole in batches:
+        for batch in slices(whole, "text", SLICE):
+            for lang in set(batch.column("lang").to_pylist()):
+                found = tokens_of(batch.filter(pc.equal(batch.column("lang"), lang)).column("text")).flatten().value_counts()
+                words = total.setdefault((lang, 0), Counter())
+                for token, count in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
+                    words[letters(token)] += count
+                words.pop("", None)
     for (lang, _), words in list(total.items()):
         for n in range(1, LONGEST + 1):
             own = total[lang, n] = Counter()
@@ -86,8 +97,9 @@ class Model:
         position = {lang: i for i, lang in enumerate(self.langs)}
         at = np.array([position[lang] for lang in table.column("lang").to_pylist()], np.int64)
         kind, count, total = (table.column(c).to_numpy() for c in ("n", "count", "total"))
-        self.index: list[dict[str, int]] = []
         self.rows: list[np.ndarray] = []
+        self.keys: list[tuple[np.ndarray, np.ndarray]] = []
+        self.units: list[list[str]] = []
         for n in range(LONGEST + 1):
             own = kind == n
             coded = table.column("unit").filter(pa.array(own)).combine_chunks().dictionary_encode()
@@ -96,60 +108,111 @@ class Model:
             counts[place, at[own]] = count[own]
             totals[at[own]] = total[own]
             logs = np.log((counts + 0.5) / (totals + 0.5 * (len(units) + 1)))
-            self.index.append({u: i for i, u in enumerate(units)})
+            self.units.append(units)
             self.rows.append(logs - logs.max(axis=1, keepdims=True) if len(units) else logs)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def word(self, token: str) -> np.ndarray:
-        """Log scores of a token for each language, a row for each stretch of it: one row for a known word, and for
-        another one row for every ``LONG`` known n-grams, taken from long to short."""
-        word = letters(token)
-        if not word:
-            return np.zeros((1, len(self.langs)))
-        known = self.index[0].get(word)
-        if known is not None:
-            return self.rows[0][known:known + 1]
-        padded, out, own, used = f" {word} ", [], np.zeros(len(self.langs)), 0
-        for i in range(len(padded)):
-            for n in range(min(LONGEST, len(padded) - i), 0, -1):
-                row = self.index[n].get(padded[i:i + n])
-                if row is not None:
-                    if used == LONG:
-                        out.append(own / used)
-                        own, used = np.zeros(len(self.langs)), 0
-                    own += self.rows[n][row]
-                    used += 1
-                    break
-        # a short rest of a long word belongs to its last stretch
-        if out and used < LONG:
-            out[-1] = (out[-1] * LONG + own) / (LONG + used)
-        else:
-            out.append(own / max(1, used))
-        return np.array(out)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        tokens = (text or "").lower().split()
-        if not self.langs or not any(map(str.isalpha, text or "")):
-            return UNDETERMINED, 0.0
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        # tokens of many stretches are scored but not held
-        many: dict[str, np.ndarray] = {}
-        for t in set(tokens).difference(cache):
-            own = self.word(t)
-            if len(own) == 1:
-                cache[t] = own[0]
-            else:
-                many[t] = own
-        rows = np.concatenate([many[t] if t in many else cache[t][None] for t in tokens]) if many else np.array([cache[t] for t in tokens])
-        total = rows.sum(axis=0)
-        best = int(total.argmax())
-        # mean over the words, and stretches of long unknown ones, of the winner's share of each
+            if n:
+                keys = _chain(np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(-1, n).T) if units else np.zeros(0, np.uint64)
+                order = np.argsort(keys)
+                self.keys.append((keys[order], order))
+        self.words = {u: i for i, u in enumerate(self.units[0])}
+        # scores of tokens met before: logarithms, shares, stretches; whether a token holds a letter
+        self.known: dict[str, int] = {}
+        self.values = np.zeros((0, 2 * len(self.langs) + 2))
+
+    def unknown(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log scores of words that are not known, a row for each stretch, and the word of each row: one row for every
+        ``LONG`` known n-grams, taken from long to short at each place (a shorter rest belongs to the last row)."""
+        padded = [f" {w} " for w in words]
+        size = np.array([len(p) for p in padded], np.int64)
+        code = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32)
+        n = len(code)
+        left = np.repeat(np.cumsum(size), size) - np.arange(n)  # characters up to the word's end
+        which, row = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        key = np.zeros(n, np.uint64)
+        for k in range(1, LONGEST + 1):
+            key = _link(key, np.concatenate([code[k - 1:], np.zeros(k - 1, np.uint32)]), k)
+            keys, order = self.keys[k - 1]
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                found = (keys[at] == key) & (left >= k)
+                which[found], row[found] = k, order[at[found]]
+        word = np.repeat(np.arange(len(words)), size)
+        used = which > 0
+        which, row, owner = which[used], row[used], word[used]
+        count = np.bincount(owner, minlength=len(words))
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        stretches = np.maximum(1, count // LONG)
+        base = np.cumsum(stretches) - stretches
+        stretch = base[owner] + np.minimum(place // LONG, stretches[owner] - 1)
+        values = np.zeros((len(owner), len(self.langs)))
+        for k in range(1, LONGEST + 1):
+            values[which == k] = self.rows[k][row[which == k]]
+        total = int(stretches.sum())
+        out = np.stack([np.bincount(stretch, values[:, i], total) for i in range(len(self.langs))], 1)
+        return out / np.maximum(1, np.bincount(stretch, minlength=total))[:, None], np.repeat(np.arange(len(words)), stretches)
+
+    def scored(self, tokens: list[str]) -> np.ndarray:
+        """For each token: log scores summed over its stretches, shares summed over its telling ones, their number, and
+        whether it holds a letter."""
+        n, words = len(self.langs), [letters(t) for t in tokens]
+        out = np.zeros((len(tokens), 2 * n + 2))
+        at = np.array([self.words.get(w, -1) for w in words], np.int64)
+        has = np.array([bool(w) for w in words], bool)
+        new = np.flatnonzero(has & (at < 0))
+        rows, owner = np.zeros((len(tokens), n)), np.arange(len(tokens))
+        rows[at >= 0] = self.rows[0][at[at >= 0]]
+        if len(new):
+            more, of = self.unknown([words[i] for i in new])
+            old = np.ones(len(tokens), bool)
+            old[new] = False
+            rows, owner = np.concatenate([rows[old], more]), np.concatenate([owner[old], new[of]])
         share = np.exp(np.maximum(rows - rows.max(axis=1, keepdims=True), -50))
         share /= share.sum(axis=1, keepdims=True)
         telling = rows.any(axis=1)
-        return self.langs[best], float(share[telling if telling.any() else slice(None), best].mean())
+        for i in range(n):
+            out[:, i] = np.bincount(owner, rows[:, i], len(tokens))
+            out[:, n + i] = np.bincount(owner[telling], share[telling, i], len(tokens))
+        out[:, 2 * n] = np.bincount(owner[telling], minlength=len(tokens))
+        out[:, 2 * n + 1] = has
+        return out
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text. Every distinct token of the texts is scored once; sums follow the texts' tokens."""
+        n = len(self.langs)
+        if not n or not len(texts):
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        tokens = tokens_of(texts)
+        coded = tokens.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.known) > CACHE:
+            self.known, self.values = {}, self.values[:0]
+        new = [t for t in distinct if t not in self.known]
+        self.values = np.concatenate([self.values, *(self.scored(new[i:i + 20_000]) for i in range(0, len(new), 20_000))])
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        at = np.array([self.known[t] for t in distinct], np.int64)[coded.indices.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy())])
+        total = np.zeros((len(texts), 2 * n + 2))
+        some = ends[1:] > ends[:-1]
+        if some.any():
+            total[some] = np.add.reduceat(self.values[at], ends[:-1][some])
+        best = total[:, :n].argmax(1)
+        stretches = total[:, 2 * n]
+        # mean over the words, and stretches of long unknown ones, of the winner's share of each
+        share = np.where(stretches > 0, total[np.arange(len(texts)), n + best] / np.maximum(1, stretches), 1 / n)
+        letter = total[:, 2 * n + 1] > 0
+        return [self.langs[i] if x else UNDETERMINED for i, x in zip(best.tolist(), letter.tolist(), strict=True)], np.where(letter, share, 0.0)
+
+
+def _link(key: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """The key of an n-gram from that of its first n - 1 characters."""
+    return mix(key * np.uint64(0x9E3779B97F4A7C15) + code.astype(np.uint64) + np.uint64(n << 32))
+
+
+def _chain(codes: np.ndarray) -> np.ndarray:
+    key = np.zeros(codes.shape[1], np.uint64)
+    for n, code in enumerate(codes, 1):
+        key = _link(key, code, n)
+    return key
 
 
 _MODELS: dict[bytes, Model] = {}
@@ -193,10 +256,10 @@ def predict(docs: DataFrame, table: pa.Table, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model.value)
-        for batch in batches:
-            found = [m.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                                  names=["doc_id", "lang_pred", "score"])
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                langs, scores = m.predict(batch.column("text"))
+                yield pa.record_batch([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return map_arrow(source, run, T.StructType([source.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
@@ -204,13 +267,18 @@ def predict(docs: DataFrame, table: pa.Table, doc_id: str = "doc_id", text: str
 
 def keep(docs: DataFrame, table: pa.Table, text: str = "text", least: float = 0.3, langs: tuple[str, ...] | None = None) -> DataFrame:
     """The rows, as they are, whose predicted language is determined with a score of ``least`` or more
-    (and is one of ``langs``, if given). Nothing is shuffled; columns are passed through."""
+    (and is one of ``langs``, if given). Nothing is shuffled; only the text goes to the Python worker."""
     model = _sent(docs, table)
+    ship(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def wanted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = _model(model.value)
-        for batch in batches:
-            found = [m.predict(t) for t in batch.column(text).to_pylist()]
-            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least and (langs is None or lang in langs) for lang, score in found], pa.bool_()))
-
-    return map_arrow(docs, run, docs.schema)
+        for whole in texts:
+            out = []
+            for batch in slices(pa.record_batch([whole], names=["text"]), "text", SLICE):
+                found, scores = m.predict(batch.column("text"))
+                out += [lang != UNDETERMINED and score >= least and (langs is None or lang in langs) for lang, score in zip(found, scores.tolist(), strict=True)]
+            yield pa.array(out, pa.bool_())
+
+    return docs.filter(wanted(F.col(text)))

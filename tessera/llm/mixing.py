@@ -10,6 +10,7 @@ blocks and shuffle what they hold by a hash. Runs repeat exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 MOST = 2.0
 BLOCK_DOCS = 64
-SHARDS = 64
+#: words of a shard, on average: a shard is shuffled by one task
+SHARD_WORDS = 4_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -86,10 +88,11 @@ def _draw(rng: np.random.Generator, colours: np.ndarray, n: int) -> np.ndarray:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, total: float = TOTAL,
-        most: float = MOST, shards: int = SHARDS, block_docs: int = BLOCK_DOCS, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+        most: float = MOST, shards: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(draws, sizes, targets)``: draws has a row for each time the mix takes a document.
 
-    draws: doc_id, source, size, epoch (from 0), shard, position (a hash that orders the shard). sizes:
+    draws: doc_id, source, size, epoch (from 0), shard, position (a hash that orders the shard). There are as many shards
+    as the mix has ``SHARD_WORDS``, unless ``shards`` says otherwise; the words taken do not depend on them. sizes:
     doc_id, source, size of every input row. A null text has size 0; documents of size 0 are drawn like
     others, without changing the sums. Rows that repeat a (doc_id, source) are one document with the sum of
     their sizes. A source's drawn words
@@ -98,6 +101,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     spark = docs.sparkSession
     sizes = written(sized(docs, doc_id, text, source), "sizes")
     goal = written(targets(sizes, weights, total, most), "targets")
+    if shards is None:
+        shards = max(1, math.ceil((goal.agg(F.sum("target")).first()[0] or 0) / SHARD_WORDS))
     # blocks of a source: as many as hold block_docs documents each on average
     n_blocks = F.ceil(F.col("n_docs") / block_docs)
     keyed = sizes.join(goal.select(F.col("source").alias("s"), n_blocks.alias("n_blocks")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -172,8 +177,9 @@ def _stretches(spark: SparkSession, quota: DataFrame, shards: int, seed: int) ->
 
 
 def per_document(draws: DataFrame, sizes: DataFrame, goal: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every input row; ``taken`` counts each draw's words."""
-    times = draws.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("times"))
+    """doc_id, size, source_size, target, taken, shards of every input row; ``taken`` counts each draw's words, ``shards`` names
+    each draw's shard (a document drawn twice into one shard has it twice)."""
+    times = draws.groupBy("doc_id", "source").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
     return (sizes.alias("d").join(times.alias("t"), F.expr("d.doc_id <=> t.doc_id and d.source <=> t.source"), "left")
             .join(goal.alias("g"), F.expr("d.source <=> g.source"))
-            .selectExpr("d.doc_id", "d.size", "g.source_size", "g.target", "d.size * coalesce(t.times, 0L) as taken"))
+            .selectExpr("d.doc_id", "d.size", "g.source_size", "g.target", "d.size * coalesce(cast(size(t.shards) as long), 0L) as taken", "coalesce(t.shards, cast(array() as array<long>)) as shards"))

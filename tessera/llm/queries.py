@@ -22,8 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated passages (lines) to remove, with their offsets and the place of the copy that stays."""
-    return passages.removals(_table(spark, sf_dir, "documents"))
+    """Repeated passages to remove, by sentence and line, with their offsets and the place of the copy that stays."""
+    return passages.removals(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of recurring templates, by document and line number."""
     dropped = templates.dropped_lines(_table(spark, sf_dir, "documents"))
-    return dropped.select("doc_id", F.col("no").alias("line_no"), "contexts")
+    return dropped.select("doc_id", F.col("no").alias("line_no"), "documents")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,26 +152,24 @@ ORACLE: dict[str, str] = {
     "op8_line_dedup": rf"""
         WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, unnest(ls) AS line, CAST(unnest(generate_series(0, len(ls) - 1)) AS BIGINT) AS no FROM s),
-        b AS (SELECT doc_id, no, line, regexp_matches(line, '{_WORD}') AS has FROM l),
-        c AS (SELECT *, lag(CASE WHEN has THEN lower(line) END) OVER o AS before, lead(CASE WHEN has THEN lower(line) END) OVER o AS after
-              FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY no)),
-        t AS (SELECT doc_id, no, coalesce(before, chr(10)) || chr(0) || coalesce(after, chr(10)) AS context,
-                     list_transform(regexp_extract_all(lower(line), '{_WORD}'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{templates.FIELD}' ELSE w END) AS tokens
-              FROM c WHERE has),
+        t AS (SELECT doc_id, no, list_transform(regexp_extract_all(lower(line), '{_WORD}'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{templates.FIELD}' ELSE w END) AS tokens
+              FROM l WHERE regexp_matches(line, '{_WORD}')),
         p AS (SELECT *, len(tokens) AS n, tokens[1:{templates.DEPTH}] AS lead_tokens FROM t),
-        k AS (SELECT DISTINCT n, lead_tokens, tokens FROM p WHERE n <= {templates.LONGEST}),
+        a AS (SELECT n, lead_tokens, min(doc_id) AS doc_id, sum(n) AS own FROM p GROUP BY n, lead_tokens HAVING min(doc_id) = max(doc_id)),
+        o AS (SELECT doc_id, sum(own) AS own FROM a GROUP BY doc_id),
+        h AS (SELECT d.doc_id FROM (SELECT doc_id, sum(n) AS words FROM p GROUP BY doc_id) d JOIN o ON d.doc_id = o.doc_id WHERE 2 * own > words),
+        k AS (SELECT DISTINCT n, lead_tokens, tokens FROM p),
         e AS (SELECT n, lead_tokens, unnest(tokens) AS token, unnest(generate_series(1, len(tokens))) AS place FROM k),
         m AS (SELECT n, lead_tokens, place, token FROM (SELECT n, lead_tokens, place, token, row_number() OVER (PARTITION BY n, lead_tokens, place ORDER BY count(*) DESC, token DESC) AS r
               FROM e GROUP BY n, lead_tokens, place, token) WHERE r = 1),
         x AS (SELECT n, lead_tokens, list(token ORDER BY place) AS shape FROM m GROUP BY n, lead_tokens),
-        q AS (SELECT p.doc_id, p.no, p.context, CASE WHEN p.n <= {templates.LONGEST} AND
-                     len(list_filter(generate_series(1, p.n), lambda i: p.tokens[i] = x.shape[i])) >= {templates.SIMILAR} * p.n
+        q AS (SELECT p.doc_id, p.no, CASE WHEN len(list_filter(generate_series(1, p.n), lambda i: p.tokens[i] = x.shape[i])) >= {templates.SIMILAR} * p.n
                      THEN [CAST(p.n AS VARCHAR)] || p.lead_tokens ELSE [''] || p.tokens END AS template
-              FROM p LEFT JOIN x ON p.n = x.n AND p.lead_tokens = x.lead_tokens),
-        u AS (SELECT template, count(DISTINCT context) AS contexts FROM q GROUP BY template HAVING count(DISTINCT context) >= {templates.MIN_CONTEXTS})
-        SELECT DISTINCT doc_id, no AS line_no, CAST(contexts AS BIGINT) AS contexts FROM q JOIN u ON q.template = u.template""",
+              FROM p JOIN x ON p.n = x.n AND p.lead_tokens = x.lead_tokens),
+        u AS (SELECT template, count(DISTINCT q.doc_id) AS documents FROM q JOIN h ON q.doc_id = h.doc_id GROUP BY template HAVING count(DISTINCT q.doc_id) >= {templates.MIN_DOCUMENTS})
+        SELECT DISTINCT doc_id, no AS line_no, CAST(documents AS BIGINT) AS documents FROM q JOIN u ON q.template = u.template""",
     "op1_substring_dedup": rf"""
-        WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        WITH s AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09\x0B-\x0D]', '\1' || chr(10), 'g'), chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS no FROM s),
         o AS (SELECT doc_id, no, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM l),
         w AS (SELECT doc_id, no, place, line, list_transform(regexp_extract_all(line, '{_WORD}'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -36,24 +37,44 @@ def map_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFra
     return df.mapInArrow(run, schema)
 
 
-#: Folders that ``written`` has made and ``drop_written`` has not yet removed.
-_WRITTEN: list[str] = []
+class Scratch:
+    """The intermediate tables of one piece of work. Those that ``written`` makes inside ``with Scratch(spark)`` are removed
+    at its end, except one handed to ``keep``. Each use has a list of its own, so it never removes another's tables;
+    outside of any, tables stay for as long as the shared scratch folder keeps them."""
 
+    _open: contextvars.ContextVar[Scratch | None] = contextvars.ContextVar("scratch", default=None)
 
-def drop_written(spark: SparkSession) -> None:
-    """Remove the intermediate tables made so far. Only for a caller whose earlier results are all stored."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self.token = self._open.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._open.reset(self.token)
+        for name in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows written to a table that outlives this work."""
+        return _stored(df, scratch_path(self.spark, name))
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared scratch folder and read back: later steps do not depend on
     what executors hold, and each step is computed once."""
     path = scratch_path(df.sparkSession, name)
-    _WRITTEN.append(path)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    own = Scratch._open.get()
+    if own is not None:
+        own.paths.append(path)
+    return _stored(df, path)
 
 
 def bit_set(values: DataFrame, column: str, bits: int = 23) -> bytes:

@@ -135,11 +135,17 @@ def fit(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding"
     """An index fitted on about ``sample`` vectors chosen by hash of the id (all, if there are fewer).
 
     The number of lists follows the square root of the number of vectors up to ``lists_most``, less the
-    centroids nearer each other than vectors of that cosine. None if no vector of the sample can link.
+    centroids nearer each other than vectors of that cosine. Only vectors that can link are counted and drawn; None if there are none.
     """
+    sound = (f"size({embedding}) > 0 and forall({embedding}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) "
+             f"and exists({embedding}, x -> x <> 0)")
+    vectors = vectors.filter(F.expr(sound))
     n = vectors.count()
     share = F.pmod(F.xxhash64(F.lit(SEED), F.col(vec_id)), F.lit(1 << 30)) / float(1 << 30)
-    rows = vectors.filter(share < sample / max(n, 1)).select(F.col(embedding).cast("array<double>").alias("embedding")).toArrow()
+    numbers = F.col(embedding).cast("array<double>").alias("embedding")
+    rows = vectors.filter(share < sample / max(n, 1)).select(numbers).toArrow()
+    if n and not rows.num_rows:  # the hash may pass over all of a few vectors
+        rows = vectors.select(numbers).limit(sample).toArrow()
     column = rows.column("embedding").combine_chunks()
     sizes = [len(v) for v in column.to_pylist() if v]
     if not sizes:

@@ -2,7 +2,7 @@
 
 A word is a run of bytes other than space and 0x09-0x0D; A-Z are lower-cased. Both rules touch only
 ASCII bytes, so they act on the bytes as they would on the characters. Work goes through the text in
-blocks of bounded size, whole texts always; only a single word longer than ``LONG_WORD`` is hashed apart.
+blocks of bounded size, whole texts and whole words always.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 20
-LONG_WORD = 4096
+LONG_WORD = 64
 SLICE = 4 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -23,19 +23,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 5
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for every position of a block."""
-    if not _POWERS:
-        n = BLOCK + LONG_WORD + 1
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            _POWERS[name] = np.multiply.accumulate(table)
-    return _POWERS["up"], _POWERS["down"]
+_KEY, _STEP = np.uint64(0x243F6A8885A308D3), np.uint64(0x9E3779B97F4A7C15)
+_ALL = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,30 +63,34 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every lower-cased word, and the index of each text's first word."""
+    """64-bit hash of every lower-cased word, and the index of each text's first word.
+
+    A word's eight-byte pieces are mixed in one after the other, its length first; words of more than
+    ``LONG_WORD`` bytes are hashed by BLAKE2.
+    """
     starts, ends, at = word_spans(data, offsets)
-    up, down = _powers()
-    out = np.empty(len(starts), np.uint64)
     lengths = ends - starts
+    out = np.empty(len(starts), np.uint64)
+    # blocks of whole words; a block's bytes are lower-cased together
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK)))
-        long = lengths[i:j] > LONG_WORD
-        lo = starts[i]
-        if long.any():
-            k = i + int(np.argmax(long))
-            if k == i:
-                out[i] = int.from_bytes(hashlib.blake2b(_LOWER[data[lo:ends[i]]].tobytes(), digest_size=8).digest(), "little")
-                i += 1
-                continue
-            j = k
-        v = _LOWER[data[lo:ends[j - 1]]].astype(np.uint64)
-        v += np.uint64(1)
-        v *= up[:len(v)]
-        sums = np.zeros(len(v) + 1, np.uint64)
-        np.cumsum(v, out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + lengths[i:j].astype(np.uint64))
+        lo = int(starts[i])
+        own = np.zeros(int(ends[j - 1]) - lo + 8, np.uint8)
+        own[:-8] = _LOWER[data[lo:ends[j - 1]]]
+        pieces = np.ndarray(len(own) - 7, "<u8", own, strides=(1,))
+        s, n = starts[i:j] - lo, lengths[i:j]
+        h = mix(n.astype(np.uint64) * _STEP + _KEY)
+        long = n > LONG_WORD
+        who, k = np.flatnonzero(~long), 0
+        while len(who):
+            left = np.minimum(n[who] - k, 8).astype(np.uint64)
+            h[who] = mix((h[who] ^ (pieces[s[who] + k] & (_ALL >> (np.uint64(64) - np.uint64(8) * left)))) * _STEP + _KEY)
+            k += 8
+            who = who[n[who] > k]
+        for w in np.flatnonzero(long).tolist():
+            h[w] = int.from_bytes(hashlib.blake2b(own[s[w]:s[w] + n[w]].tobytes(), digest_size=8, key=b"word").digest(), "little")
+        out[i:j] = h
         i = j
     return out, at
 

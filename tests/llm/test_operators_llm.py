@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, langid, lm, mixing, passages, pieces, pii, quality, templates, vectors
 from tessera.llm.queries import PIECES, TOKENIZERS
-from tessera.llm.tables import components, crc_part
+from tessera.llm.tables import Scratch, components, crc_part, written
+from tessera.llm.words import hash_words, text_bytes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, x string, part int"
 
@@ -299,7 +300,7 @@ def test_mixing_targets_and_repeats(docs, rows):
         left -= sum(target[s] for s in over)
         free -= over
     target |= share
-    assert all(taken <= 2 * size for _, size, _, _, taken in first)
+    assert all(taken <= 2 * size for _, size, _, _, taken, _ in first)
     for s in order:
         mine = [r for r in first if r[2] == sizes[s]]
         assert all(math.isclose(r[3], target[s]) for r in mine)
@@ -313,6 +314,22 @@ def test_mixing_tree_covers_all_quotas():
     assert all((a[0] + a[1] == b[0]).all() for a, b in zip(leaves, leaves[1:], strict=False))
 
 
+def test_mixing_shards_come_from_the_tree(docs):
+    """A source's draws, shard by shard, are the quotas that the tree's leaves have for it."""
+    draws, sizes, goal = mixing.mix(docs, shards=5, block_docs=1)
+    rows = draws.collect()
+    blocks = collections.Counter(r.source for r in rows)
+    order = sorted(blocks, key=lambda s: (s is None, s or ""))
+    per = mixing.per_document(draws, sizes, goal).collect()
+    assert collections.Counter(k for r in {(r.doc_id, r.source_size, tuple(r.shards)) for r in per} for k in r[2])
+    assert collections.Counter(r.shard for r in rows).keys() <= set(range(5))
+    # another tree deals the same draws to other shards
+    other, _, _ = mixing.mix(docs, shards=1, block_docs=1)
+    assert {r.shard for r in other.collect()} == {0}
+    assert collections.Counter((r.doc_id, r.source, r.epoch) for r in rows) == collections.Counter((r.doc_id, r.source, r.epoch) for r in other.collect())
+    assert order
+
+
 def test_mixing_empty(empty):
     assert mixing.per_document(*mixing.mix(empty)).count() == 0
 
@@ -328,6 +345,62 @@ def test_passages_offsets(docs, rows):
     assert left[12] == text[12][:-len(LINE)] and left[13].strip() == "" and left[0] == text[0] and left[4] is None
 
 
+def test_passages_inside_lines(spark):
+    shared = " ".join(f"Sentence {i} of the shared passage has {prose(50 + i, 8)}." for i in range(6))
+    rows = [(1, f"{prose(1, 9)}. {prose(2, 7)} {shared[12:]} {prose(3, 9)}."), (2, f"{prose(4, 30)}. {shared}"), (3, f"{prose(5, 9)} and {shared[5:-4]} {prose(6, 4)}!"),
+            (4, f"{prose(7, 40)}. Yes. No. {prose(8, 9)}."), (5, f"{prose(9, 40)}. Yes. No. {prose(10, 9)}.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.removals(docs).collect()
+    assert {r.doc_id for r in got} == {2, 3} and {r.kept_doc_id for r in got} == {1}
+    text = dict(rows)
+    assert all(text[r.doc_id][r.start:r.end].split() == text[1][r.kept_start:].split()[:r.n_words] for r in got)
+    left = {r.doc_id: r.text for r in passages.cleaned(docs, passages.removals(docs)).collect()}
+    assert "Sentence 3" in left[1] and "Sentence 3" not in left[2] + left[3] and left[4] == text[4]
+
+
+def shared_ids(spark):
+    """Rows that share an id, or have none, with different texts; column names that steps use inside."""
+    body = "\n".join(f"Line {i} of a block that stands in many texts {prose(60 + i, 10)}." for i in range(3))
+    own = lambda i: "\n".join(prose(1000 + 10 * i + k, 25) + "." for k in range(4))
+    rows = [(i, f"{own(i)}\n{body}\n{own(i + 100)}") for i in range(20)]
+    rows += [(5, own(300)), (None, own(301)), (None, f"{own(302)}\n{body}"), rows[7], (40, None), (41, "")]
+    clash = ", ".join(f"{c} string" for c in ("__id", "__no", "__cuts", "__cut_id", "__cut_key", "text_key", "start", "no", "line", "leaf", "shard", "position", "__kept", "key"))
+    table = [(i, t, "en", "s", 1, *["own"] * 14) for i, t in rows]
+    return spark.createDataFrame(table, f"doc_id long, text string, lang string, source string, n_chars long, {clash}").repartition(3), rows
+
+
+def test_cuts_follow_the_text_and_not_the_id_alone(spark):
+    docs, rows = shared_ids(spark)
+    dropped = templates.dropped_lines(docs)
+    got = templates.without_lines(docs, dropped)
+    assert got.columns == docs.columns and got.filter("`__no` <> 'own' or line <> 'own'").count() == 0
+    left = collections.Counter((r.doc_id, r.text) for r in got.collect())
+    want = collections.Counter((i, t if t is None else "\n".join(x for x in t.split("\n") if not x.startswith("Line "))) for i, t in rows)
+    assert left == want
+    cut = passages.cleaned(docs, passages.removals(docs))
+    assert cut.columns == docs.columns
+    kept = collections.Counter((r.doc_id, r.text) for r in cut.collect())
+    assert kept[5, rows[20][1]] == 1 and kept[None, rows[21][1]] == 1 and sum(kept.values()) == len(rows)
+    assert sum("Line 1" in (t or "") for _, t in kept) == 1
+
+
+def test_templates_count_documents(spark):
+    own = lambda i: "\n".join(prose(2000 + 10 * i + k, 40) for k in range(5))
+    block = "first of three lines\nsecond of three lines 17\n" + prose(9, 260)
+    table = "\n".join(f"{i} {i * 3} {i * 7} {i * 11}" for i in range(14))
+    rows = [(i, f"{own(i)}\n{block.replace('17', str(i))}\n{own(i + 50)}") for i in range(40)]
+    rows += [(100, f"{own(200)}\n{table}\n{own(201)}")]
+    copied = own(300)
+    rows += [(200 + i, copied + f"\nA near copy ends with {prose(3000 + i, 3)}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = templates.dropped_lines(docs).collect()
+    # all lines of the block, the long one too; no line of one document's table or of copies
+    assert {(r.doc_id, r.no) for r in got} == {(i, n) for i in range(40) for n in (5, 6, 7)}
+    assert {r.documents for r in got} == {40}
+    few = templates.dropped_lines(docs.filter("doc_id < 9 or doc_id >= 100")).collect()
+    assert few == []
+
+
 def test_templates_recurring_lines(docs, rows):
     dropped = templates.dropped_lines(docs)
     assert {(r.doc_id, r.no) for r in dropped.collect()} == {(i, 1) for i in range(20, 32)}
@@ -338,6 +411,41 @@ def test_templates_recurring_lines(docs, rows):
     assert templates.without_lines(docs, dropped).columns == docs.columns
 
 
+def test_scratch_removes_only_its_own_tables(spark, docs):
+    outside = written(docs.select("doc_id"), "outside")
+    with Scratch(spark) as own:
+        inside = written(docs.select("doc_id"), "inside")
+        kept = own.keep(inside, "kept")
+        with Scratch(spark):
+            written(docs.select("doc_id"), "deeper")
+        assert inside.count() == docs.count()
+    assert outside.count() == kept.count() == docs.count()
+    with pytest.raises(Exception, match="FileNotFound|does not exist|PATH_NOT_FOUND|file"):
+        inside.count()
+
+
+def test_word_hashes_do_not_meet():
+    """Words on which a polynomial modulo 2^64 agrees."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    column = pa.array([a, b, a.upper(), a + "x", "", "ab cd", "abcd", "x" * 64, "x" * 65, "x" * 63 + "y" + "x"])
+    h, at = hash_words(*text_bytes(column))
+    own = [h[s:e].tolist() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    assert own[0] == own[2] and len({tuple(x) for x in own}) == 9
+    assert [len(x) for x in own] == [1, 1, 1, 1, 0, 2, 1, 1, 1, 1]
+    # the same word, wherever it stands
+    h, _ = hash_words(*text_bytes(pa.array([f"{' ' * k}Word{' ' * (9 - k)}" for k in range(10)] + ["zzz word", "word" + " q" * 700_000 + " WORD"])))
+    assert len({*h[:10].tolist(), int(h[11]), int(h[12]), int(h[-1])}) == 1
+
+
+def test_vectors_among_many_unusable_rows(spark):
+    rows = spark.range(0, 60_000).select((F.col("id") + 10).alias("vec_id"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(1).alias("label"))
+    same = spark.createDataFrame([(i, [1.0, 2.0, 0.5, -1.0], 1) for i in range(3)], "vec_id long, embedding array<float>, label int")
+    got = vectors.near_duplicates(rows.unionByName(same)).filter("vec_id < 3").collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(0, 2, 0), (1, 2, 0), (2, 2, 0)}
+
+
 def test_empty_line_operators(empty):
     assert passages.removals(empty).count() == 0
     assert templates.dropped_lines(empty).count() == 0
@@ -371,16 +479,59 @@ def test_language_edges(docs, empty, rows):
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def plain_language(model, text):
+    """The rule of the module, word by word."""
+    n, total, shares = len(model.langs), np.zeros(len(model.langs)), []
+    known = {unit: {u: i for i, u in enumerate(units)} for unit, units in enumerate(model.units)}
+    for token in (text or "").lower().split():
+        word = langid.letters(token)
+        if not word:
+            continue
+        if word in known[0]:
+            rows = [model.rows[0][known[0][word]]]
+        else:
+            found, padded = [], f" {word} "
+            for i in range(len(padded)):
+                for k in range(min(langid.LONGEST, len(padded) - i), 0, -1):
+                    if padded[i:i + k] in known[k]:
+                        found.append(model.rows[k][known[k][padded[i:i + k]]])
+                        break
+            full = max(1, len(found) // langid.LONG)
+            cuts = [langid.LONG * i for i in range(full)] + [len(found)]
+            rows = [np.mean(found[x:y], axis=0) if found[x:y] else np.zeros(n) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        for r in rows:
+            total += r
+            if r.any():
+                e = np.exp(np.maximum(r - r.max(), -50))
+                shares.append(e / e.sum())
+    if not any(map(str.isalpha, text or "")):
+        return "und", 0.0
+    best = int(total.argmax())
+    return model.langs[best], float(np.mean([s[best] for s in shares])) if shares else 1 / n
+
+
+def test_language_against_the_plain_rule(spark, rows, docs):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.Model(langid.fit(d, per_language=20, words=300, grams=400))
+    rng = np.random.default_rng(7)
+    texts = [r[1] for r in rows] + [r.text for r in d.limit(40).collect()] + ["".join(rng.choice(list("aäeh ßñz.1日"), 60)) for _ in range(100)]
+    langs, scores = model.predict(pa.array(texts))
+    for text, lang, score in zip(texts, langs, scores.tolist(), strict=True):
+        want = plain_language(model, text)
+        assert (lang, round(score, 9)) == (want[0], round(want[1], 9)), text
+    again = model.predict(pa.array(texts))  # every token from memory
+    assert (again[0], again[1].tolist()) == (langs, scores.tolist())
+
+
 def test_language_reads_long_words_whole():
     units = [(lang, 1, c) for lang, own in (("aa", "abcd"), ("zz", "wxyz")) for c in own]
     m = langid.Model(pa.table({"lang": [u[0] for u in units], "n": [u[1] for u in units], "unit": [u[2] for u in units],
                                "count": [5] * 8, "total": [20] * 8}))
     long = "abcd" * 50 + "wxyz" * 500
-    assert m.predict(long)[0] == "zz"
-    assert m.predict(long + " a b c d a b c d")[0] == "zz"
-    assert m.predict("wxyzwxyz a b c d")[0] == "aa"
-    assert m.word("abcd" * 10).shape == (2, 2) and m.word("abcd" * 4).shape == (1, 2)
-    assert np.allclose(m.word("abcd" * 6 + "wxyz"), m.word("wxyz" + "abcd" * 6))
+    assert m.predict(pa.array([long, long + " a b c d a b c d", "wxyzwxyz a b c d"]))[0] == ["zz", "zz", "aa"]
+    stretches = lambda w: m.unknown([w])[0]
+    assert stretches("abcd" * 10).shape == (2, 2) and stretches("abcd" * 4).shape == (1, 2)
+    assert np.allclose(stretches("abcd" * 6 + "wxyz"), stretches("wxyz" + "abcd" * 6))
 
 
 def test_quality_figures(docs, rows):

@@ -44,3 +44,34 @@ def test_empty(spark, docs):
     empty = docs.limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, shared and missing ids, a very long text, ties, repeated rows and columns with names used inside."""
+    long = " ".join(f"word{i % 977}x" for i in range(60_000))
+    body = [f"This is text number {i} about the house and the garden of the neighbour {i * i}" for i in range(8)]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(body)] + [(3, "Ein anderer Text unter derselben Nummer steht hier", "de", "b", 2), (None, "no id here but some words", None, None, None),
+                                                                 (None, None, None, None, None), (50, "", "en", "a", 0), (51, long, "en", "b", 3), (0, body[0], "en", "a", 1)]
+    clash = ("__id", "__no", "__cuts", "__source", "__shard", "__at", "__kept", "text_key", "shard", "position", "size", "component_id")
+    docs = spark.createDataFrame([(*r, *["own"] * len(clash)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash))
+    docs = docs.repartition(3)
+    for name, stage in p.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert got.filter(" or ".join(f"`{c}` <> 'own'" for c in clash)).count() == 0, name
+    kept = [(r.doc_id, r.text) for r in p.language_id(spark, docs, SF).collect()]
+    assert len(kept) == len(rows) - 2 and (51, long) in kept
+    assert p.line_dedup(spark, docs, SF).count() == len(rows)
+    ids = [r.doc_id for r in p.ngram_jaccard_join(spark, docs, SF).collect()]
+    assert sorted(i for i in ids if i is not None) == [*range(8), 50, 51] and ids.count(None) == 2
+    assert [r.text for r in p.ngram_jaccard_join(spark, docs, SF).filter("doc_id = 3").collect()] == [r.text for r in p.ngram_jaccard_join(spark, docs.repartition(5), SF).filter("doc_id = 3").collect()]
+    coded = p.sentencepiece(spark, docs, SF)
+    assert coded.count() == len(rows) and coded.filter("not round_trip").count() == 0
+
+
+def test_stages_chained_without_storing(spark, docs):
+    """Each stage removes what it wrote itself, so results that are not stored yet stay readable."""
+    left = docs
+    for _, stage in p.STAGES[:3]:
+        left = stage(spark, left, SF)
+    assert 0 < left.count() <= docs.count()
