@@ -7,5 +7,5 @@ from tessera.operators.joins import (add_row_index, attach_metadata, positional_
 from tessera.operators.projection import (add_constant, apply_mapping, drop_columns, drop_null_fields,
                                           fill_defaults, make_struct, rename_all)
 from tessera.operators.ranking import ranked
-from tessera.operators.sets import align_union, distinct_edges, edges_from, ids_of, nested_ids, union_edges
+from tessera.operators.sets import align_union, distinct_edges, edges_at, edges_from, ids_at, ids_of, nested_ids, union_edges
 from tessera.operators.upsert import latest_per_key, upsert

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir
+from tessera.functions._util import int_div
+from tessera.session import scratch_path
 
 
 def row_count(df: DataFrame, name: str = "n_rows") -> DataFrame:
@@ -19,19 +20,17 @@ def audit_files(df: DataFrame, key: str, file_col: str = "file", with_total: boo
     """per file, total rows, rows with a null key and valid rows, in one scan.
 
     ``df`` must carry the file column (see ``sources.with_file_path``). With ``with_total`` a
-    grand-total row is added by ``rollup``; it is marked by ``is_total`` (from ``grouping_id``),
-    not by a null file name.
+    grand-total row (``is_total``, null file) is added from the files' own counts: rows are counted once, and only the
+    row for each file is used again.
     """
-    grouped = df.rollup(file_col) if with_total else df.groupBy(file_col)
-    out = grouped.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(F.col(key).isNull()).alias("null_rows"),
-        *([F.grouping_id().alias("__gid")] if with_total else []),
-    )
-    out = out.withColumn("valid_rows", F.col("total_rows") - F.col("null_rows"))
+    out = df.groupBy(file_col).agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col(key).isNull()).alias("null_rows"))
     if with_total:
-        out = out.withColumn("is_total", F.col("__gid") == 1).drop("__gid")
-    return out
+        # a file's row stands for itself and for the total
+        copies = F.explode(F.array(F.struct(F.col(file_col).alias("f"), F.lit(False).alias("t")), F.struct(F.lit(None).cast(df.schema[file_col].dataType).alias("f"), F.lit(True).alias("t"))))
+        out = (out.select(copies.alias("x"), "total_rows", "null_rows").groupBy(F.col("x.f").alias(file_col), F.col("x.t").alias("is_total"))
+               .agg(F.sum("total_rows").alias("total_rows"), F.sum("null_rows").alias("null_rows")))
+    out = out.withColumn("valid_rows", F.col("total_rows") - F.col("null_rows"))
+    return out.select(file_col, "total_rows", "null_rows", "valid_rows", *(["is_total"] if with_total else []))
 
 
 def daily_average(df: DataFrame, entity: str, cls: str, ts: str, value, name: str = "average") -> DataFrame:
@@ -69,68 +68,47 @@ def class_totals(df: DataFrame, classes: Sequence[str], total_name: str = "Total
     return df.agg(*[F.sum(c).alias(c) for c in classes], F.sum(row_total(classes)).alias(total_name))
 
 
-# Largest number of (group, kind) keys above ``chunk_size`` that is broadcast (about 10 MB).
-MAX_BROADCAST_LARGE_GROUPS = 200_000
-
-
 def group_ids(edges: DataFrame, group: str, kind: str, item: str, keep_duplicates: bool = False,
-              out: str = "resources", chunk_size: int | None = 1_000_000, salts: int = 4096) -> DataFrame:
+              out: str = "resources", chunk_size: int | None = 1_000_000) -> DataFrame:
     """F8: per group, a map ``kind -> sorted ids`` in column ``out``, plus a ``part`` number.
 
-    Distinct edges first (keyed on all three columns, so a hot group is spread by id and
-    de-duplicated map-side). An ordinary group gives one row (``part = 0``) with all its ids
-    sorted. A (group, kind) with more than ``chunk_size`` ids is split by a hash of the id into
-    ``ceil(n / chunk_size)`` parts, one row each, holding disjoint sorted shares: no id is
-    dropped and no row or task gathers an unbounded list. ``chunk_size=None`` always gives one
-    row per group.
-
-    The distinct edges are checkpointed once. How large groups are found is decided by their
-    number (one counting job, checked before anything is broadcast): none -> no join, and one
-    shuffle by group serves both aggregations; up to ``MAX_BROADCAST_LARGE_GROUPS`` -> their
-    keys are broadcast, so the edges are never shuffled by group; more -> ids are first gathered
-    in ``salts`` hash slices per (group, kind) and only slice keys (at most ``salts`` per group)
-    meet the group sizes.
+    One plan and one shape at every size: the ids of a (group, kind), in order, fill parts of ``chunk_size``
+    (part 0 the first ``chunk_size`` ids, and so on), one row for each part of a group. An ordinary group is one
+    row with ``part = 0``; no id is dropped and no row or task gathers more than ``chunk_size`` ids of a kind.
+    ``chunk_size=None`` always gives one row per group.
+
+    Edges are made distinct by all three columns (a hot group is spread by id and reduced map-side), then dealt by
+    range of (group, kind, id): a range holds one run of ids of a group, so a group's runs are few and in
+    order. A run's first position is the number of ids in the group's earlier runs, one number for each run; runs are cut
+    where parts begin and the pieces of a part are put together. The runs are written to the shared scratch
+    folder, so that both uses see the same ones.
     """
     e = edges if keep_duplicates else edges.dropDuplicates([group, kind, item])
     # ids become text only after de-duplication (cheaper keys for the shuffle)
     e = e.select(F.col(group).cast("string").alias(group), F.col(kind), F.col(item).cast("string").alias(item))
-
-    def collect(df: DataFrame, keys) -> DataFrame:
-        return df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("ids"))
-
-    def parts_of(n):
-        return F.ceil(n / F.lit(chunk_size)).cast("long")
-
+    runs = (e.repartitionByRange(group, kind, item).groupBy(group, kind, F.spark_partition_id().alias("__run"))
+            .agg(F.array_sort(F.collect_list(item)).alias("ids")))
     if chunk_size is None:
-        per_kind = collect(e, [group, kind]).withColumn("part", F.lit(0))
+        parts = (runs.groupBy(group, kind).agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
+                 .withColumn("part", F.lit(0).cast("long")))
     else:
-        # the distinct edges are written once (shared checkpoint folder): the size check below and
-        # the final plan both read them instead of computing the edge sources twice
-        ensure_checkpoint_dir(edges.sparkSession)
-        e = e.checkpoint(eager=True)
-        large = e.groupBy(group, kind).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > chunk_size)
-        n_large = large.count()
-        if n_large == 0:
-            # no (group, kind) above chunk_size, so a group holds at most kinds x chunk_size ids:
-            # one shuffle by group serves both aggregations (the id lists are not moved again)
-            per_kind = collect(e.repartition(group), [group, kind]).withColumn("part", F.lit(0))
-        elif n_large <= MAX_BROADCAST_LARGE_GROUPS:
-            big = F.broadcast(large)
-            small = collect(e.join(big.select(group, kind), [group, kind], "left_anti"), [group, kind]) \
-                .withColumn("part", F.lit(0))
-            split = e.join(big, [group, kind]).withColumn(
-                "part", F.pmod(F.xxhash64(F.col(item)), parts_of(F.col("__n"))).cast("int"))
-            per_kind = small.unionByName(collect(split, [group, kind, "part"]))
-        else:
-            keys = [group, kind, "__salt"]
-            sliced = e.groupBy(group, kind, F.pmod(F.xxhash64(F.col(item)), F.lit(salts)).alias("__salt")) \
-                      .agg(F.collect_list(item).alias("__ids"))
-            sizes = sliced.groupBy(group, kind).agg(F.sum(F.size("__ids")).alias("__n"))
-            assign = sliced.select(*keys).join(sizes, [group, kind]) \
-                           .select(*keys, F.pmod(F.col("__salt"), parts_of(F.col("__n"))).cast("int").alias("part"))
-            per_kind = sliced.join(assign, keys).groupBy(group, kind, "part") \
-                             .agg(F.array_sort(F.flatten(F.collect_list("__ids"))).alias("ids"))
-    return per_kind.groupBy(group, "part").agg(
+        path = scratch_path(edges.sparkSession, "id-runs")
+        runs.withColumn("__n", F.size("ids").cast("long")).write.parquet(path)
+        runs = edges.sparkSession.read.parquet(path)
+        earlier = Window.partitionBy(group, kind).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+        begin = runs.select(group, kind, "__run", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__begin"))
+        same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (group, kind, "__run")]
+        chunk = F.lit(chunk_size).cast("long")
+        # a run that begins a group needs no look-up: most groups are one run
+        placed = runs.alias("r").join(begin.filter("__begin > 0").alias("b"), same, "left").select(
+            *[F.col(f"r.{c}").alias(c) for c in (group, kind, "__run", "ids", "__n")], F.coalesce("b.__begin", F.lit(0).cast("long")).alias("__begin"))
+        cut = placed.withColumn("part", F.explode(F.sequence(int_div("__begin", chunk), int_div(F.col("__begin") + F.col("__n") - 1, chunk))))
+        first = F.greatest(F.lit(0).cast("long"), F.col("part") * chunk - F.col("__begin"))
+        last = F.least(F.col("__n"), (F.col("part") + 1) * chunk - F.col("__begin"))
+        pieces = cut.select(group, kind, "part", "__run", F.slice("ids", (first + 1).cast("int"), (last - first).cast("int")).alias("ids"))
+        parts = pieces.groupBy(group, kind, "part").agg(
+            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__run", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return parts.groupBy(group, "part").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(kind), F.col("ids"))))).alias(out))
 
 

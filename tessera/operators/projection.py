@@ -55,46 +55,53 @@ def drop_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
-def _drop_null_types(dt: T.DataType):
+def _without_void(dt: T.DataType) -> T.DataType | None:
+    """The type without its void fields; None where nothing else is left (void, an array or map of it, a struct of it)."""
+    if isinstance(dt, T.NullType):
+        return None
     if isinstance(dt, T.StructType):
-        fields = []
-        for f in dt.fields:
-            if isinstance(f.dataType, T.NullType):
-                continue
-            inner = _drop_null_types(f.dataType)
-            if isinstance(inner, T.StructType) and not inner.fields and isinstance(f.dataType, T.StructType) \
-                    and f.dataType.fields:
-                continue  # a struct made only of null fields goes too
-            fields.append(T.StructField(f.name, inner, f.nullable, f.metadata))
-        return T.StructType(fields)
+        fields = [(f, _without_void(f.dataType)) for f in dt.fields]
+        kept = [T.StructField(f.name, inner, f.nullable, f.metadata) for f, inner in fields if inner is not None]
+        return T.StructType(kept) if kept or not dt.fields else None
+    if isinstance(dt, T.ArrayType):
+        inner = _without_void(dt.elementType)
+        return None if inner is None else T.ArrayType(inner, dt.containsNull)
+    if isinstance(dt, T.MapType):
+        key, value = _without_void(dt.keyType), _without_void(dt.valueType)
+        return None if key is None or value is None else T.MapType(key, value, dt.valueContainsNull)
     return dt
 
 
-def _project_struct(col: Column, src: T.StructType, dst: T.StructType) -> Column:
-    parts = []
-    for f in dst.fields:
-        child = col.getField(f.name)
-        src_type = src[f.name].dataType
-        if isinstance(f.dataType, T.StructType) and f.dataType != src_type:
-            child = _project_struct(child, src_type, f.dataType)
-        parts.append(child.alias(f.name))
-    return F.when(col.isNull(), F.lit(None)).otherwise(F.struct(*parts))
+def _reshaped(col: Column, src: T.DataType, dst: T.DataType) -> Column:
+    """The value with the fields of ``dst`` only (nulls stay null at every level)."""
+    if src == dst:
+        return col
+    if isinstance(src, T.StructType):
+        parts = [_reshaped(col.getField(f.name), src[f.name].dataType, f.dataType).alias(f.name) for f in dst.fields]
+        return F.when(col.isNotNull(), F.struct(*parts))
+    if isinstance(src, T.ArrayType):
+        return F.transform(col, lambda x: _reshaped(x, src.elementType, dst.elementType))
+    if src.keyType == dst.keyType:
+        return F.transform_values(col, lambda k, v: _reshaped(v, src.valueType, dst.valueType))
+    entries = F.transform(F.map_entries(col), lambda e: F.struct(_reshaped(e["key"], src.keyType, dst.keyType).alias("key"),
+                                                                 _reshaped(e["value"], src.valueType, dst.valueType).alias("value")))
+    return F.map_from_entries(entries)
 
 
 def drop_null_fields(df: DataFrame, data: bool = False) -> DataFrame:
-    """Remove fields of NullType (recursing into structs).
+    """Remove fields of NullType, at every depth of structs, arrays and maps.
+
+    An array or a map of nothing but such fields, and a struct made only of them, go too. Map keys that differ only in a
+    removed field become one key, which ``map_from_entries`` refuses or resolves as the session's map-key policy says.
 
     With ``data=True`` also remove top-level columns holding no value at all; that costs one
     aggregation pass returning a single row of per-column counts.
     """
-    target = _drop_null_types(df.schema)
     cols = []
-    for f in target.fields:
-        src = df.schema[f.name].dataType
-        c = F.col(f"`{f.name}`")
-        if isinstance(src, T.StructType) and f.dataType != src:
-            c = _project_struct(c, src, f.dataType).alias(f.name)
-        cols.append(c)
+    for f in df.schema.fields:
+        target = _without_void(f.dataType)
+        if target is not None:
+            cols.append(_reshaped(F.col(f"`{f.name}`"), f.dataType, target).alias(f.name))
     out = df.select(*cols)
     if data and out.columns:
         counts = out.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in out.columns]).first().asDict()

@@ -46,6 +46,37 @@ def nested_ids(outer, inner: str, field: str) -> Column:
     return F.flatten(F.transform(c, lambda o: F.transform(o[inner], lambda s: s[field])))
 
 
+def ids_at(schema: T.StructType, path: str) -> Column:
+    """The ids at a path as one array of text: names separated by dots, ``[]`` after each array's.
+
+    ``Owner`` is a scalar, ``Extra[]`` an array of ids, ``Groups[].GroupId`` one of structs, and
+    ``NetworkInterfaces[].Groups[].GroupId`` goes two levels down. A missing top-level field, and nulls at any level, give nothing.
+    """
+    def walk(value: Column, rest: list[str], is_array: bool) -> Column:
+        if is_array:
+            inner = F.flatten(F.transform(value, lambda x: walk(x, rest, False)))
+            return F.coalesce(inner, F.array().cast("array<string>"))
+        if not rest:
+            return F.array(value.cast("string"))
+        head, *more = rest
+        return walk(value.getField(head.removesuffix("[]")), more, head.endswith("[]"))
+
+    head, *more = path.split(".")
+    name = head.removesuffix("[]")
+    if name not in schema.names:
+        return F.array().cast("array<string>")
+    return walk(F.col(f"`{name}`"), more, head.endswith("[]"))
+
+
+def edges_at(df: DataFrame, item, kind: str, paths: Iterable[str], group: str = "group_id", item_name: str = "item_id",
+             kind_name: str = "kind") -> DataFrame:
+    """H1 over nested resources: one edge for each different id that a resource names at any of the paths, in one scan."""
+    it = F.col(item) if isinstance(item, str) else item
+    ids = F.array_distinct(F.concat(*[ids_at(df.schema, p) for p in paths]))
+    out = df.select(F.explode(ids).alias(group), F.lit(kind).alias(kind_name), it.cast("string").alias(item_name))
+    return out.filter(F.col(group).isNotNull() & F.col(item_name).isNotNull())
+
+
 def union_edges(parts: Iterable[DataFrame]) -> DataFrame:
     """H1: one edge list from many sources."""
     parts = list(parts)

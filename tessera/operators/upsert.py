@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 def latest_per_key(incoming: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """The last row per key in ``order_by`` order.
 
-    ``max(struct(order..., row...))`` is a hash aggregate with a map-side partial step, so a key
-    that holds a third of the batch collapses to one row per task before the shuffle (a
-    ``row_number`` window would sort the whole hot key in one task). Ties in the order are
+    ``max(struct(order..., row...))`` has a map-side partial step (Spark sorts for it, as the struct is no
+    fixed-width value), so a key that holds a third of the batch collapses to one row per task before the shuffle; a
+    ``row_number`` window would sort the whole hot key in one task. Ties in the order are
     broken by the row's own values, so the pick is repeatable.
     """
     keys = list(keys)

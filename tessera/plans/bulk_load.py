@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.sources.files import path_columns, read_csv
 from tessera.operators.upsert import upsert
+from tessera.session import scratch_path
+from tessera.sources.catalog import from_rows
+from tessera.sources.files import path_columns, read_csv
 
 _ORDER = ["__file", "__block", "__pos"]
 _RAGGED = "__ragged"
@@ -45,6 +47,22 @@ def typed_rows(raw: DataFrame, base_schema: T.StructType) -> DataFrame:
     return raw.select(*cols, *_ORDER, bad.alias("__bad"))
 
 
+def stage_table(spark: SparkSession, root: str, database: str, table: str, base: DataFrame) -> DataFrame:
+    """The table's files parsed once: typed rows with their file, place and count of bad values, stored as Parquet.
+
+    Counts, failed files and the batch all read this copy, so the CSV files are scanned a single time and every
+    use sees the same rows.
+    """
+    path = scratch_path(spark, f"load-{database}-{table}")
+    typed_rows(read_table_files(spark, root, database, table, base.columns), base.schema).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def file_counts(staged: DataFrame) -> DataFrame:
+    """Rows and bad values of each staged file."""
+    return staged.groupBy(F.col("__file").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("__bad").alias("n_bad_values"))
+
+
 def load_table(spark: SparkSession, root: str, database: str, table: str, base: DataFrame,
                keys: Sequence[str], ignore_errors: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """B9 for one table: returns (new table, per-file rows/bad-value counts).
@@ -53,16 +71,13 @@ def load_table(spark: SparkSession, root: str, database: str, table: str, base:
     (like a failed load of that file), unless ``"bad values"`` is in ``ignore_errors``; then its
     rows load with nulls in place of the bad values. Other files load either way.
     """
-    raw = read_table_files(spark, root, database, table, base.columns)
-    typed = typed_rows(raw, base.schema)
-    per_file = typed.groupBy(F.col("__file").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"),
-                                                                F.sum("__bad").alias("n_bad_values"))
-    batch = typed
+    staged = stage_table(spark, root, database, table, base)
+    batch = staged
     if "bad values" not in ignore_errors:
-        # one row per failed file: small next to the rows, the planner broadcasts it when it can
-        failed = per_file.filter(F.col("n_bad_values") > 0).select(F.col("file").alias("__file"))
-        batch = typed.join(failed, "__file", "left_anti")
-    return upsert(base, batch, keys, order_by=_ORDER), per_file
+        # one row per failed file, from the staged counts alone; the planner broadcasts it when it can
+        failed = staged.filter("__bad > 0").select("__file").distinct()
+        batch = staged.join(failed, "__file", "left_anti")
+    return upsert(base, batch, keys, order_by=_ORDER), file_counts(staged)
 
 
 def load_status(spark: SparkSession, root: str, per_file: DataFrame | None,
@@ -74,7 +89,7 @@ def load_status(spark: SparkSession, root: str, per_file: DataFrame | None,
     listed in ``ignore_errors`` count as success.
     """
     files = path_columns(list_files(spark, root), root)
-    target_rows = spark.createDataFrame([(d, t) for d, t in targets], "database string, table string") \
+    target_rows = from_rows(spark, [(d, t) for d, t in targets], "database string, table string") \
         .withColumn("__known", F.lit(True))
     st = files.join(target_rows, ["database", "table"], "left")
     if per_file is not None:
@@ -127,3 +142,17 @@ def write_changes(changes: DataFrame, root: str, database: str, table: str, keys
 
     out = changes.repartition(*keys).sortWithinPartitions(*keys, "__seq").drop("__seq")
     write_csv(out, f"{root.rstrip('/')}/{database}/{table}", mode="append")
+
+
+def landing_with_failures(orders: DataFrame, root: str) -> None:
+    """Test-data shape: a landing folder with good files, files with values that do not convert, files one level too
+    deep and files of a table that is no target."""
+    from tessera.sinks.files import write_csv
+
+    cols = [F.col(c).cast("string").alias(c) for c in orders.columns]
+    broken = orders.select(*[F.concat(F.lit("about "), c).alias("o_totalprice") if n == "o_totalprice" else c for n, c in zip(orders.columns, cols, strict=True)])
+    root = root.rstrip("/")
+    write_csv(orders.filter("o_orderstatus = 'F'"), f"{root}/tpch/orders", mode="append", single_file=True)
+    write_csv(broken.filter("o_orderstatus = 'O' and o_orderpriority like '1%'"), f"{root}/tpch/orders", mode="append", single_file=True)
+    write_csv(orders.filter("o_orderstatus = 'P'"), f"{root}/tpch/orders/deeper", single_file=True)
+    write_csv(orders.filter("o_orderstatus = 'P'"), f"{root}/tpch/nobody", single_file=True)

@@ -3,83 +3,118 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.paths import key_parts, relative_to
 from tessera.operators.sets import align_union
-from tessera.sources.files import select_files
-from tessera.streaming.ingest import ingest_new_files, run_available_now
+from tessera.sinks.files import write_csv
+from tessera.session import scratch_path
+from tessera.sources.files import read_csv
+from tessera.streaming.ingest import Files, consume_once, plain
 
-# The load-file rule (matched from the start of the key, no end anchor).
+# Fixed value: the load-file rule (matched from the start of the key, no end anchor).
 LOAD_FILE_PATTERN = ".*?/LOAD[0-9]+\\.csv"
-# A file whose own name follows the rule, at any depth, and the part files of a folder named like a load
-# file. Both only keep a clean-up option away from other files; the rule is tested on every path.
-FILE_GLOB = "LOAD[0-9]*.csv*"
-FOLDER_GLOB = "*/*/LOAD*.csv"
 
 
-def load_rows(spark: SparkSession, landing: str, columns, archive_dir: str | None = None, delete: bool = False,
-              max_files: int | None = None) -> DataFrame:
-    """Streaming rows of new load files at any depth (``.csv.gz`` too), ``Op='I'`` first.
+def load_rows(spark: SparkSession, paths: Sequence[str], landing: str, columns: Sequence[str]) -> DataFrame:
+    """The rows of these load files (``.csv.gz`` and the part files of a folder named like one too), ``Op='I'`` first.
 
-    ``database``/``table`` are the first two folders of a file at ``<database>/<table>/<file>`` and null
-    at another depth. ``archive_dir`` moves consumed files away, ``delete`` removes them.
+    ``database``/``table`` are the first two folders of a load file at ``<database>/<table>/<load file>`` and null
+    at another depth; ``source_file`` is the file itself, ``load_file`` the path of the load file or folder it belongs to.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    root = landing.rstrip("/")
-    options = {"archive_dir": archive_dir, "delete": delete, "max_files": max_files}
-    files = ingest_new_files(spark, root, schema, **options, recursiveFileLookup=True, pathGlobFilter=FILE_GLOB)
-    parts = ingest_new_files(spark, f"{root}/{FOLDER_GLOB}", schema, **options, pathGlobFilter="part-*")
-    s = select_files(files.unionByName(parts), "file", name_regex=LOAD_FILE_PATTERN, root=landing)
+    rows = read_csv(spark, [plain(p) for p in paths], schema=schema)
+    file = F.col("_metadata.file_path")
     # the load file's own place, also when it is a folder of part files
-    key = F.regexp_extract(relative_to(F.col("file"), landing), LOAD_FILE_PATTERN, 0)
+    key = F.regexp_extract(relative_to(file, landing), LOAD_FILE_PATTERN, 0)
     folders = key_parts(key)
     at_table = F.size(folders) == 3
-    beside = F.regexp_extract(F.col("file"), "^(.*?)/LOAD[0-9]+\\.csv", 1)
-    s = s.select(*[F.col(f"`{c}`") for c in columns], F.when(at_table, F.element_at(folders, 1)).alias("database"),
-                 F.when(at_table, F.element_at(folders, 2)).alias("table"), beside.alias("source_folder"), F.col("file").alias("source_file"))
-    return align_union(s, op_col="Op", op_value="I")
+    shaped = rows.select(*[F.col(f"`{c}`") for c in columns], F.when(at_table, F.element_at(folders, 1)).alias("database"),
+                         F.when(at_table, F.element_at(folders, 2)).alias("table"), file.alias("source_file"),
+                         F.regexp_extract(file, "^(.*?/LOAD[0-9]+\\.csv)", 1).alias("load_file"))
+    return align_union(shaped, op_col="Op", op_value="I")
 
 
-def add_load_op(spark: SparkSession, landing: str, out: str, columns, checkpoint: str,
+def add_load_op(spark: SparkSession, landing: str, out: str, columns: Sequence[str], checkpoint: str,
                 archive_dir: str | None = None, delete: bool = False, max_files: int | None = None) -> None:
-    """Run once over everything new: output CSV under ``out/database=<db>/table=<t>/`` (header on)."""
-    rows = load_rows(spark, landing, columns, archive_dir, delete, max_files).drop("source_folder", "source_file")
-    run_available_now(rows, out, checkpoint, fmt="csv", partition_by=["database", "table"],
-                      options={"header": "true"})
+    """Run once over everything new, at any depth: output CSV under ``out/batch=<name>/database=<db>/table=<t>/`` (header on).
+
+    A batch that is repeated after a failure replaces its own folder. ``archive_dir`` moves consumed load files away,
+    ``delete`` removes them; nothing else in ``landing`` is touched.
+    """
+    def write_batch(paths: list[str], name: str) -> None:
+        rows = load_rows(spark, paths, landing, columns).drop("source_file", "load_file")
+        write_csv(rows, f"{out.rstrip('/')}/batch={name}", partition_by=["database", "table"])
+
+    consume_once(spark, landing, LOAD_FILE_PATTERN, checkpoint, write_batch, archive_dir, delete, max_files)
 
 
-def add_load_op_in_place(spark: SparkSession, landing: str, columns, checkpoint: str, archive_dir: str | None = None,
-                         delete: bool = False, max_files: int = 100, single_file: bool = False) -> None:
+def add_load_op_in_place(spark: SparkSession, landing: str, columns: Sequence[str], checkpoint: str, archive_dir: str | None = None,
+                         delete: bool = False, max_files: int = 1000, single_file: bool = False) -> None:
     """B6 variant: each load file's rows go back beside it, as ``<folder>/op-<load file>/part-*.csv``, a name
     the load-file rule does not match, so they are not consumed again.
 
-    The name depends on the load file alone: a replayed batch, or a run with a new checkpoint, rewrites the
-    same file's output and no other's. A batch lists at most ``max_files`` files of each kind.
-    ``single_file`` writes one file for each (B5).
+    A batch is one write into the scratch folder, partitioned by source file, however many files it holds; then each file's
+    folder is moved to its place (at most ``max_files`` renames). The name depends on the file alone: a
+    replayed batch, or a run with a new checkpoint, replaces the same file's output and no other's. ``single_file`` writes
+    one file for each (B5), each by one task.
     """
-    from tessera.sinks.files import write_csv
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.sortWithinPartitions("source_file").persist()
-        try:
-            # one row per load file of this batch (bounded by max_files)
-            for row in batch.select("source_folder", "source_file").distinct().collect():
-                name = row.source_file[len(row.source_folder) + 1:].replace("/", "-")
-                part = batch.filter(F.col("source_file") == row.source_file)
-                write_csv(part.drop("source_folder", "source_file", "database", "table"), f"{row.source_folder}/op-{name}",
-                          single_file=single_file)
-        finally:
-            batch.unpersist()
-
-    rows = load_rows(spark, landing, columns, archive_dir, delete, max_files)
-    q = (rows.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    files = Files(spark)
+
+    def write_batch(paths: list[str], name: str) -> None:
+        rows = load_rows(spark, paths, landing, columns)
+        staged = scratch_path(spark, "in-place")
+        rows = rows.select("Op", *[F.col(f"`{c}`") for c in columns], F.sha2("source_file", 256).alias("__of"))
+        write_csv(rows.repartition("__of") if single_file else rows, staged, partition_by="__of")
+        # one staged folder for each file that has rows; a path comes with or without escapes from the reader
+        source = {hashlib.sha256(form.encode()).hexdigest(): p for p in paths for form in (p, files.escaped(p))}
+        for name in files.names(staged):
+            if name.startswith("__of="):
+                folder, own = re.match(f"(.*?)/({LOAD_FILE_PATTERN.removeprefix('.*?/')}.*)", source[name.removeprefix("__of=")]).groups()
+                to = f"{folder}/op-{own.replace('/', '-')}"
+                files.delete(to)
+                files.move(f"{staged}/{name}", to)
+        files.delete(staged)
+
+    consume_once(spark, landing, LOAD_FILE_PATTERN, checkpoint, write_batch, archive_dir, delete, max_files)
 
 
 def read_output(spark: SparkSession, out: str) -> DataFrame:
-    """The output as written so far (only committed files, via the sink's log)."""
-    return spark.read.options(header="true", quote='"', escape='"').csv(out)
+    """The output as written so far."""
+    return read_csv(spark, out).drop("batch")
+
+
+# Test-data shape ---------------------------------------------------------------------------
+
+def put_file(df: DataFrame, path: str, **options) -> None:
+    """The rows as one CSV file of exactly this name."""
+    files, staged = Files(df.sparkSession), scratch_path(df.sparkSession, "put-file")
+    write_csv(df.coalesce(1), staged, **options)
+    part = next(n for n in files.names(staged) if n.startswith("part-"))
+    files.move(f"{staged}/{part}", path)
+    files.delete(staged)
+
+
+def orders_landing(orders: DataFrame, root: str, first: bool) -> None:
+    """``orders`` as load files of every kind at several depths, in two deliveries, beside files that are none."""
+    even = F.col("o_orderkey") % 2 == 0
+    if first:
+        put_file(orders.filter("o_orderstatus = 'F'"), f"{root}/tpch/orders/LOAD00000001.csv")
+        put_file(orders.filter("o_orderstatus = 'P'"), f"{root}/far/below/tpch/orders/LOAD2.csv")
+        put_file(orders.limit(1), f"{root}/tpch/orders/LOAD5_backup.csv")
+    else:
+        write_csv(orders.filter("o_orderstatus = 'O'").filter(even), f"{root}/tpch/orders/LOAD3.csv")
+        put_file(orders.filter("o_orderstatus = 'O'").filter(~even), f"{root}/tpch/LOAD4.csv.gz", compression="gzip")
+        put_file(orders_changes(orders), f"{root}/tpch/orders/20240102-changes.csv")
+        put_file(orders.limit(0), f"{root}/tpch/orders/LOAD6.csv")
+
+
+def orders_changes(orders: DataFrame) -> DataFrame:
+    """A change file: the same columns with an operation before them."""
+    return orders.filter("o_orderstatus = 'F'").select(F.lit("U").alias("Op"), *orders.columns)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import hash_email, newlines_to_space
-from tessera.operators.projection import add_constant, apply_mapping, drop_null_fields
-from tessera.sinks.files import publish, write_dual
+from tessera.operators.projection import add_constant, apply_mapping, drop_null_fields, make_struct
+from tessera.plans.file_copies import publish
+from tessera.sinks.files import write_dual
+from tessera.sources.catalog import read_table
+from tessera.sources.files import read_csv
 
 # The source job's five-column mapping (source name, source type, target name, target type).
 DEFAULT_MAPPING = [
@@ -39,18 +42,21 @@ def scrub(df: DataFrame, mapping: Sequence[tuple[str, str, str, str]] = DEFAULT_
     return shaped.select(*cols)
 
 
-def run(df: DataFrame, result_base: str, database: str, table: str, publish_csv_root: str | None = None,
-        publish_parquet_root: str | None = None, **scrub_args) -> DataFrame:
-    """Whole job: scrub, then Parquet + CSV under ``{base}/{db}_parquet|_csv/{table}``; optional
-    publish copies under target roots (B7). Returns the scrubbed rows as read back from Parquet."""
-    cleaned = drop_null_fields(scrub(df, **scrub_args))
-    csv_path, parquet_path = write_dual(cleaned, result_base, database, table)
-    written = df.sparkSession.read.parquet(parquet_path)
-    if publish_csv_root:
-        publish(written, publish_csv_root, database, table, fmt="csv")
-    if publish_parquet_root:
-        publish(written, publish_parquet_root, database, table, fmt="parquet")
-    return written
+def run(spark: SparkSession, database: str | None, table: str, result_base: str, result_database: str, publish_root: str | None = None,
+        mixed: dict[str, Sequence[str]] | None = None, **scrub_args) -> tuple[DataFrame, DataFrame]:
+    """Whole job from the catalog table: scrub, mixed columns to structs (``mixed``: column -> types), null fields dropped, then
+    Parquet and CSV under ``{base}/{db}_parquet|_csv/{table}`` and, with ``publish_root``, copies of both under their
+    published names. Returns what was written, read back: (Parquet rows, CSV rows as text; structs as JSON).
+    """
+    shaped = scrub(read_table(spark, database, table), **scrub_args)
+    for name, types in (mixed or {}).items():
+        shaped = make_struct(shaped, name, types)
+    cleaned = drop_null_fields(shaped)
+    csv_path, parquet_path = write_dual(cleaned, result_base, result_database, table)
+    if publish_root:
+        for kind in ("csv", "parquet"):
+            publish(spark, result_base, result_database, publish_root, kind)
+    return spark.read.parquet(parquet_path), read_csv(spark, csv_path, multi_line=True)
 
 
 def customer_input(customer: DataFrame) -> DataFrame:
@@ -75,3 +81,17 @@ def documents_input(documents: DataFrame) -> DataFrame:
         F.col("text").alias("col4"),
         F.col("n_chars").alias("col5"),
     )
+
+
+# The mapping of the test-data shape below: the five columns and two nested ones with fields that hold nothing.
+NESTED_MAPPING = [*DEFAULT_MAPPING, ("col6", "array<struct<n:int,none:void>>", "col6", "array<struct<n:int,none:void>>"),
+                  ("col7", "map<string,struct<n:int,none:void>>", "col7", "map<string,struct<n:int,none:void>>"), ("col8", "array<void>", "col8", "array<void>")]
+
+
+def nested_input(customer: DataFrame) -> DataFrame:
+    """``customer_input`` with a first column of mixed content and nested columns with fields that hold nothing."""
+    rows = customer_input(customer)
+    mixed = F.when(F.col("col2") % 3 == 0, F.col("col2").cast("string")).otherwise(F.col("col1"))
+    nation = F.col("col5").cast("int").alias("n")
+    return rows.select(mixed.alias("col1"), "col2", "col3", "col4", "col5", F.array(F.struct(nation, F.lit(None).alias("none"))).alias("col6"),
+                       F.create_map("col3", F.struct(nation, F.lit(None).alias("none"))).alias("col7"), F.array(F.lit(None)).alias("col8"))

@@ -24,13 +24,14 @@ def daily_sizes(metrics: DataFrame, entity: str, cls: str, ts: str, value: str,
     """D5 + F4 + F5 + C14: one row per entity that has data that day, columns ST/IA/RR.
 
     The one-day range filter is pushed into the scan; the average is per (entity, class) over
-    that single day (``sum div count`` on integer bytes when ``integer``, else ``avg``).
+    that single day (``sum div count`` on integer bytes when ``integer``, summed as decimals so that they don't
+    overflow; else ``avg``).
     """
     lo, hi = day_bounds(as_of)
     mapping = F.create_map(*[F.lit(x) for kv in class_map.items() for x in kv])
     day = time_range(metrics, ts, lo, hi).filter(F.col(cls).isin(*class_map)).select(
         F.col(entity), mapping[F.col(cls)].alias("__cls"), F.col(value).alias("__v"))
-    avg = int_div(F.sum("__v"), F.count(F.lit(1))).cast("long") if integer else F.avg("__v")
+    avg = int_div(F.sum(F.col("__v").cast("decimal(28,0)")), F.count(F.lit(1))).cast("long") if integer else F.avg("__v")
     per = day.groupBy(entity, "__cls").agg(avg.alias("__avg"))
     return pivot_classes(per, entity, "__cls", "__avg", list(dict.fromkeys(class_map.values())), time_col=None)
 

@@ -1,5 +1,5 @@
-from tessera.sinks.files import (dual_paths, json_document, publish, write_csv, write_dual, write_json_lines,
-                                 write_bucketed, write_parquet, write_report)
+from tessera.sinks.files import (dual_paths, read_report, write_bucketed, write_csv, write_dual, write_json_lines,
+                                 write_parquet, write_report)
 
-__all__ = ["dual_paths", "json_document", "publish", "write_csv", "write_dual", "write_json_lines",
-           "write_bucketed", "write_parquet", "write_report"]
+__all__ = ["dual_paths", "read_report", "write_bucketed", "write_csv", "write_dual", "write_json_lines",
+           "write_parquet", "write_report"]

@@ -1,11 +1,10 @@
-"""Sinks (B1-B8, B10): CSV and Parquet writers, dual write, publish copy, JSON documents."""
+"""Sinks (B1-B6, B8, B10): CSV and Parquet writers, dual write, JSON documents, ranked reports."""
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.projection import drop_null_fields
 from tessera.sources.files import CSV_OPTIONS
@@ -66,34 +65,39 @@ def write_dual(df: DataFrame, base: str, database: str, table: str, mode: str =
     csv_path, parquet_path = dual_paths(base, database, table)
     write_parquet(drop_null_fields(df), parquet_path, mode)
     written = df.sparkSession.read.parquet(parquet_path)
-    write_csv(written, csv_path, mode)
+    # a CSV field holds text: nested columns go there as JSON
+    flat = [F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f"`{f.name}`")
+            for f in written.schema.fields]
+    write_csv(written.select(*flat), csv_path, mode)
     return csv_path, parquet_path
 
 
-def publish(df_or_path, target_root: str, database: str, table: str, fmt: str = "csv") -> str:
-    """A second copy under a target root at ``{target}/{db}/{table}`` (``{db}_csv`` -> ``{db}``)."""
-    target = os.path.join(target_root.rstrip("/"), database, table)
-    df = df_or_path
-    if fmt == "csv":
-        write_csv(df, target)
-    else:
-        write_parquet(df, target)
-    return target
+def write_json_lines(df: DataFrame, column: str, path: str, mode: str = "overwrite") -> None:
+    """One JSON document a line; it never has to pass through the driver whole."""
+    df.select(column).write.mode(mode).text(path)
 
 
-def json_document(df: DataFrame, key: str, value: Column | str, name: str = "json") -> DataFrame:
-    """One JSON object per key, ``{"<key>": <value>}``, with map entries in sorted order.
+def write_report(report: DataFrame, path: str, order_col: str = "Row", files: int | None = None) -> None:
+    """A ranked report as header CSV, in rank order.
 
-    The document is kept as rows (JSON lines) so it never has to pass through the driver whole.
+    Rows are dealt by range of rank: each file is written by one task, sorted, and files in the order of their names
+    (part numbers) follow each other in rank; :func:`read_report` reads them so. ``files=1`` asks for a single file (B5);
+    left out, their number follows the rows (small neighbours are put together at run time).
     """
-    v = F.col(value) if isinstance(value, str) else value
-    return df.select(F.col(key), F.to_json(F.create_map(F.col(key).cast("string"), v)).alias(name))
+    dealt = report.repartitionByRange(*([files] if files else []), order_col)
+    write_csv(dealt.sortWithinPartitions(order_col), path)
 
 
-def write_json_lines(df: DataFrame, column: str, path: str, mode: str = "overwrite") -> None:
-    df.select(column).write.mode(mode).text(path)
-
+def read_report(spark: SparkSession, path: str, name: str = "line") -> DataFrame:
+    """A written report with the place of each row in it (from 1): files by name, rows as they stand in the file.
 
-def write_report(report: DataFrame, path: str, order_col: str = "Row") -> None:
-    """A ranked report (one row per entity) as one header CSV, in rank order."""
-    write_csv(report.coalesce(1).sortWithinPartitions(order_col), path, single_file=True)
+    Only the number of rows of each file is brought together to number them.
+    """
+    rows = spark.read.options(**CSV_OPTIONS).csv(path).select("*", F.col("_metadata.file_name").alias("__name"), F.col("_metadata.file_block_start").alias("__block"),
+                                                              F.monotonically_increasing_id().alias("__at"))
+    # one row for each file, or split of a large one
+    sizes = rows.groupBy("__name", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    earlier = Window.orderBy("__name", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    begin = sizes.select("__name", "__block", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__begin"))
+    out = rows.join(F.broadcast(begin), ["__name", "__block"])
+    return out.withColumn(name, F.col("__begin") + F.col("__at") - F.col("__first") + 1).drop("__name", "__block", "__at", "__first", "__begin")

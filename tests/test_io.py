@@ -193,3 +193,16 @@ def test_bulk_load_quoted_newlines_and_ragged_rows(spark, tmp_dir):
     assert sorted(tuple(r) for r in results[("db", "t")].collect()) == [("1", "line1\nline2"), ("2", "x"), ("3", "c")]
     st = {os.path.basename(r.file): (r.status, r.reason) for r in status.collect()}
     assert st == {"good.csv": ("Success", None), "ragged.csv": ("Failed", "bad values")}
+
+
+def test_bulk_load_scans_the_csv_once(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "landing")
+    base = spark.createDataFrame([(1, 1.5)], "k long, x double")
+    write_csv(spark.createDataFrame([("2", "2.5")], "k string, x string").coalesce(1), f"{root}/db/t")
+    results, status = j9.bulk_load(spark, root, {("db", "t"): (base, ["k"])})
+    for df in (results[("db", "t")], status):
+        assert "Scan csv" not in df._jdf.queryExecution().executedPlan().toString().replace("FileScan csv", "Scan csv")
+    # the landing files may go once the load has read them
+    for f in os.listdir(f"{root}/db/t"):
+        os.remove(f"{root}/db/t/{f}")
+    assert sorted(tuple(r) for r in results[("db", "t")].collect()) == [(1, 1.5), (2, 2.5)]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.plans import row_report as j10
 from tessera.plans import scrub as j1
 from tessera.plans import usage as j5
-from tessera.sinks import write_report
+from tessera.sinks import read_report, write_report
 from tessera.sources import read_csv
 
 DATA = "/root/testdata/sf0.001"
@@ -14,14 +14,22 @@ DATA = "/root/testdata/sf0.001"
 def test_scrub_job_writes_both_layouts_and_publishes(spark, tmp_dir):
     rows = [("n1", 1, "a@b.com", "x\ny", 5), ("n2", 2, "not mail", None, None)]
     df = spark.createDataFrame(rows, "col1 string, col2 long, col3 string, col4 string, col5 long")
+    df.createOrReplaceTempView("scrub_job_input")
     target = os.path.join(tmp_dir, "target")
-    out = j1.run(df, tmp_dir, "db1", "table1", publish_csv_root=target)
+    out, csv_back = j1.run(spark, None, "scrub_job_input", tmp_dir, "db1", publish_root=target)
     assert out.columns == ["col0", "col1", "col2", "col3", "col4", "col5"]
     assert out.count() == 2
-    csv_back = read_csv(spark, os.path.join(tmp_dir, "db1_csv", "table1"), multi_line=True)
     got = {r.col1: r for r in csv_back.collect()}
     assert got["n1"].col4 == "x y" and got["n1"].col3 != "a@b.com" and got["n2"].col3 == "not mail"
-    assert read_csv(spark, os.path.join(target, "db1", "table1")).count() == 2
+    # published names: the key without its layout, a suffix on CSV files
+    published = os.listdir(os.path.join(target, "db1", "scrub_job_input"))
+    assert any(f.endswith(".csv.csv") for f in published) and any(f.endswith(".parquet") for f in published)
+    assert not any(f.endswith(".part") for f in published)
+    assert read_csv(spark, os.path.join(target, "db1", "scrub_job_input"), glob="*.csv").count() == 2
+    for f in published:
+        if f.endswith(".csv.csv"):
+            with open(os.path.join(target, "db1", "scrub_job_input", f), "rb") as a, open(os.path.join(tmp_dir, "db1_csv", "scrub_job_input", f[:-4]), "rb") as b:
+                assert a.read() == b.read()
 
 
 def test_scrub_keeps_row_count(spark):
@@ -38,6 +46,13 @@ def test_usage_report_file(spark, tmp_dir):
     assert back.columns == j5.REPORT_COLUMNS
     rows = sorted(back.collect(), key=lambda r: int(r.Row))
     assert [int(r.Row) for r in rows] == list(range(1, len(rows) + 1))
+    several = os.path.join(tmp_dir, "several")
+    write_report(rep, several, files=5)
+    assert len([f for f in os.listdir(several) if f.endswith(".csv")]) > 1
+    assert all(int(r.Row) == r.line for r in read_report(spark, several).collect())
+    one = os.path.join(tmp_dir, "one")
+    write_report(rep, one, files=1)
+    assert len([f for f in os.listdir(one) if f.endswith(".csv")]) == 1
 
 
 def test_usage_entities_without_data_are_zero(spark):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators import (add_constant, add_row_index, apply_mapping, audit_files, drop_null_fields,
+from tessera.operators import (add_constant, add_row_index, apply_mapping, audit_files, drop_null_fields, edges_at,
                                edges_from, group_ids, ids_of, make_struct, nested_ids,
                                positional_join, profile, referencing_groups, rename_all, restrict_to,
                                rules_from_nested, union_edges, unreferenced, upsert)
@@ -222,17 +222,93 @@ def test_group_ids_splits_a_hot_group_into_bounded_parts(spark):
     assert max(len(r.resources["EC2"]) for r in hot_rows) < 2 * 500
 
 
-def test_group_ids_slice_fallback_for_many_large_groups(spark, monkeypatch):
-    from tessera.operators import aggregates
-
-    monkeypatch.setattr(aggregates, "MAX_BROADCAST_LARGE_GROUPS", 0)
+def test_group_ids_parts_are_stretches_of_the_sorted_ids(spark):
     hot = spark.range(0, 3000).select(F.lit("g-hot").alias("g"), F.lit("EC2").alias("t"), F.col("id").cast("string").alias("i"))
-    cold = spark.createDataFrame([("g-cold", "EC2", "x")], "g string, t string, i string")
-    rows = group_ids(hot.unionByName(cold), "g", "t", "i", chunk_size=500, salts=64).collect()
-    hot_rows = [r for r in rows if r.g == "g-hot"]
-    assert len(hot_rows) == 6
-    assert sorted(x for r in hot_rows for x in r.resources["EC2"]) == sorted(str(i) for i in range(3000))
-    assert [r.resources for r in rows if r.g == "g-cold"] == [{"EC2": ["x"]}]
+    warm = spark.range(0, 700).select(F.lit("g-hot").alias("g"), F.lit("ELB").alias("t"), F.col("id").cast("string").alias("i"))
+    cold = spark.createDataFrame([("g-cold", "EC2", "x"), ("g-none", None, "y")], "g string, t string, i string")
+    edges = hot.unionByName(warm).unionByName(cold)
+    for chunk in (500, 499, 1, 100_000):
+        rows = group_ids(edges, "g", "t", "i", chunk_size=chunk).filter("g <> 'g-none'").collect()
+        parts = {(r.g, r.part): r.resources for r in rows}
+        for kind, n in (("EC2", 3000), ("ELB", 700)):
+            ids = sorted(str(i) for i in range(n))
+            for k in range(-(-n // chunk)):
+                assert parts["g-hot", k][kind] == ids[k * chunk:(k + 1) * chunk]
+        assert len(rows) == len(parts) == -(-3000 // chunk) + 1
+        assert parts["g-cold", 0] == {"EC2": ["x"]}
+    whole = group_ids(edges.filter("t is not null"), "g", "t", "i", chunk_size=None).collect()
+    assert {r.g: r.part for r in whole} == {"g-hot": 0, "g-cold": 0}
+    with_copies = group_ids(cold.unionByName(cold).filter("t is not null"), "g", "t", "i", keep_duplicates=True).first()
+    assert with_copies.resources == {"EC2": ["x", "x"]}
+
+
+def test_nested_paths(spark):
+    rows = spark.createDataFrame([
+        ("i-1", [("sg-a",), (None,)], [([("sg-b",), ("sg-a",)],), (None,)], "sg-c", ["sg-d", None]),
+        ("i-2", None, None, None, None), ("i-3", [], [([],)], "sg-a", []), (None, [("sg-a",)], None, None, None)],
+        "id string, own array<struct<GroupId:string>>, nets array<struct<Groups:array<struct<GroupId:string>>>>, main string, more array<string>")
+    got = edges_at(rows, "id", "EC2", ["own[].GroupId", "nets[].Groups[].GroupId", "main", "more[]", "absent[].GroupId"])
+    assert sorted(tuple(r) for r in got.collect()) == [("sg-a", "EC2", "i-1"), ("sg-a", "EC2", "i-3"), ("sg-b", "EC2", "i-1"), ("sg-c", "EC2", "i-1"), ("sg-d", "EC2", "i-1")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Union" not in plan
+
+
+def test_requested_groups_and_single_report(spark):
+    meta = spark.createDataFrame([("sg-1", "a", "vpc-1"), ("sg-2", "b", "vpc-2")], "GroupId string, GroupName string, VPC string")
+    asked = spark.createDataFrame([("sg-1",), ("sg-1",), ("SG-2",), ("sg-2x",), ("sg-2",), ("sg-9",), (None,)], "GroupId string")
+    assert sorted((r.GroupId, r.VPC) for r in j6.requested_groups(asked, meta).collect()) == [("sg-1", "vpc-1"), ("sg-2", "vpc-2"), ("sg-9", None)]
+    assert [r.GroupId for r in j6.requested_groups(asked, meta, scope="vpc-2").collect()] == ["sg-2"]
+    edges = spark.createDataFrame([("sg-1", "EC2", "i")], "group_id string, kind string, item_id string")
+    one = j6.group_report("sg-1", meta, edges, always_kinds=["SG"]).collect()
+    assert [(r["Group ID"], r.resources) for r in one] == [("sg-1", {"EC2": ["i"], "SG": []})]
+    for bad in ("sg-", "sg-G", "x"):
+        with pytest.raises(ValueError):
+            j6.group_report(bad, meta, edges)
+    with pytest.raises(ValueError):
+        j6.requested_groups(asked, meta, scope="vpc-1; x")
+
+
+def test_drop_null_fields_inside_arrays_and_maps(spark):
+    df = spark.sql("""SELECT 1 AS a, array(named_struct('x', 1, 'n', NULL), NULL) AS s, map('k', named_struct('n', NULL, 'y', array(named_struct('n', NULL, 'z', 2)))) AS m,
+                      array(NULL) AS v, map('k', NULL) AS w, array(array(NULL)) AS u, named_struct('n', NULL) AS o, map(named_struct('i', 1, 'n', NULL), 'q') AS k,
+                      CAST(NULL AS array<struct<x:int,n:void>>) AS z""")
+    out = drop_null_fields(df)
+    assert {f.name: f.dataType.simpleString() for f in out.schema.fields} == {
+        "a": "int", "s": "array<struct<x:int>>", "m": "map<string,struct<y:array<struct<z:int>>>>", "k": "map<struct<i:int>,string>", "z": "array<struct<x:int>>"}
+    row = out.first()
+    assert row.s[0].x == 1 and row.s[1] is None and row.m["k"].y[0].z == 2 and row.z is None
+    assert [(k.i, v) for k, v in row.k.items()] == [(1, "q")]
+
+
+def test_audit_total_comes_from_the_files_counts(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None), ("b", 2), (None, None)], "file string, id int")
+    out = audit_files(df, "id")
+    assert sorted((r.file or "", r.total_rows, r.null_rows, r.valid_rows, r.is_total) for r in out.collect()) == [
+        ("", 1, 1, 0, False), ("", 4, 2, 2, True), ("a", 2, 1, 1, False), ("b", 1, 0, 1, False)]
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_positional_join_cuts_the_longer_side_before_the_exchange(spark):
+    left = spark.range(0, 1000).select(F.col("id").alias("a"))
+    right = spark.range(0, 10).select((F.col("id") * 2).alias("b"))
+    out = positional_join(left, right, "a", "b")
+    assert sorted(tuple(r) for r in out.collect()) == [(i, 2 * i) for i in range(10)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # the cut lies below the join of the two sides
+    join = plan.index("Join Inner, (idx")
+    assert plan.index("__tessera_len", join) > join
+    assert positional_join(left.limit(0), right, "a", "b").count() == 0
+
+
+def test_row_index_spreads_equal_keys(spark):
+    df = spark.range(0, 5000).select(F.lit(1).alias("k"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    out = add_row_index(df, "idx", order_by="k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(r.idx for r in out.collect()) == list(range(5000))
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+    again = {r.id: r.idx for r in add_row_index(df, "idx", order_by="k").collect()}
+    assert again == {r.id: r.idx for r in out.collect()}
 
 
 def test_apply_mapping_missing_source_is_null(spark):
