@@ -6,10 +6,11 @@ and so gets the count to within a factor of two. Probabilities mix the pair's sh
 the add-one share of the word.
 
 The texts are read once into packed chunks (token numbers within a chunk and the chunk's sorted distinct
-word hashes). Counts meet by hash range: a range's task sums the chunks' counts, builds its own stretch
-of the filter, and hands each chunk its words' exact counts back, for the base score, and the levels that the
-stretch holds for its words and pairs. Ranges and chunks are many enough to be small whatever the input; the
-stretches together grow with the training n-grams, and no task holds more than one.
+word hashes). Training counts meet by hash range: a range's task sums the chunks' counts and builds the range's
+stretch of the filter, which is stored with the exact word counts of the range: that table is the model, and any texts can be scored by
+it. To score, the words and pairs of each chunk go to the stretches of their ranges, are probed there level by level, and
+the chunk gets the levels back (and the exact word counts, for the base score). Ranges and chunks are many enough to be small
+whatever the input; the stretches together grow with the training n-grams, and no task holds more than one.
 """
 
 from __future__ import annotations
@@ -65,19 +66,26 @@ PACKED = ("chunk long, doc_ids array<long>, train array<boolean>, lengths array<
           "n_train long, n_tokens long")
 
 
-def _dealt(ranges: int) -> Callable:
-    """Each chunk's words and pairs with their training counts, cut by hash range."""
+def _dealt(ranges: int, training: bool) -> Callable:
+    """Each chunk's words and pairs, cut by hash range: those of training texts with their counts, or all of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {name: batch.column(name)[r].as_py() for name in ("chunk", "train", "lengths", "vocabulary", "counts", "tokens")}
                 words, counts = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["counts"], np.uint32)
-                out = [(p, row["chunk"], words[a:b].tobytes(), counts[a:b].tobytes(), None, None) for p, a, b in hash_ranges(words, ranges)]
                 h = words[np.frombuffer(row["tokens"], np.uint32)]
                 before = np.concatenate([[np.uint64(END)], h[:-1]])
-                pairs, at = np.unique(pair_keys(before, h), return_inverse=True)
-                times = np.bincount(at[np.repeat(row["train"], row["lengths"])], minlength=len(pairs)).astype(np.uint64)
-                out += [(p, row["chunk"], None, None, planes(pairs[a:b] & _LOW, KEY_BYTES), planes(times[a:b], 4)) for p, a, b in hash_ranges(pairs, ranges)]
+                pairs = pair_keys(before, h)
+                if training:
+                    pairs, times = np.unique(pairs[np.repeat(row["train"], row["lengths"])], return_counts=True)
+                    words, counts = words[counts > 0], counts[counts > 0]
+                    out = [(p, row["chunk"], words[a:b].tobytes(), counts[a:b].tobytes(), None, None) for p, a, b in hash_ranges(words, ranges)]
+                    times = times.astype(np.uint64)
+                    out += [(p, row["chunk"], None, None, planes(pairs[a:b] & _LOW, KEY_BYTES), planes(times[a:b], 4)) for p, a, b in hash_ranges(pairs, ranges)]
+                else:
+                    pairs = np.unique(pairs)
+                    out = [(p, row["chunk"], words[a:b].tobytes(), None, None, None) for p, a, b in hash_ranges(words, ranges)]
+                    out += [(p, row["chunk"], None, None, planes(pairs[a:b] & _LOW, KEY_BYTES), None) for p, a, b in hash_ranges(pairs, ranges)]
                 kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
                 for i in range(0, len(out), 256):
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out[i:i + 256], strict=True), kinds, strict=True)], names=DEALT_NAMES)
@@ -138,50 +146,53 @@ class Filter:
 WORD, PAIR = 1, 2
 
 
-def _kept(keys: np.ndarray, counts: np.ndarray, tag: int, least: int) -> np.ndarray:
-    """The level that a filter of these counts, sized by its entries, gives each of the keys."""
+def _stretch(keys: np.ndarray, counts: np.ndarray, tag: int, least: int) -> np.ndarray:
+    """The filter of these counts, sized by its entries."""
     often = counts >= least
     level = levels(counts[often], least)
     own = Filter(np.zeros(max(1, int(level.sum()) * BITS_PER_ENTRY // 64), np.uint64), 1, least=least)
     own.add((keys[often] & _LOW) ^ (np.uint64(tag) << np.uint64(56)), level)
-    return own.level(keys, tag).astype(np.uint8)
+    return own.words
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    """A hash range: for each chunk its words' exact counts, and its words' and pairs' levels in the range's
-    stretches of the filter; totals."""
-    part = table.column("part")[0].as_py()
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "words", "counts", "pairs", "times")), strict=True))
-    out, seen, total = [], 0, 0
-    single = [r for r in rows if r[1]]
-    if single:
-        words, at = np.unique(np.frombuffer(b"".join(r[1] for r in single), np.uint64), return_inverse=True)
-        counts = np.bincount(at, np.frombuffer(b"".join(r[2] for r in single), np.uint32), len(words)).astype(np.int64)
-        seen, total = int((counts > 0).sum()), int(counts.sum())
-        wide = total >= 1 << 32
-        back, level, lo = counts[at].astype(np.uint64 if wide else np.uint32), _kept(words, counts, WORD, LEAST)[at], 0
-        for chunk, w, *_ in single:
-            hi = lo + len(w) // 8
-            out.append((chunk, back[lo:hi].tobytes(), wide, level[lo:hi].tobytes(), None))
-            lo = hi
-    double = [r for r in rows if r[3]]
-    if double:
-        pairs, at = np.unique(np.concatenate([from_planes(r[3], KEY_BYTES) for r in double]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([from_planes(r[4], 4) for r in double]), len(pairs)).astype(np.int64)
-        level, lo = _kept(pairs, counts, PAIR, LEAST)[at], 0
-        for chunk, _, _, p, _ in double:
-            hi = lo + len(p) // KEY_BYTES
-            out.append((chunk, None, None, None, level[lo:hi].tobytes()))
-            lo = hi
-    n = len(out)
-    chunk, known, wide, level, pair_level = zip(*out, (None,) * 5, strict=True)
-    return pa.table({
-        "chunk": pa.array(chunk, pa.int64()), "part": pa.array([part] * (n + 1), pa.int32()), "known": pa.array(known, pa.binary()), "wide": pa.array(wide, pa.bool_()),
-        "level": pa.array(level, pa.binary()), "pair_level": pa.array(pair_level, pa.binary()),
-        "distinct": pa.array([*[None] * n, seen], pa.int64()), "total": pa.array([*[None] * n, total], pa.int64())})
-
-
-SUMMED = "chunk long, part int, known binary, wide boolean, level binary, pair_level binary, distinct long, total long"
+    """A hash range of the model: its words with their exact counts, and its stretches of the filter."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("words", "counts", "pairs", "times")), strict=True))
+    single, double = [r for r in rows if r[0]], [r for r in rows if r[2]]
+    words, at = np.unique(np.frombuffer(b"".join(r[0] for r in single), np.uint64), return_inverse=True)
+    counts = np.bincount(at, np.frombuffer(b"".join(r[1] for r in single), np.uint32), len(words)).astype(np.int64)
+    pairs, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(from_planes(r[2], KEY_BYTES) for r in double)]), return_inverse=True)
+    times = np.bincount(at, np.concatenate([np.zeros(0, np.uint64), *(from_planes(r[3], 4) for r in double)]), len(pairs)).astype(np.int64)
+    own = [words, counts, _stretch(words, counts, WORD, LEAST), _stretch(pairs, times, PAIR, LEAST)]
+    return pa.table({"part": table.column("part")[:1], **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("words", "counts", "word_bits", "pair_bits"), own, strict=True)},
+                     "distinct": pa.array([len(words)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
+
+
+SUMMED = "part int, words binary, counts binary, word_bits binary, pair_bits binary, distinct long, total long"
+
+
+def _probed(pieces: pa.Table, model: pa.Table) -> pa.Table:
+    """For each chunk its words' exact counts and levels, and its pairs' levels, from the filter's stretch of this range."""
+    out: list[tuple] = []
+    if pieces.num_rows:
+        row = {n: np.frombuffer(model.column(n)[0].as_py() if model.num_rows else b"", k)
+               for n, k in (("words", np.uint64), ("counts", np.int64), ("word_bits", np.uint64), ("pair_bits", np.uint64))}
+        filters = [Filter(row[n] if len(row[n]) else np.zeros(1, np.uint64), 1, least=LEAST) for n in ("word_bits", "pair_bits")]
+        for part, chunk, words, pairs in zip(*(pieces.column(c).to_pylist() for c in ("part", "chunk", "words", "pairs")), strict=True):
+            if words is not None:
+                keys = np.frombuffer(words, np.uint64)
+                at = np.minimum(np.searchsorted(row["words"], keys), max(0, len(row["words"]) - 1))
+                known = np.where(row["words"][at] == keys, row["counts"][at], 0) if len(row["words"]) else np.zeros(len(keys), np.int64)
+                wide = bool(known.max(initial=0) >= 1 << 32)
+                out.append((chunk, part, known.astype(np.uint64 if wide else np.uint32).tobytes(), wide, filters[0].level(keys, WORD).astype(np.uint8).tobytes(), None))
+            else:
+                out.append((chunk, part, None, None, None, filters[1].level(from_planes(pairs, KEY_BYTES), PAIR).astype(np.uint8).tobytes()))
+    chunk, part, known, wide, level, pair_level = zip(*out, strict=True) if out else [()] * 6
+    return pa.table({"chunk": pa.array(chunk, pa.int64()), "part": pa.array(part, pa.int32()), "known": pa.array(known, pa.binary()), "wide": pa.array(wide, pa.bool_()),
+                     "level": pa.array(level, pa.binary()), "pair_level": pa.array(pair_level, pa.binary())})
+
+
+PROBED = "chunk long, part int, known binary, wide boolean, level binary, pair_level binary"
 
 
 def _scored(total: int, distinct: int, weight: float, least: int = LEAST) -> Callable:
@@ -211,6 +222,46 @@ def _scored(total: int, distinct: int, weight: float, least: int = LEAST) -> Cal
     return run
 
 
+def pack(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The texts as written chunks of tokens; ``train`` tells which ones a model may learn from (null: none)."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (~F.coalesce(train, F.lit(False))).alias("held_out"))
+    return written(map_arrow(rows, _pack, PACKED), "packed")
+
+
+class Model:
+    """A written table of hash ranges (exact word counts and the filter's stretches), and the corpus totals."""
+
+    def __init__(self, table: DataFrame, ranges: int) -> None:
+        self.table, self.ranges = table, ranges
+        self.distinct, self.total = (x or 0 for x in table.agg(F.sum("distinct"), F.sum("total")).first())
+
+
+_CHUNK = ("chunk", "train", "lengths", "vocabulary", "counts", "tokens")
+
+
+def fit(packed: DataFrame) -> Model:
+    """The model of the training texts of these chunks. Ranges are powers of two, each with about ``RANGE_BYTES`` of word and pair rows."""
+    spark = packed.sparkSession
+    n_tokens, n_vocabulary = (x or 0 for x in packed.agg(F.sum("n_train"), F.sum(F.length("vocabulary"))).first())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (12 * n_vocabulary // 8 + KEY_BYTES * n_tokens) // RANGE_BYTES)
+    ranges = 1 << max(0, (parts - 1).bit_length())
+    ship(spark)
+    dealt = map_arrow(packed.filter("n_train > 0").select(*_CHUNK), _dealt(ranges, True), DEALT)
+    return Model(written(dealt.groupBy("part").applyInArrow(_summed, SUMMED), "filter"), ranges)
+
+
+def score_packed(packed: DataFrame, model: Model, weight: float = PAIR_WEIGHT) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text of the chunks, by probing the model's filter."""
+    ship(packed.sparkSession)
+    asked = map_arrow(packed.select(*_CHUNK), _dealt(model.ranges, False), DEALT).select("part", "chunk", "words", "pairs")
+    found = (asked.groupBy("part").cogroup(model.table.select("part", "words", "counts", "word_bits", "pair_bits").groupBy("part"))
+             .applyInArrow(_probed, PROBED))
+    scored = (packed.select("chunk", "doc_ids", "train", "lengths", "vocabulary", "tokens").groupBy("chunk").cogroup(found.groupBy("chunk"))
+              .applyInArrow(_scored(model.total, model.distinct, weight),
+                            "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", weight: float = PAIR_WEIGHT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every input row.
 
@@ -219,21 +270,5 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     model's log10 probability of the text, pairs across texts never being formed (a text begins after an
     end). An empty table, or no training row, gives scores from no counts. No other column is read.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    packed = written(map_arrow(rows, _pack, PACKED), "packed")
-    size = packed.agg(F.sum("n_tokens"), F.sum(F.length("vocabulary"))).first()
-    n_tokens, n_vocabulary = (x or 0 for x in size)
-    # ranges: powers of two, each with about RANGE_BYTES of word and pair rows
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (12 * n_vocabulary // 8 + KEY_BYTES * n_tokens) // RANGE_BYTES)
-    ranges = 1 << max(0, (parts - 1).bit_length())
-    ship(spark)
-    dealt = map_arrow(packed.select("chunk", "train", "lengths", "vocabulary", "counts", "tokens"), _dealt(ranges), DEALT)
-    summed = written(dealt.groupBy("part").applyInArrow(_summed, SUMMED), "summed")
-    totals = summed.agg(F.sum("distinct"), F.sum("total")).first()
-    distinct, total = (x or 0 for x in totals)
-    scored = (packed.select("chunk", "doc_ids", "train", "lengths", "vocabulary", "tokens").groupBy("chunk")
-              .cogroup(summed.filter("chunk is not null").select("chunk", "part", "known", "wide", "level", "pair_level").groupBy("chunk"))
-              .applyInArrow(_scored(total, distinct, weight),
-                            "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    packed = pack(docs, ~F.coalesce(held_out, F.lit(False)), doc_id, text)
+    return score_packed(packed, fit(packed), weight)

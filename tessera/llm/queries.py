@@ -127,6 +127,24 @@ def _codes_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: i
 
 
 ORACLE: dict[str, str] = {
+    "op3_ngram_jaccard_join": rf"""
+        WITH RECURSIVE t AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{_WORD}'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                                  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE CAST([] AS VARCHAR[]) END AS g FROM t),
+        u AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+        i AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM i WHERE 100 * k >= 80 * (n + m - k)),
+        e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l),
+        r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.y, r.c FROM r JOIN e ON r.doc_id = e.x)
+        SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(c) AS component_id FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id, g""",
+    "op4_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+                   WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l),
+        r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.y, r.c FROM r JOIN e ON r.vec_id = e.x),
+        k AS (SELECT x, count(*) AS n FROM e GROUP BY x), m AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id)
+        SELECT m.vec_id, coalesce(n, 0) AS n_links, c AS component_id, m.vec_id = c AS kept FROM m LEFT JOIN k ON k.x = m.vec_id""",
     "op11_vector_codes": _codes_sql(),
     "op10_quality_rules": rf"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

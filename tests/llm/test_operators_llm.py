@@ -152,7 +152,7 @@ def test_lm_filter_keeps_what_is_seen_once():
     rng = np.random.default_rng(0)
     words = np.sort(rng.integers(0, 2 ** 63, 40_000).astype(np.uint64))
     counts = rng.permutation(np.repeat([0, 1, 2, 70], 10_000))
-    level = lm._kept(words, counts, lm.PAIR, lm.LEAST)
+    level = lm.Filter(lm._stretch(words, counts, lm.PAIR, lm.LEAST), 1, least=lm.LEAST).level(words, lm.PAIR)
     assert (level[counts > 0] >= lm.levels(counts[counts > 0], 1)).all()
     assert (level[counts == 1] == 1).mean() > 0.95 and (level[counts == 0] == 0).mean() > 0.95
 
@@ -164,8 +164,41 @@ def test_lm_pairs_seen_once_score_more(spark):
     assert got[3].score > got[4].score + 0.3
 
 
+def test_lm_score_against_exact_counts(spark):
+    """The score by exact levels; a filter may only take a count for a higher one, and rarely does."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = d.collect()
+    train = [r for r in rows if r.doc_id % 3]
+    single, double = collections.Counter(), collections.Counter()
+    for r in train:
+        tokens = [None, *words(r.text), None]
+        single.update(tokens[1:])
+        double.update(zip(tokens[:-1], tokens[1:], strict=True))
+    n, v = sum(single.values()), len(single)
+    rough = lambda c: 2 ** (math.floor(math.log2(c)) + 0.5) if c else 0.0
+    model = lm.fit(lm.pack(d, F.col("doc_id") % 3 != 0))
+    same = 0
+    # another table of texts than the model was fitted on
+    for r in lm.score_packed(lm.pack(d.repartition(3), F.lit(False)), model).collect():
+        text = next(x.text for x in rows if x.doc_id == r.doc_id)
+        tokens, want = [None, *words(text), None], 0.0
+        for a, b in zip(tokens[:-1], tokens[1:], strict=True):
+            own = min(1.0, (rough(single[b]) + 1) / (n + v + 1))
+            share = min(1.0, rough(double[a, b]) / max(1.0, rough(single[a])))
+            want += math.log10(lm.PAIR_WEIGHT * share + (1 - lm.PAIR_WEIGHT) * own if single[a] else own)
+        assert r.held_out and r.n_tokens == len(tokens) - 1
+        assert abs(r.score - want) <= 0.03 * abs(want) + 1.0
+        same += math.isclose(r.score, want, rel_tol=1e-9)
+    assert same > len(rows) / 10
+    assert model.table.agg(F.sum("total")).first()[0] == n
+    written_model = {r.part for r in model.table.collect()}
+    assert written_model <= set(range(model.ranges))
+
+
 def test_lm_empty(empty):
     assert lm.score(empty, F.lit(False)).count() == 0
+    model = lm.fit(lm.pack(empty, F.lit(True)))
+    assert (model.total, model.distinct) == (0, 0)
 
 
 def test_vectors_against_all_pairs(spark):
