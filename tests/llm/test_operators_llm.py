@@ -302,6 +302,18 @@ def test_pii_base_against_patterns(docs, rows):
     assert pii.spans(docs).count() == len(rows)
 
 
+def test_pii_added_kinds_need_their_context(spark):
+    texts = {1: "his ssn is 123-45-6789 here", 2: "the code 123-45-6789 here", 3: "ssn 000-45-6789, ssn 666-12-3456, ssn 123-00-4567, ssn 912-34-5678",
+             4: "call (030) 1234 567 now", 5: "see (030) 1234 567 now", 6: "phone 0171 2345678.", 7: "order 0171 2345678", 8: "mail a@b.cc", 9: "x a@b.cc", 10: "version 10.0.0.1",
+             11: "server 10.0.0.1", 12: "Konto DE89 3704 0044 0532 0130 00"}
+    got = {r.doc_id: r for r in pii.summary(pii.spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))).collect()}
+    assert {i: r.spans for i, r in got.items()} == {
+        1: "ssn:11:22", 2: "", 3: "", 4: "local_phone:5:19", 5: "", 6: "local_phone:6:18", 7: "", 8: "email:5:11", 9: "email:2:8", 10: "ip:8:16", 11: "ip:7:15", 12: "iban:6:33"}
+    # a context word raises a score by 0.3, a counter word lowers it; base spans stay either way
+    assert {i: r.scores for i, r in got.items() if r.spans} == {
+        1: "0.7", 4: "0.6", 6: "0.6", 8: "1.0", 9: "0.8", 10: "0.3", 11: "0.9", 12: "1.0"}
+
+
 def test_pii_iban_before_capitals_and_numbers():
     def found(text):
         return [text[s:e] for s, e in pii.ibans(text)]

@@ -1,9 +1,17 @@
 """Every stage of the pipeline by itself and the whole run."""
 
+import collections
+import os
+
 import corpus_pipeline as p
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import langid, pieces
+from tessera.llm.queries import ORACLE, PIECES, TOKENIZERS
+from test_operators_llm import plain_language
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -75,3 +83,51 @@ def test_stages_chained_without_storing(spark, docs):
     for _, stage in p.STAGES[:3]:
         left = stage(spark, left, SF)
     assert 0 < left.count() <= docs.count()
+
+
+def test_run_stage_by_stage_against_plain_versions(spark, docs, tmp_dir):
+    """Each stage over what its predecessor stored: language word by word, lines and groups by SQL, quotas by counting, ids by decoding."""
+    def stored(name, df):
+        path = os.path.join(tmp_dir, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    def sql(name, df_path):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{df_path}/*.parquet')")
+        return con.execute(ORACLE[name]).fetchall()
+
+    model = langid.Model(langid.fit(docs))
+    rows = docs.collect()
+    kept = stored("language", p.language_id(spark, docs, SF))
+    found = {r.doc_id: plain_language(model, r.text) for r in rows}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (lang, score) in found.items() if lang != "und" and score >= 0.3)
+
+    lines = stored("lines", p.line_dedup(spark, kept, SF))
+    gone = collections.defaultdict(set)
+    for doc, no, _ in sql("op8_line_dedup", os.path.join(tmp_dir, "language")):
+        gone[doc].add(no)
+    assert gone
+    plain = {r.doc_id: "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in gone[r.doc_id]) for r in kept.collect()}
+    assert {r.doc_id: r.text for r in lines.collect()} == plain
+
+    single = stored("single", p.ngram_jaccard_join(spark, lines, SF))
+    assert sorted(r.doc_id for r in single.collect()) == sorted({group for _, _, group in sql("op3_ngram_jaccard_join", os.path.join(tmp_dir, "lines"))})
+
+    mixed = stored("mixed", p.source_mixing(spark, single, SF))
+    times, size = collections.Counter(r.doc_id for r in mixed.collect()), {r.doc_id: len(r.text.encode().split()) for r in single.collect()}
+    assert set(times) <= set(size) and max(times.values()) <= 2
+    source = {r.doc_id: r.source for r in single.collect()}
+    sizes = collections.Counter()
+    for i, n in size.items():
+        sizes[source[i]] += n
+    taken = collections.Counter()
+    for i, n in times.items():
+        taken[source[i]] += n * size[i]
+    assert all(taken[k] <= 2 * sizes[k] for k in sizes)
+    assert abs(sum(taken.values()) - 1.5 * sum(sizes.values())) <= 0.1 * sum(sizes.values())
+
+    coded = p.sentencepiece(spark, mixed, SF)
+    text = {r.doc_id: r.text for r in single.collect()}
+    decoded = pieces.decode(coded, os.path.join(TOKENIZERS, PIECES)).collect()
+    assert collections.Counter(r.doc_id for r in decoded) == times and all(text[r.doc_id] == r.text for r in decoded)
