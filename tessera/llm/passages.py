@@ -1,9 +1,10 @@
 """Substring dedup: hashed sentences and lines, grouped by digest over all documents.
 
-A unit is a line or, within a line, what ends with a full stop, exclamation or question mark before a blank. Each
-is normalised (lower case, single spaces) and hashed. Of equal units the earliest by (document, unit) stays; a run of
-consecutive later copies with ``min_words`` words or more is removed: a passage that begins and ends within
-sentences is found by the whole sentences inside it, and short sentences that texts share by chance stay. The rows
+A unit is a line or, within a line, what ends with a full stop, exclamation or question mark before a blank; one of more
+than ``LONG_UNIT`` words is cut further, after every word of ten characters or more, so that a passage without sentence ends
+is cut alike wherever it stands. Each unit is normalised (lower case, single spaces) and hashed. Of equal units the earliest by
+(document, unit) stays; a run of consecutive later copies with ``min_words`` words or more is removed: a passage that begins
+and ends within sentences is found by the whole units inside it, and short sentences that texts share by chance stay. The rows
 give the original offsets (code points, end exclusive) of what goes and the place of the copy that stays.
 """
 
@@ -23,10 +24,23 @@ from pyspark.sql import types as T
 from tessera.llm.tables import map_arrow, written
 from tessera.llm.words import slices
 
-MIN_WORDS = 15
+MIN_WORDS = 25
+LONG_UNIT = 16
 SPACE = " \t\n\x0b\x0c\r"
 #: the blank after a sentence becomes a line end, so that offsets stay
 _SENTENCE = re.compile(r"([.!?])[\x20\x09\x0B-\x0D]")
+_LONG_WORD = re.compile(r"([^\x20\x09-\x0D]{10,})[\x20\x09\x0B-\x0D]")
+
+
+def pieces_of(text: str) -> Iterator[tuple[str, list[bytes]]]:
+    """The units of a text, one after the other with a character between them, and the words of each."""
+    for line in _SENTENCE.sub("\\1\n", text).split("\n"):
+        words = line.encode().lower().split()
+        if len(words) <= LONG_UNIT:
+            yield line, words
+        else:
+            for part in _LONG_WORD.sub("\\1\n", line).split("\n"):
+                yield part, part.encode().lower().split()
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,8 +49,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, no, start, end, n_words, digests = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 at, unit = 0, 0
-                for line in _SENTENCE.sub("\\1\n", text or "").split("\n"):
-                    words = line.encode().lower().split()
+                for line, words in pieces_of(text or ""):
                     if words:
                         digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                         s = at + len(line) - len(line.lstrip(SPACE))

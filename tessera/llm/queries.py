@@ -187,7 +187,9 @@ ORACLE: dict[str, str] = {
         u AS (SELECT template, count(DISTINCT q.doc_id) AS documents FROM q JOIN h ON q.doc_id = h.doc_id GROUP BY template HAVING count(DISTINCT q.doc_id) >= {templates.MIN_DOCUMENTS})
         SELECT DISTINCT doc_id, no AS line_no, CAST(documents AS BIGINT) AS documents FROM q JOIN u ON q.template = u.template""",
     "op1_substring_dedup": rf"""
-        WITH s AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09\x0B-\x0D]', '\1' || chr(10), 'g'), chr(10)) AS ls FROM documents),
+        WITH a AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09\x0B-\x0D]', '\1' || chr(10), 'g'), chr(10)) AS ls FROM documents),
+        s AS (SELECT doc_id, string_split(array_to_string(list_transform(ls, lambda x: CASE WHEN len(regexp_extract_all(x, '{_WORD}')) > {passages.LONG_UNIT}
+                     THEN regexp_replace(x, '([^\x20\x09-\x0D]{{10,}})[\x20\x09\x0B-\x0D]', '\1' || chr(10), 'g') ELSE x END), chr(10)), chr(10)) AS ls FROM a),
         l AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS no FROM s),
         o AS (SELECT doc_id, no, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM l),
         w AS (SELECT doc_id, no, place, line, list_transform(regexp_extract_all(line, '{_WORD}'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws
