@@ -290,8 +290,8 @@ def q_row_count_lineitem(spark, sf_dir):
 
 
 def q_customers_not_in_orders(spark, sf_dir):
-    """Customers without an order, with defaults for what is missing."""
-    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    """Customers without a pending order, with defaults for what is missing."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
     idle = not_in(customer, orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
     rich = idle.select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("segment"))
     return fill_defaults(rich, {"segment": "none"})
@@ -545,7 +545,7 @@ SELECT o_orderstatus, min(idx) AS "first", max(idx) AS "last", count(DISTINCT id
     "row_count_lineitem": "SELECT count(*) AS n_rows FROM lineitem",
     "customers_not_in_orders": """
 SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE 'none' END AS segment
-FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""",
+FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""",
     "row_report_customer": f"""
 SELECT c_custkey,
        concat_ws(',', {_text_fields}) AS text_line,
