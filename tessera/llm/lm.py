@@ -58,10 +58,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([at], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([train.tolist()], pa.list_(pa.bool_())),
                 pa.array([(n + 1).tolist()], pa.list_(pa.int64())), pa.array([vocabulary.tobytes()], pa.binary()),
                 pa.array([np.bincount(used, minlength=len(vocabulary)).astype(np.uint32).tobytes()], pa.binary()),
-                pa.array([numbers.astype(np.uint32).tobytes()], pa.binary()), pa.array([len(used)], pa.int64()), pa.array([len(tokens)], pa.int64())],
+                pa.array([planes(numbers.astype(np.uint64), 3 if len(vocabulary) <= 1 << 24 else 4)], pa.binary()), pa.array([len(used)], pa.int64()), pa.array([len(tokens)], pa.int64())],
                 names=["chunk", "doc_ids", "train", "lengths", "vocabulary", "counts", "tokens", "n_train", "n_tokens"])
 
 
+def _numbers(tokens: bytes, n: int) -> np.ndarray:
+    """Token numbers of a chunk with ``n`` tokens."""
+    return from_planes(tokens, len(tokens) // n).astype(np.int64)
+
+
 PACKED = ("chunk long, doc_ids array<long>, train array<boolean>, lengths array<long>, vocabulary binary, counts binary, tokens binary, "
           "n_train long, n_tokens long")
 
@@ -73,7 +78,7 @@ def _dealt(ranges: int, training: bool) -> Callable:
             for r in range(batch.num_rows):
                 row = {name: batch.column(name)[r].as_py() for name in ("chunk", "train", "lengths", "vocabulary", "counts", "tokens")}
                 words, counts = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["counts"], np.uint32)
-                h = words[np.frombuffer(row["tokens"], np.uint32)]
+                h = words[_numbers(row["tokens"], sum(row["lengths"]))]
                 before = np.concatenate([[np.uint64(END)], h[:-1]])
                 pairs = pair_keys(before, h)
                 if training:
@@ -201,7 +206,7 @@ def _scored(total: int, distinct: int, weight: float, least: int = LEAST) -> Cal
         if not left.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
         row = {n: left.column(n)[0].as_py() for n in ("doc_ids", "train", "lengths", "vocabulary", "tokens")}
-        words, tokens, lengths = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["tokens"], np.uint32), np.array(row["lengths"], np.int64)
+        words, tokens, lengths = np.frombuffer(row["vocabulary"], np.uint64), _numbers(row["tokens"], sum(row["lengths"])), np.array(row["lengths"], np.int64)
         back = sorted(zip(*(right.column(c).to_pylist() for c in ("part", "known", "wide", "level", "pair_level")), strict=True), key=lambda r: r[0])
         known = np.concatenate([np.frombuffer(k, np.uint64 if w else np.uint32).astype(np.float64) for _, k, w, _, _ in back if k is not None])
         level, pair_level = (np.frombuffer(b"".join(r[i] for r in back if r[i] is not None), np.uint8) for i in (3, 4))
