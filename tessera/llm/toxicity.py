@@ -252,7 +252,8 @@ def lexicon(sampled: DataFrame, evidence: float = EVIDENCE, most: int = LEXICON)
     share = total[0] / total[1]
     n, t = F.col("n"), F.col("t")
     ratio = 2 * (F.when(t > 0, t * F.log(t / (n * share))).otherwise(0.0) + F.when(n > t, (n - t) * F.log((n - t) / (n * (1 - share)))).otherwise(0.0))
-    found = words.filter(t > 2 * n * share).select("unit", ratio.alias("ratio")).filter(F.col("ratio") >= evidence)
+    # twice the odds, not twice the share: where toxic documents hold half of all surroundings no share is twice theirs
+    found = words.filter(t * (1 - share) > 2 * (n - t) * share).select("unit", ratio.alias("ratio")).filter(F.col("ratio") >= evidence)
     rows = found.orderBy(F.desc("ratio"), "unit").limit(most).select("unit").toArrow()
     return np.sort(rows.column("unit").to_numpy().view(np.uint64))
 

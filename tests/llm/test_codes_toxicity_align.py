@@ -157,6 +157,17 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), table)).count() == 0
 
 
+def test_toxic_documents_with_most_of_the_words(spark):
+    """Long toxic documents hold more than half of all surroundings; their words are found all the same."""
+    rows, labels, schema = toxic_tables(spark)
+    long = [(r[0], f"{r[1]} {' '.join(x[1] for x in rows if x[0] % 4 and x[0] % 29 == r[0] % 29)}" if r[0] % 4 == 0 else r[1], *r[2:]) for r in rows]
+    docs, table = spark.createDataFrame(long, CLASH), spark.createDataFrame(labels, schema)
+    model = toxicity.fit(docs, table, use=~(F.col("doc_id") % 8).isin(4, 6, 7))
+    score = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    bad, good = [v for i, v in score.items() if i % 8 == 4], [v for i, v in score.items() if i % 8 >= 6]
+    assert min(bad) > 0.7 and max(good) < 0.3
+
+
 def test_windows_of_clean_documents_are_clean():
     tokens = toxicity.Tokens.of(pa.array(["ab cd ef gh"]))
     assert tokens.features.shape == (4, toxicity.FEATURES)
