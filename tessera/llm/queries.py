@@ -173,9 +173,10 @@ ORACLE: dict[str, str] = {
         t AS (SELECT doc_id, no, list_transform(regexp_extract_all(lower(line), '{_WORD}'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{templates.FIELD}' ELSE w END) AS tokens
               FROM l WHERE regexp_matches(line, '{_WORD}')),
         p AS (SELECT *, len(tokens) AS n, tokens[1:{templates.DEPTH}] AS lead_tokens FROM t),
-        a AS (SELECT n, lead_tokens, min(doc_id) AS doc_id, sum(n) AS own FROM p GROUP BY n, lead_tokens HAVING min(doc_id) = max(doc_id)),
-        o AS (SELECT doc_id, sum(own) AS own FROM a GROUP BY doc_id),
-        h AS (SELECT d.doc_id FROM (SELECT doc_id, sum(n) AS words FROM p GROUP BY doc_id) d JOIN o ON d.doc_id = o.doc_id WHERE 2 * own > words),
+        a AS (SELECT n, lead_tokens, min(doc_id) AS first_id, count(DISTINCT doc_id) AS holders FROM p GROUP BY n, lead_tokens),
+        g AS (SELECT p.doc_id, a.first_id, sum(p.n) AS words, sum(CASE WHEN a.holders = 1 THEN p.n ELSE 0 END) AS own
+              FROM p JOIN a ON p.n = a.n AND p.lead_tokens = a.lead_tokens GROUP BY p.doc_id, a.first_id),
+        h AS (SELECT doc_id, CASE WHEN {templates.OWN_ONE_IN} * sum(own) >= sum(words) THEN doc_id ELSE (list(first_id ORDER BY words DESC, first_id))[1] END AS voice FROM g GROUP BY doc_id),
         k AS (SELECT DISTINCT n, lead_tokens, tokens FROM p),
         e AS (SELECT n, lead_tokens, unnest(tokens) AS token, unnest(generate_series(1, len(tokens))) AS place FROM k),
         m AS (SELECT n, lead_tokens, place, token FROM (SELECT n, lead_tokens, place, token, row_number() OVER (PARTITION BY n, lead_tokens, place ORDER BY count(*) DESC, token DESC) AS r
@@ -184,7 +185,7 @@ ORACLE: dict[str, str] = {
         q AS (SELECT p.doc_id, p.no, CASE WHEN len(list_filter(generate_series(1, p.n), lambda i: p.tokens[i] = x.shape[i])) >= {templates.SIMILAR} * p.n
                      THEN [CAST(p.n AS VARCHAR)] || p.lead_tokens ELSE [''] || p.tokens END AS template
               FROM p JOIN x ON p.n = x.n AND p.lead_tokens = x.lead_tokens),
-        u AS (SELECT template, count(DISTINCT q.doc_id) AS documents FROM q JOIN h ON q.doc_id = h.doc_id GROUP BY template HAVING count(DISTINCT q.doc_id) >= {templates.MIN_DOCUMENTS})
+        u AS (SELECT template, count(DISTINCT h.voice) AS documents FROM q JOIN h ON q.doc_id = h.doc_id GROUP BY template HAVING count(DISTINCT h.voice) >= {templates.MIN_DOCUMENTS})
         SELECT DISTINCT doc_id, no AS line_no, CAST(documents AS BIGINT) AS documents FROM q JOIN u ON q.template = u.template""",
     "op1_substring_dedup": rf"""
         WITH a AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09\x0B-\x0D]', '\1' || chr(10), 'g'), chr(10)) AS ls FROM documents),

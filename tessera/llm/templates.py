@@ -6,9 +6,9 @@ template; lines that agree with it in ``similar`` of their positions take it, wi
 they differ generalised, and the others stand for themselves. Lines of a template that recurs across
 ``min_documents`` documents are dropped.
 
-Only documents that are mostly their own count: a document counts if more than half of its words stand in lines
-whose leaf no other document has. Copies and near copies of a document share their leaves with each other, so however
-many there are, they do not make their lines recurring ones; that is the near-duplicate join's work.
+Every document counts, copies and near copies as one: a document with a fifth of its words in lines whose leaf no other
+document has counts as itself, any other one as the document that first holds most of its words. However many copies there
+are, they do not make their lines recurring ones; that is the near-duplicate join's work.
 """
 
 from __future__ import annotations
@@ -28,31 +28,37 @@ FIELD = "<*>"
 DEPTH = 3
 SIMILAR = 0.7
 MIN_DOCUMENTS = 10
+#: share of a document's words, one in so many, that makes it no copy (the near-duplicate join's 80 % from the other side)
+OWN_ONE_IN = 5
 #: parts into which the lines of a leaf are dealt when they meet its template
 SLICES = 32
 
 
-def tokens_of(line: Column) -> Column:
-    """Lower-cased tokens with those that hold a digit replaced by the field mark."""
-    masked = F.regexp_replace(F.lower(line), r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)
-    return F.split(F.btrim(masked, F.lit(" \t\n\x0b\x0c\r")), SPACE)
+def masked(line: Column) -> Column:
+    """The lower-cased line with tokens that hold a digit replaced by the field mark; most lines have no digit to look for."""
+    low = F.lower(line)
+    fields = F.regexp_replace(low, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)
+    return F.btrim(F.when(line.rlike("[0-9]"), fields).otherwise(low), F.lit(" \t\n\x0b\x0c\r"))
 
 
 def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(doc_id, text_key, no, leaf, line, n, tokens) of every line with a token: ``text_key`` is a digest of id and text,
+    """(doc_id, text_key, no, leaf, line, n, masked) of every line with a token: ``text_key`` is a digest of id and text,
     the leaf one of the token count and the leading tokens, ``line`` one of all masked tokens."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("text_key"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("no", "line"))
-    rows = (rows.filter(F.length(F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))) > 0)
-            .select("doc_id", "text_key", "no", tokens_of(F.col("line")).alias("tokens")))
+    rows = rows.select("doc_id", "text_key", "no", masked(F.col("line")).alias("masked")).filter("masked <> ''")
+    rows = rows.select("*", F.split("masked", SPACE).alias("tokens"))
     return rows.select("doc_id", "text_key", "no", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"),
-                       F.xxhash64(F.lit(1), F.col("tokens")).alias("line"), F.size("tokens").alias("n"), "tokens")
+                       F.xxhash64(F.lit(1), F.col("tokens")).alias("line"), F.size("tokens").alias("n"), "masked")
 
 
-def own_documents(parsed: DataFrame) -> DataFrame:
-    """``text_key`` of the documents with more than half of their words in lines whose leaf is theirs alone."""
-    leaves = parsed.groupBy("leaf").agg(F.min("text_key").alias("text_key"), F.max("text_key").alias("last"), F.sum("n").alias("own"))
-    own = leaves.filter("text_key = last").groupBy("text_key").agg(F.sum("own").alias("own"))
-    return parsed.groupBy("text_key").agg(F.sum("n").alias("words")).join(own, "text_key").filter("2 * own > words").select("text_key")
+def voices(parsed: DataFrame) -> DataFrame:
+    """(text_key, voice): the document that each document counts as, itself or the one that it is a copy of."""
+    held = written(parsed.groupBy("leaf", "doc_id", "text_key").agg(F.sum("n").alias("n")), "held")
+    leaves = held.groupBy("leaf").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("holders"))
+    shares = (held.join(leaves, "leaf").groupBy("text_key", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"))
+              .agg(F.sum("n").alias("words"), F.sum(F.when(F.col("holders") == 1, F.col("n")).otherwise(0)).alias("own")))
+    best = shares.groupBy("text_key").agg(F.min(F.struct(-F.col("words"), "first_id", "first_key")).alias("most"), F.sum("words").alias("words"), F.sum("own").alias("own"))
+    return best.select("text_key", F.when(F.col("own") * OWN_ONE_IN >= F.col("words"), F.col("text_key")).otherwise(F.col("most.first_key")).alias("voice"))
 
 
 def _likely(bits: bytes) -> Callable:
@@ -68,20 +74,20 @@ def _likely(bits: bytes) -> Callable:
 def recurring(parsed: DataFrame, similar: float = SIMILAR, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(leaf, line, template, documents) digests of the lines whose template recurs.
 
-    Counts of documents are exact: a line's rows are first reduced to its distinct documents, spread by both. Leaves that can't
+    Counts of documents are exact: a line's rows are first reduced to its distinct voices, spread by both. Leaves that can't
     hold a recurring template are left out before any token crosses the network, by a bit set of fixed size (it lets
     some pass, which the join takes out).
     """
-    pairs = written(parsed.select("leaf", "line", "text_key").join(written(own_documents(parsed), "own"), "text_key", "left_semi").distinct(), "pairs")
-    busy = (pairs.select("leaf", "text_key").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("k"))
+    pairs = written(parsed.select("leaf", "line", "text_key").join(written(voices(parsed), "voices"), "text_key").select("leaf", "line", "voice").distinct(), "pairs")
+    busy = (pairs.select("leaf", "voice").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("k"))
             .filter(F.col("k") >= min_documents).select("leaf"))
     busy = written(busy, "busy")
     ship(parsed.sparkSession)
     # one row per different line of the leaves that can hold a recurring template
-    shapes = parsed.select("leaf", "line", "n", "tokens")
+    shapes = parsed.select("leaf", "line", "n", "masked")
     likely = map_arrow(shapes, _likely(bit_set(busy, "leaf")), shapes.schema)
-    kinds = likely.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"), F.first("n").alias("n")).join(busy, "leaf", "left_semi")
-    kinds = written(kinds.withColumn("part", F.pmod("line", F.lit(SLICES))), "kinds")
+    kinds = likely.groupBy("leaf", "line").agg(F.first("masked").alias("masked"), F.first("n").alias("n")).join(busy, "leaf", "left_semi")
+    kinds = written(kinds.select("leaf", "line", "n", F.split("masked", SPACE).alias("tokens"), F.pmod("line", F.lit(SLICES)).alias("part")), "kinds")
     cells = kinds.select("leaf", F.posexplode("tokens").alias("at", "token"))
     votes = cells.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("votes"))
     major = votes.groupBy("leaf", "at").agg(F.max_by("token", F.struct("votes", "token")).alias("major"))
@@ -91,7 +97,7 @@ def recurring(parsed: DataFrame, similar: float = SIMILAR, min_documents: int =
     placed = (kinds.join(shape, ["leaf", "part"])
               .select("leaf", "line", F.when(agree >= F.col("n") * similar, F.col("leaf")).otherwise(F.col("line")).alias("template")))
     placed = written(placed, "placed")
-    uses = (pairs.join(placed, ["leaf", "line"]).select("template", "text_key").distinct()
+    uses = (pairs.join(placed, ["leaf", "line"]).select("template", "voice").distinct()
             .groupBy("template").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= min_documents))
     return written(placed.join(uses, "template").select("leaf", "line", "template", "documents"), "recurring")
 

@@ -446,6 +446,17 @@ def test_templates_count_documents(spark):
     assert few == []
 
 
+def test_templates_of_mostly_shared_documents(spark):
+    """Documents of which most is a block that others hold too count, and copies of them count once."""
+    block = "\n".join(prose(4000 + k, 30) for k in range(4))
+    rows = [(i, f"{prose(4100 + i, 40)}\n{block}\n{prose(4200 + i, 20)}") for i in range(12)]
+    copies = [(100 + i, f"{prose(4300, 40)}\n{prose(4301, 40)}\n{prose(4302, 40)}") for i in range(15)]
+    got = templates.dropped_lines(spark.createDataFrame(rows + copies, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.no, r.documents) for r in got} == {(i, n, 12) for i in range(12) for n in range(1, 5)}
+    few = spark.createDataFrame(rows[:9] + [(50 + i, rows[0][1] + "\nEnd") for i in range(15)], "doc_id long, text string")
+    assert templates.dropped_lines(few).collect() == []
+
+
 def test_templates_recurring_lines(docs, rows):
     dropped = templates.dropped_lines(docs)
     assert {(r.doc_id, r.no) for r in dropped.collect()} == {(i, 1) for i in range(20, 32)}
