@@ -42,3 +42,20 @@ def upsert(base: DataFrame, incoming: DataFrame, keys: Sequence[str], order_by:
         batch = batch.dropDuplicates(keys)
     kept = base.join(batch.select(*keys), on=keys, how="left_anti")
     return kept.unionByName(batch.select(*[F.col(f"`{c}`") for c in cols]))
+
+
+def upsert_last(base: DataFrame, incoming: DataFrame, keys: Sequence[str], place: str, hint: str | None = None) -> DataFrame:
+    """:func:`upsert` for a batch whose rows have different numbers in ``place`` (not null); the greatest of a key wins.
+
+    No task sorts whole rows: the last places are a partial ``max`` over narrow rows, and whole rows meet them by place, which
+    spreads evenly however many rows a key has. ``hint`` is a join hint for the narrow sides (``shuffle_hash`` for a large batch,
+    so that the base is not sorted either).
+    """
+    keys, cols = list(keys), [F.col(f"`{c}`") for c in base.columns]
+    last = incoming.groupBy(*keys).agg(F.max(place).alias(place))
+
+    def narrow(df: DataFrame) -> DataFrame:
+        return df.hint(hint) if hint else df
+
+    batch = incoming.join(narrow(last.select(place)), place, "left_semi").select(*cols)
+    return base.join(narrow(last.select(*keys)), keys, "left_anti").select(*cols).unionByName(batch)

@@ -6,16 +6,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.upsert import upsert
+from tessera.operators.upsert import upsert_last
 from tessera.session import scratch_path
 from tessera.sources.catalog import from_rows
 from tessera.sources.files import path_columns, read_csv
 
 _ORDER = ["__file", "__block", "__pos"]
 _RAGGED = "__ragged"
+#: rows of a batch from which its narrow side of a join is hashed; up to here the planner broadcasts or sorts it
+LARGE_BATCH = 1_000_000
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -72,12 +75,19 @@ def load_table(spark: SparkSession, root: str, database: str, table: str, base:
     rows load with nulls in place of the bad values. Other files load either way.
     """
     staged = stage_table(spark, root, database, table, base)
-    batch = staged
-    if "bad values" not in ignore_errors:
-        # one row per failed file, from the staged counts alone; the planner broadcasts it when it can
-        failed = staged.filter("__bad > 0").select("__file").distinct()
-        batch = staged.join(failed, "__file", "left_anti")
-    return upsert(base, batch, keys, order_by=_ORDER), file_counts(staged)
+    hint = "shuffle_hash" if staged.count() > LARGE_BATCH else None
+    per_file = file_counts(staged)
+    loads = per_file if "bad values" in ignore_errors else per_file.filter("n_bad_values = 0")
+    return upsert_last(base, placed(staged, loads), keys, "__place", hint), per_file
+
+
+def placed(staged: DataFrame, files: DataFrame) -> DataFrame:
+    """The staged rows of these files with ``__place``, one number that grows in file order: the file's number by name, then
+    the row's in its task (a file of these is never split). Carrying it is cheaper than the path."""
+    # one row per file
+    number = files.select(F.col("file").alias("__file"), (F.row_number().over(W.orderBy("file")) - 1).cast("long").alias("__number"))
+    place = F.shiftleft("__number", 33).bitwiseOR(F.col("__pos").bitwiseAND(F.lit((1 << 33) - 1).cast("long")))
+    return staged.join(F.broadcast(number), "__file").withColumn("__place", place).drop(*_ORDER, "__number", "__bad")
 
 
 def load_status(spark: SparkSession, root: str, per_file: DataFrame | None,

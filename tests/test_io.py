@@ -1,3 +1,4 @@
+import collections
 import os
 
 from pyspark.sql import functions as F
@@ -195,6 +196,20 @@ def test_bulk_load_quoted_newlines_and_ragged_rows(spark, tmp_dir):
     assert st == {"good.csv": ("Success", None), "ragged.csv": ("Failed", "bad values")}
 
 
+def test_bulk_load_of_a_large_batch_sorts_no_rows(spark, tmp_dir, monkeypatch):
+    """Narrow sides are hashed; the last row in file order wins, also for a hot key and for rows without a key."""
+    monkeypatch.setattr(j9, "LARGE_BATCH", 0)
+    root = os.path.join(tmp_dir, "in")
+    for name, rows in (("b", [("1", "late"), (None, "none"), ("4", "new")]), ("a", [("1", "early")] * 40 + [("3", "a"), ("3", "z"), ("3", "b")])):
+        j2.put_file(spark.createDataFrame(rows, "k string, v string"), f"{root}/db/t/{name}.csv")
+    base = spark.createDataFrame([(1, "old"), (2, "kept"), (2, "kept"), (None, "kept")], "k int, v string")
+    new = j9.load_table(spark, root, "db", "t", base, ["k"])[0]
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortAggregate" not in plan and "SortMergeJoin" not in plan
+    rows = collections.Counter(tuple(r) for r in new.collect())
+    assert rows == collections.Counter([(2, "kept"), (2, "kept"), (None, "kept"), (1, "late"), (None, "none"), (4, "new"), (3, "b")])
+
+
 def test_bulk_load_scans_the_csv_once(spark, tmp_dir):
     root = os.path.join(tmp_dir, "landing")
     base = spark.createDataFrame([(1, 1.5)], "k long, x double")
