@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ from tessera.streaming.ingest import Files, consume_once, plain
 
 # Fixed value: the load-file rule (matched from the start of the key, no end anchor).
 LOAD_FILE_PATTERN = ".*?/LOAD[0-9]+\\.csv"
+#: files that a task of the in-place variant has open at a time
+OPEN_FILES = 64
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def load_rows(spark: SparkSession, paths: Sequence[str], landing: str, columns: Sequence[str]) -> DataFrame:
@@ -55,6 +59,21 @@ def add_load_op(spark: SparkSession, landing: str, out: str, columns: Sequence[s
     consume_once(spark, landing, LOAD_FILE_PATTERN, checkpoint, write_batch, archive_dir, delete, max_files)
 
 
+@contextmanager
+def _open_files(spark: SparkSession) -> Iterator[None]:
+    """Within, a task that writes by folder keeps several files open (``OPEN_FILES``; it sorts what is left beyond them) instead
+    of sorting all of its rows, which are those of a whole load file with ``single_file``."""
+    before = spark.conf.get(_WRITERS, None)
+    spark.conf.set(_WRITERS, str(OPEN_FILES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_WRITERS)
+        else:
+            spark.conf.set(_WRITERS, before)
+
+
 def add_load_op_in_place(spark: SparkSession, landing: str, columns: Sequence[str], checkpoint: str, archive_dir: str | None = None,
                          delete: bool = False, max_files: int = 1000, single_file: bool = False) -> None:
     """B6 variant: each load file's rows go back beside it, as ``<folder>/op-<load file>/part-*.csv``, a name
@@ -71,7 +90,8 @@ def add_load_op_in_place(spark: SparkSession, landing: str, columns: Sequence[st
         rows = load_rows(spark, paths, landing, columns)
         staged = scratch_path(spark, "in-place")
         rows = rows.select("Op", *[F.col(f"`{c}`") for c in columns], F.sha2("source_file", 256).alias("__of"))
-        write_csv(rows.repartition("__of") if single_file else rows, staged, partition_by="__of")
+        with _open_files(spark):
+            write_csv(rows.repartition("__of") if single_file else rows, staged, partition_by="__of")
         # one staged folder for each file that has rows; a path comes with or without escapes from the reader
         source = {hashlib.sha256(form.encode()).hexdigest(): p for p in paths for form in (p, files.escaped(p))}
         for name in files.names(staged):

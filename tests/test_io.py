@@ -1,6 +1,7 @@
 import collections
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans import bulk_load as j9
@@ -151,6 +152,35 @@ def test_publish_and_download_plans(spark, tmp_dir):
     assert all(r.output_file == "/data/" + r.key for r in dl)
 
 
+@pytest.mark.parametrize("most", [1, 64])
+def test_load_op_in_place_sorts_no_rows(spark, tmp_dir, monkeypatch, most):
+    """One task writes files whose splits reach it in turns, unsorted, and each to one file however many may be open."""
+    landing, seen = os.path.join(tmp_dir, "landing"), []
+    for n in range(4):
+        j2.put_file(spark.range(n * 1000, n * 1000 + 300).selectExpr("cast(id as string) a"), f"{landing}/db/t/LOAD{n}.csv")
+
+    def watched(df, path, **options):
+        seen.append(df.sparkSession.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+        write_csv(df, path, **options)
+
+    monkeypatch.setattr(j2, "write_csv", watched)
+    monkeypatch.setattr(j2, "OPEN_FILES", most)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
+    writers = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+        j2.add_load_op_in_place(spark, landing, ["a"], os.path.join(tmp_dir, "ckpt"), single_file=True)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert seen == [str(most)] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == writers
+    for n in range(4):
+        folder = f"{landing}/db/t/op-LOAD{n}.csv"
+        assert len([f for f in os.listdir(folder) if f.endswith(".csv")]) == 1
+        assert sorted(int(r.a) for r in read_csv(spark, folder).collect()) == list(range(n * 1000, n * 1000 + 300))
+
+
 def test_bulk_load_bad_values_fail_their_file_only(spark, tmp_dir):
     root = os.path.join(tmp_dir, "landing")
     base = spark.createDataFrame([(1, 1.5)], "k long, x double")
