@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.upsert import upsert_last
+from tessera.operators.upsert import upsert
 from tessera.session import scratch_path
 from tessera.sources.catalog import from_rows
 from tessera.sources.files import path_columns, read_csv
@@ -78,7 +78,7 @@ def load_table(spark: SparkSession, root: str, database: str, table: str, base:
     hint = "shuffle_hash" if staged.count() > LARGE_BATCH else None
     per_file = file_counts(staged)
     loads = per_file if "bad values" in ignore_errors else per_file.filter("n_bad_values = 0")
-    return upsert_last(base, placed(staged, loads), keys, "__place", hint), per_file
+    return upsert(base, placed(staged, loads), keys, order_by=["__place"], unique=True, hint=hint), per_file
 
 
 def placed(staged: DataFrame, files: DataFrame) -> DataFrame:
