@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import contextvars
+import ctypes
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -16,9 +17,14 @@ from pyspark.sql.types import StructType
 
 from tessera.session import scratch_path
 
+#: A batch that goes to a Python worker takes so much in the worker and, several times over, outside of the executor's heap.
+BATCH = "4m"
+
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the executors' Python workers, once per application."""
+    """Hand this package to the executors' Python workers, once per application; batches are ``BATCH`` long unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     sc = spark.sparkContext
     root = Path(__file__).resolve().parents[1]
     if getattr(sc, "_tessera_shipped", False) or not root.is_dir():
@@ -31,10 +37,22 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+def _free() -> None:
+    """Unused memory back to the system: a worker waits for its next task while the executor needs memory for other steps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
+    """``mapInArrow`` with this package at hand in the workers, which give back their memory at a task's end."""
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _free()
+
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freed, schema)
 
 
 class Scratch:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, langid, lm, mixing, passages, pieces, pii, quality, templates, vectors
 from tessera.llm.queries import PIECES, TOKENIZERS
-from tessera.llm.tables import Scratch, components, crc_part, written
+from tessera.llm.tables import Scratch, components, crc_part, map_arrow, written
 from tessera.llm.words import hash_words, text_bytes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, x string, part int"
@@ -195,6 +195,17 @@ def test_lm_score_against_exact_counts(spark):
     assert written_model <= set(range(model.ranges))
 
 
+def test_workers_get_small_batches(spark):
+    """Long texts go to the Python workers a few at a time, not by thousands of rows."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes], pa.int64()), pa.array([batch.num_rows], pa.int64())], names=["bytes", "rows"])
+
+    got = map_arrow(spark.range(0, 400, 1, 1).select(F.repeat(F.lit("word "), 20_000).alias("text")), sizes, "bytes long, rows long").collect()
+    assert sum(r.rows for r in got) == 400
+    assert max(r.bytes for r in got) < 6 << 20
+
+
 def test_lm_empty(empty):
     assert lm.score(empty, F.lit(False)).count() == 0
     model = lm.fit(lm.pack(empty, F.lit(True)))
