@@ -11,6 +11,8 @@ stretch of the filter, which is stored with the exact word counts of the range:
 it. To score, the words and pairs of each chunk go to the stretches of their ranges, are probed there level by level, and
 the chunk gets the levels back (and the exact word counts, for the base score). Ranges and chunks are many enough to be small
 whatever the input; the stretches together grow with the training n-grams, and no task holds more than one.
+
+What is shuffled goes as compressed bytes: sorted hashes by their differences, small numbers in byte planes.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import map_arrow, ship, written
-from tessera.llm.words import from_planes, hash_ranges, hash_words, mix, planes, slices, text_bytes
+from tessera.llm.words import from_steps, gathered, hash_ranges, hash_words, mix, squeezed, steps, text_bytes, unsqueezed
 
 CHUNK = 8 << 20
 LEAST = 1
@@ -44,31 +46,32 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of whole texts: token numbers, and the chunk's distinct words with their training counts."""
     at = TaskContext.get().partitionId() << 32
-    for whole in batches:
-        for batch in slices(whole, "text", CHUNK):
-            h, first = hash_words(*text_bytes(batch.column("text")))
-            n = np.diff(first)
-            # one end after each text
-            tokens = np.insert(h, first[1:], np.uint64(END)) if len(n) else h
-            vocabulary, numbers = np.unique(tokens, return_inverse=True)
-            train = ~np.array(batch.column("held_out").to_pylist(), bool)
-            used = numbers[np.repeat(train, n + 1)]
-            at += 1
-            yield pa.record_batch([
-                pa.array([at], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([train.tolist()], pa.list_(pa.bool_())),
-                pa.array([(n + 1).tolist()], pa.list_(pa.int64())), pa.array([vocabulary.tobytes()], pa.binary()),
-                pa.array([np.bincount(used, minlength=len(vocabulary)).astype(np.uint32).tobytes()], pa.binary()),
-                pa.array([planes(numbers.astype(np.uint64), 3 if len(vocabulary) <= 1 << 24 else 4)], pa.binary()), pa.array([len(used)], pa.int64()), pa.array([len(tokens)], pa.int64())],
-                names=["chunk", "doc_ids", "train", "lengths", "vocabulary", "counts", "tokens", "n_train", "n_tokens"])
-
-
-def _numbers(tokens: bytes, n: int) -> np.ndarray:
-    """Token numbers of a chunk with ``n`` tokens."""
-    return from_planes(tokens, len(tokens) // n).astype(np.int64)
+    for batch in gathered(batches, "text", CHUNK):
+        h, first = hash_words(*text_bytes(batch.column("text")))
+        n = np.diff(first)
+        # one end after each text
+        tokens = np.insert(h, first[1:], np.uint64(END)) if len(n) else h
+        vocabulary, numbers = np.unique(tokens, return_inverse=True)
+        train = ~np.array(batch.column("held_out").to_pylist(), bool)
+        used = numbers[np.repeat(train, n + 1)]
+        at += 1
+        yield pa.record_batch([
+            pa.array([at], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([train.tolist()], pa.list_(pa.bool_())),
+            pa.array([(n + 1).tolist()], pa.list_(pa.int64())), pa.array([steps(vocabulary)], pa.binary()),
+            pa.array([squeezed(np.bincount(used, minlength=len(vocabulary)), 4)], pa.binary()),
+            pa.array([squeezed(numbers, 3 if len(vocabulary) <= 1 << 24 else 4)], pa.binary()), pa.array([len(vocabulary)], pa.int64()),
+            pa.array([len(used)], pa.int64()), pa.array([len(tokens)], pa.int64())],
+            names=["chunk", "doc_ids", "train", "lengths", "vocabulary", "counts", "tokens", "n_words", "n_train", "n_tokens"])
 
 
 PACKED = ("chunk long, doc_ids array<long>, train array<boolean>, lengths array<long>, vocabulary binary, counts binary, tokens binary, "
-          "n_train long, n_tokens long")
+          "n_words long, n_train long, n_tokens long")
+
+
+def _by_low(pairs: np.ndarray, ranges: int) -> np.ndarray:
+    """The order of sorted pair hashes by hash range and, in a range, by the low bytes that stand for them there."""
+    part = pairs >> np.uint64(64 - (ranges.bit_length() - 1)) if ranges > 1 else np.zeros(len(pairs), np.uint64)
+    return np.argsort((part << np.uint64(8 * KEY_BYTES)) | (pairs & _LOW), kind="stable")
 
 
 def _dealt(ranges: int, training: bool) -> Callable:
@@ -77,20 +80,22 @@ def _dealt(ranges: int, training: bool) -> Callable:
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {name: batch.column(name)[r].as_py() for name in ("chunk", "train", "lengths", "vocabulary", "counts", "tokens")}
-                words, counts = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["counts"], np.uint32)
-                h = words[_numbers(row["tokens"], sum(row["lengths"]))]
+                words, counts = from_steps(row["vocabulary"]), unsqueezed(row["counts"])
+                h = words[unsqueezed(row["tokens"])]
                 before = np.concatenate([[np.uint64(END)], h[:-1]])
                 pairs = pair_keys(before, h)
                 if training:
                     pairs, times = np.unique(pairs[np.repeat(row["train"], row["lengths"])], return_counts=True)
                     words, counts = words[counts > 0], counts[counts > 0]
-                    out = [(p, row["chunk"], words[a:b].tobytes(), counts[a:b].tobytes(), None, None) for p, a, b in hash_ranges(words, ranges)]
-                    times = times.astype(np.uint64)
-                    out += [(p, row["chunk"], None, None, planes(pairs[a:b] & _LOW, KEY_BYTES), planes(times[a:b], 4)) for p, a, b in hash_ranges(pairs, ranges)]
+                    order = _by_low(pairs, ranges)
+                    low, times = (pairs & _LOW)[order], times[order]
+                    out = [(p, row["chunk"], steps(words[a:b]), squeezed(counts[a:b], 4), None, None) for p, a, b in hash_ranges(words, ranges)]
+                    out += [(p, row["chunk"], None, None, steps(low[a:b]), squeezed(times[a:b], 4)) for p, a, b in hash_ranges(pairs, ranges)]
                 else:
                     pairs = np.unique(pairs)
-                    out = [(p, row["chunk"], words[a:b].tobytes(), None, None, None) for p, a, b in hash_ranges(words, ranges)]
-                    out += [(p, row["chunk"], None, None, planes(pairs[a:b] & _LOW, KEY_BYTES), None) for p, a, b in hash_ranges(pairs, ranges)]
+                    low = (pairs & _LOW)[_by_low(pairs, ranges)]
+                    out = [(p, row["chunk"], steps(words[a:b]), None, None, None) for p, a, b in hash_ranges(words, ranges)]
+                    out += [(p, row["chunk"], None, None, steps(low[a:b]), None) for p, a, b in hash_ranges(pairs, ranges)]
                 kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
                 for i in range(0, len(out), 256):
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out[i:i + 256], strict=True), kinds, strict=True)], names=DEALT_NAMES)
@@ -164,10 +169,10 @@ def _summed(table: pa.Table) -> pa.Table:
     """A hash range of the model: its words with their exact counts, and its stretches of the filter."""
     rows = list(zip(*(table.column(c).to_pylist() for c in ("words", "counts", "pairs", "times")), strict=True))
     single, double = [r for r in rows if r[0]], [r for r in rows if r[2]]
-    words, at = np.unique(np.frombuffer(b"".join(r[0] for r in single), np.uint64), return_inverse=True)
-    counts = np.bincount(at, np.frombuffer(b"".join(r[1] for r in single), np.uint32), len(words)).astype(np.int64)
-    pairs, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(from_planes(r[2], KEY_BYTES) for r in double)]), return_inverse=True)
-    times = np.bincount(at, np.concatenate([np.zeros(0, np.uint64), *(from_planes(r[3], 4) for r in double)]), len(pairs)).astype(np.int64)
+    words, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(from_steps(r[0]) for r in single)]), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([np.zeros(0, np.uint64), *(unsqueezed(r[1]) for r in single)]), len(words)).astype(np.int64)
+    pairs, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(from_steps(r[2]) for r in double)]), return_inverse=True)
+    times = np.bincount(at, np.concatenate([np.zeros(0, np.uint64), *(unsqueezed(r[3]) for r in double)]), len(pairs)).astype(np.int64)
     own = [words, counts, _stretch(words, counts, WORD, LEAST), _stretch(pairs, times, PAIR, LEAST)]
     return pa.table({"part": table.column("part")[:1], **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("words", "counts", "word_bits", "pair_bits"), own, strict=True)},
                      "distinct": pa.array([len(words)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
@@ -185,13 +190,13 @@ def _probed(pieces: pa.Table, model: pa.Table) -> pa.Table:
         filters = [Filter(row[n] if len(row[n]) else np.zeros(1, np.uint64), 1, least=LEAST) for n in ("word_bits", "pair_bits")]
         for part, chunk, words, pairs in zip(*(pieces.column(c).to_pylist() for c in ("part", "chunk", "words", "pairs")), strict=True):
             if words is not None:
-                keys = np.frombuffer(words, np.uint64)
+                keys = from_steps(words)
                 at = np.minimum(np.searchsorted(row["words"], keys), max(0, len(row["words"]) - 1))
                 known = np.where(row["words"][at] == keys, row["counts"][at], 0) if len(row["words"]) else np.zeros(len(keys), np.int64)
                 wide = bool(known.max(initial=0) >= 1 << 32)
                 out.append((chunk, part, known.astype(np.uint64 if wide else np.uint32).tobytes(), wide, filters[0].level(keys, WORD).astype(np.uint8).tobytes(), None))
             else:
-                out.append((chunk, part, None, None, None, filters[1].level(from_planes(pairs, KEY_BYTES), PAIR).astype(np.uint8).tobytes()))
+                out.append((chunk, part, None, None, None, filters[1].level(from_steps(pairs), PAIR).astype(np.uint8).tobytes()))
     chunk, part, known, wide, level, pair_level = zip(*out, strict=True) if out else [()] * 6
     return pa.table({"chunk": pa.array(chunk, pa.int64()), "part": pa.array(part, pa.int32()), "known": pa.array(known, pa.binary()), "wide": pa.array(wide, pa.bool_()),
                      "level": pa.array(level, pa.binary()), "pair_level": pa.array(pair_level, pa.binary())})
@@ -200,13 +205,13 @@ def _probed(pieces: pa.Table, model: pa.Table) -> pa.Table:
 PROBED = "chunk long, part int, known binary, wide boolean, level binary, pair_level binary"
 
 
-def _scored(total: int, distinct: int, weight: float, least: int = LEAST) -> Callable:
+def _scored(total: int, distinct: int, ranges: int, weight: float, least: int = LEAST) -> Callable:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
         if not left.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
         row = {n: left.column(n)[0].as_py() for n in ("doc_ids", "train", "lengths", "vocabulary", "tokens")}
-        words, tokens, lengths = np.frombuffer(row["vocabulary"], np.uint64), _numbers(row["tokens"], sum(row["lengths"])), np.array(row["lengths"], np.int64)
+        words, tokens, lengths = from_steps(row["vocabulary"]), unsqueezed(row["tokens"]).astype(np.int64), np.array(row["lengths"], np.int64)
         back = sorted(zip(*(right.column(c).to_pylist() for c in ("part", "known", "wide", "level", "pair_level")), strict=True), key=lambda r: r[0])
         known = np.concatenate([np.frombuffer(k, np.uint64 if w else np.uint32).astype(np.float64) for _, k, w, _, _ in back if k is not None])
         level, pair_level = (np.frombuffer(b"".join(r[i] for r in back if r[i] is not None), np.uint8) for i in (3, 4))
@@ -218,7 +223,10 @@ def _scored(total: int, distinct: int, weight: float, least: int = LEAST) -> Cal
         single = ((rough + 1) / (total + distinct + 1))[tokens]
         before = np.concatenate([[np.searchsorted(words, np.uint64(END))], tokens[:-1]])
         context = rough[before]
-        pair = middle(pair_level, least)[np.unique(pair_keys(words[before], words[tokens]), return_inverse=True)[1]]
+        pairs, which = np.unique(pair_keys(words[before], words[tokens]), return_inverse=True)
+        often = np.zeros(len(pairs))
+        often[_by_low(pairs, ranges)] = middle(pair_level, least)
+        pair = often[which]
         share = np.minimum(1.0, pair / np.maximum(context, 1.0))
         p = np.where(context > 0, weight * share + (1 - weight) * np.minimum(1.0, single), np.minimum(1.0, single))
         score = np.add.reduceat(np.log10(p), first)
@@ -247,8 +255,8 @@ _CHUNK = ("chunk", "train", "lengths", "vocabulary", "counts", "tokens")
 def fit(packed: DataFrame) -> Model:
     """The model of the training texts of these chunks. Ranges are powers of two, each with about ``RANGE_BYTES`` of word and pair rows."""
     spark = packed.sparkSession
-    n_tokens, n_vocabulary = (x or 0 for x in packed.agg(F.sum("n_train"), F.sum(F.length("vocabulary"))).first())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (12 * n_vocabulary // 8 + KEY_BYTES * n_tokens) // RANGE_BYTES)
+    n_tokens, n_vocabulary = (x or 0 for x in packed.agg(F.sum("n_train"), F.sum("n_words")).first())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (12 * n_vocabulary + KEY_BYTES * n_tokens) // RANGE_BYTES)
     ranges = 1 << max(0, (parts - 1).bit_length())
     ship(spark)
     dealt = map_arrow(packed.filter("n_train > 0").select(*_CHUNK), _dealt(ranges, True), DEALT)
@@ -262,7 +270,7 @@ def score_packed(packed: DataFrame, model: Model, weight: float = PAIR_WEIGHT) -
     found = (asked.groupBy("part").cogroup(model.table.select("part", "words", "counts", "word_bits", "pair_bits").groupBy("part"))
              .applyInArrow(_probed, PROBED))
     scored = (packed.select("chunk", "doc_ids", "train", "lengths", "vocabulary", "tokens").groupBy("chunk").cogroup(found.groupBy("chunk"))
-              .applyInArrow(_scored(model.total, model.distinct, weight),
+              .applyInArrow(_scored(model.total, model.distinct, model.ranges, weight),
                             "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 

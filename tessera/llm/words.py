@@ -106,6 +106,17 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa
         i = j
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """All rows in runs of about ``size`` bytes of text each (at least one row), wherever the batches end."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            *full, last = slices(pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0], column, size)
+            yield from full
+            rest = [last]
+    yield from rest
+
+
 def shingle_sets(column: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its ``words``-word shingles.
 
@@ -138,6 +149,29 @@ def from_planes(data: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def squeezed(numbers: np.ndarray, width: int) -> bytes:
+    """The low bytes of the numbers in planes, compressed."""
+    return np.array([len(numbers), width], np.uint64).tobytes() + _ZSTD.compress(planes(numbers.astype(np.uint64), width), asbytes=True)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    n, width = np.frombuffer(data[:16], np.uint64).tolist()
+    return from_planes(_ZSTD.decompress(data[16:], n * width, asbytes=True), width) if n else np.zeros(0, np.uint64)
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys by what each adds to the one before: short numbers where there are many keys."""
+    added = np.diff(keys, prepend=np.uint64(0))
+    return squeezed(added, max(1, -(-int(added.max(initial=0)).bit_length() // 8)))
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(unsqueezed(data), dtype=np.uint64)
+
+
 def hash_ranges(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
     """Sorted 64-bit keys cut by their leading bits into ``ranges`` (a power of two): number, first and end index."""
     part = (keys >> np.uint64(64 - (ranges.bit_length() - 1))).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.llm import jaccard, langid, lm, mixing, passages, pieces, pii, quality, templates, vectors
 from tessera.llm.queries import PIECES, TOKENIZERS
 from tessera.llm.tables import Scratch, components, crc_part, map_arrow, written
-from tessera.llm.words import hash_words, text_bytes
+from tessera.llm.words import from_steps, gathered, hash_words, steps, text_bytes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, x string, part int"
 
@@ -195,6 +195,30 @@ def test_lm_score_against_exact_counts(spark):
     assert written_model <= set(range(model.ranges))
 
 
+def test_lm_shuffles_short_keys(spark):
+    """What goes to the hash ranges takes less than its words at eight bytes and its pairs at five."""
+    drawn = np.random.default_rng(0).integers(0, 20_000, (300, 500)).tolist()
+    texts = spark.createDataFrame([(i, " ".join(f"w{n}" for n in row)) for i, row in enumerate(drawn)], "doc_id long, text string")
+    packed = lm.pack(texts.coalesce(1), F.lit(True))
+    rows = map_arrow(packed.select(*lm._CHUNK), lm._dealt(8, False), lm.DEALT).collect()
+    n_words, n_pairs = (sum(len(from_steps(x)) for x in own) for own in ([r.words for r in rows if r.words], [r.pairs for r in rows if r.pairs]))
+    assert n_words and n_pairs > n_words
+    assert sum(len(r.words or b"") + len(r.pairs or b"") for r in rows) < 0.85 * (8 * n_words + 5 * n_pairs)
+    for r in rows:
+        assert r.pairs is None or (np.diff(from_steps(r.pairs).astype(np.int64)) >= 0).all()
+
+
+def test_steps_and_gathered_rows():
+    rng = np.random.default_rng(1)
+    for keys in (np.zeros(0, np.uint64), np.array([0, 0, 2 ** 64 - 1], np.uint64), np.sort(rng.integers(0, 2 ** 64, 1000, np.uint64))):
+        assert (from_steps(steps(keys)) == keys).all()
+    texts = ["x" * int(n) for n in rng.integers(0, 90, 200)]
+    batches = [pa.record_batch([texts[i:j]], names=["text"]) for i, j in ((0, 0), (0, 7), (7, 7), (7, 150), (150, 200))]
+    runs = [b.column("text").to_pylist() for b in gathered(iter(batches), "text", 1000)]
+    assert sum(runs, []) == texts
+    assert all(len("".join(r)) <= 1000 for r in runs) and all(len("".join([*r, s[0]])) > 1000 for r, s in zip(runs[:-1], runs[1:], strict=True))
+
+
 def test_workers_get_small_batches(spark):
     """Long texts go to the Python workers a few at a time, not by thousands of rows."""
     def sizes(batches):
